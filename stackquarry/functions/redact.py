@@ -7,6 +7,8 @@ one row, so redaction never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,50 +30,77 @@ def scrub(
     out_prefix: str = "scrubbed_",
     map_column: str = "redactions",
 ) -> DataFrame:
-    """Add ``scrubbed_<name>`` per text column, in the given order, and the map column.
-
-    Each step is its own projection, so a match list is computed once and then
-    used for the replaced text, the counter and the map.
-    """
-    width = len(df.columns)
-    out = df.withColumn("_seen", F.lit(0))
-    entries: list[Column] = []
-    steps: list[str] = []
+    """Add ``scrubbed_<name>`` per text column, in the given order, and the map column."""
+    none = F.from_json(F.lit("[]"), MAP_TYPE)
+    state = _state(F.lit(None).cast("string"), F.lit(0), none, F.lit(None).cast("array<string>"))
     for name in texts:
-        current = out_prefix + name
-        out = out.withColumn(current, F.col(name))
+        state = _bind(state, _next_text(F.col(name)))
         for tag, pattern in REDACTIONS:
-            step = f"_hit{len(steps)}"
-            steps.append(step)
-            out = out.withColumn(step, _numbered(F.col(current), tag, pattern, F.col("_seen")))
-            hits = F.col(step)
-            out = out.withColumns(
-                {
-                    current: F.when(
-                        F.size(hits) > 0,
-                        _interleave(F.split(F.col(current), pattern, -1), hits["placeholder"]),
-                    ).otherwise(F.col(current)),
-                    "_seen": F.col("_seen") + F.size(hits),
-                }
-            )
-            entries.append(hits)
-    kept = df.columns + [out_prefix + n for n in texts]
-    assert len(set(kept)) == width + len(texts)
-    return out.select(*kept, F.concat(*entries).alias(map_column))
-
-
-def _numbered(text: Column, tag: str, pattern: str, seen: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    entries = F.transform(
-        found,
-        lambda original, i: F.struct(
-            (seen + i + 1).cast("int").alias("idx"),
-            F.lit(tag).alias("tag"),
-            F.concat(F.lit(f"[[{tag}_"), (seen + i + 1).cast("string"), F.lit("]]")).alias("placeholder"),
-            original.alias("original"),
-        ),
+            state = _bind(state, _replacing(tag, pattern))
+    finished = _bind(state, _next_text(F.lit(None).cast("string")))
+    return df.withColumn("_scrubbed", finished).select(
+        *df.columns,
+        *[
+            F.get(F.col("_scrubbed")["done"], F.lit(i)).alias(out_prefix + name)
+            for i, name in enumerate(texts, start=1)
+        ],
+        F.col("_scrubbed")["entries"].alias(map_column),
+    )
+
+
+def _state(text: Column, seen: Column, entries: Column, done: Column) -> Column:
+    return F.struct(
+        text.alias("text"), seen.alias("seen"), entries.alias("entries"), done.alias("done")
+    )
+
+
+def _next_text(text: Column) -> Callable[[Column], Column]:
+    """Put the finished text aside and go on with ``text``."""
+    return lambda s: _state(
+        text,
+        s["seen"],
+        s["entries"],
+        F.concat(F.coalesce(s["done"], F.array().cast("array<string>")), F.array(s["text"])),
+    )
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``.
+
+    Written as a one-element transform: the expression stays linear in the number
+    of steps, also when a filter on its result is pushed below the projection.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _replacing(tag: str, pattern: str) -> Callable[[Column], Column]:
+    """One pattern's step on the state."""
+
+    def step(state: Column) -> Column:
+        found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
+        return _bind(
+            F.transform(found, lambda original, i: _entry(state["seen"] + i + 1, tag, original)),
+            lambda entries: F.when(
+                F.size(entries) > 0,
+                _state(
+                    _interleave(F.split(state["text"], pattern, -1), entries["placeholder"]),
+                    state["seen"] + F.size(entries),
+                    F.concat(state["entries"], entries),
+                    state["done"],
+                ),
+            ).otherwise(state),
+        )
+
+    return step
+
+
+def _entry(number: Column, tag: str, original: Column) -> Column:
+    return F.struct(
+        number.cast("int").alias("idx"),
+        F.lit(tag).alias("tag"),
+        F.concat(F.lit(f"[[{tag}_"), number.cast("string"), F.lit("]]")).alias("placeholder"),
+        original.alias("original"),
     )
-    return F.coalesce(entries, F.from_json(F.lit("[]"), MAP_TYPE))
 
 
 def unscrub(text: Column, redactions: Column) -> Column:
@@ -93,8 +122,12 @@ def unscrub(text: Column, redactions: Column) -> Column:
 
 
 def redaction_rows(df: DataFrame, key: str, map_column: str = "redactions") -> DataFrame:
-    """The map as a side table (key, idx, tag, placeholder, original)."""
-    return df.select(key, F.inline(map_column))
+    """The map as a side table (key, idx, tag, placeholder, original).
+
+    The outer form keeps Spark from testing the array's size below the redaction,
+    which would run the redaction twice.
+    """
+    return df.select(key, F.inline_outer(map_column)).filter(F.col("idx").isNotNull())
 
 
 def unscrub_with_rows(answers: DataFrame, rows: DataFrame, key: str, text: str, out: str) -> DataFrame:
