@@ -12,20 +12,28 @@ from stackquarry.functions.text import contains_any
 PARSED = "STRUCT<intent: STRING, service: STRING, action: STRING, params: MAP<STRING, STRING>, raw_query: STRING>"
 
 
-def _is_route_question(question: Column) -> Column:
+def is_route_question(question: Column) -> Column:
     lowered = F.lower(question)
     return F.contains(lowered, F.lit("lambda")) & contains_any(lowered, ["api", "gateway"])
 
 
+def route_words(question: Column) -> Column:
+    """[method, path, on or in, api] of the first route in the text; [''] without one.
+
+    The pattern runs once; its parts hold no white space, so they are split again.
+    """
+    return F.split(F.regexp_extract(question, wording.ROUTE_PATTERN, 0), r"[\t\n\f\r ]+", -1)
+
+
 def route_params(question: Column) -> Column:
     """map with method, path and api; empty when the text does not match."""
-    method = F.regexp_extract(question, wording.ROUTE_PATTERN, 1)
+    words = route_words(question)
     return F.when(
-        method != "",
+        F.size(words) == 4,
         F.create_map(
-            F.lit("method"), F.upper(method),
-            F.lit("path"), F.regexp_extract(question, wording.ROUTE_PATTERN, 2),
-            F.lit("api"), F.regexp_extract(question, wording.ROUTE_PATTERN, 3),
+            F.lit("method"), F.upper(F.get(words, F.lit(0))),
+            F.lit("path"), F.get(words, F.lit(1)),
+            F.lit("api"), F.get(words, F.lit(3)),
         ),
     ).otherwise(no_params())
 
@@ -51,7 +59,7 @@ def unknown_question(question: Column) -> Column:
 def keyword_intent(question: Column) -> Column:
     """F01 with F02: the parsed-question struct found by keywords alone."""
     return F.when(
-        _is_route_question(question),
+        is_route_question(question),
         parsed_struct(
             F.lit("api_gateway_lambda"),
             F.lit("apigateway"),

@@ -44,9 +44,7 @@ def dispatch_intents(
         .when(F.col("outcome") == "route_missing", F.to_json(F.struct("api_id", "api_name", "message")))
         .otherwise(F.to_json(F.struct("message")))
     )
-    route_rows = routes.select(
-        "question_id", F.lit(ROUTE_INTENT).alias("intent"), "text", route_data.alias("data")
-    )
+    route_rows = routes.select("question_id", "intent", "text", route_data.alias("data"))
 
     asked = parsed.filter(F.col("intent") == TRIGGER_INTENT).select(
         "question_id", "text", _param("lambda").alias("function_name")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackquarry.functions.questions import keyword_intent
+from stackquarry.functions.questions import is_route_question, route_words
 
 ROUTE_INTENT = "api_gateway_lambda"
 
@@ -65,21 +65,32 @@ def api_route_lookup(
         "question_id",
         "project",
         "text",
+        F.lit(ROUTE_INTENT).alias("intent"),
         param("api").alias("wanted"),
         param("method").alias("method"),
         param("path").alias("path"),
     )
+    return _lookup(asked, apis, methods, integrations)
+
+
+def _lookup(
+    asked: DataFrame, apis: DataFrame, methods: DataFrame, integrations: DataFrame
+) -> DataFrame:
+    """asked: question_id, project, text, intent, wanted, method, path. Rows of another
+    intent pass through: their ``wanted`` is NULL and meets nothing."""
     routes = first_resources(methods).join(
-        integrations.groupBy("api_id", "resource_id", "method").agg(F.max("uri").alias("uri")),
+        integrations.select("api_id", "resource_id", "method", "uri").distinct(),
         ["api_id", "resource_id", "method"],
         "left",
     )
+    is_route = F.col("intent") == ROUTE_INTENT
     hit = (
         asked.join(first_apis(apis), ["project", "wanted"], "left")
         .join(routes, ["api_id", "path", "method"], "left")
         .withColumn(
             "outcome",
-            F.when(F.col("api_id").isNull(), F.lit("api_missing"))
+            F.when(~is_route, F.lit(None))
+            .when(F.col("api_id").isNull(), F.lit("api_missing"))
             .when(F.col("resource_id").isNull(), F.lit("route_missing"))
             .otherwise(F.lit("found")),
         )
@@ -89,6 +100,7 @@ def api_route_lookup(
         "question_id",
         "project",
         "text",
+        "intent",
         "outcome",
         "api_name",
         "api_id",
@@ -120,13 +132,27 @@ def available_apis(lookups: DataFrame, apis: DataFrame) -> DataFrame:
 def route_answers(
     questions: DataFrame, apis: DataFrame, methods: DataFrame, integrations: DataFrame
 ) -> DataFrame:
-    """Questions as text to answers: F01, F02, J01. Other questions come back 'unknown'."""
-    parsed = questions.withColumn("parsed", keyword_intent(F.col("text"))).select(
-        "question_id", "project", "text", "parsed.intent", "parsed.params"
+    """Questions as text to answers: F01, F02, J01. Other questions come back 'unknown'.
+
+    One pass over the questions: the texts are parsed once, and rows of other
+    intents go through the same joins. Their path is made unique, so that they
+    spread over the shuffle instead of meeting in one partition under NULL keys.
+    """
+    known = questions.withColumns(
+        {"_route": is_route_question(F.col("text")), "_words": route_words(F.col("text"))}
     )
-    is_route = F.col("intent") == ROUTE_INTENT
-    answered = api_route_lookup(parsed.filter(is_route), apis, methods, integrations).withColumn(
-        "intent", F.lit(ROUTE_INTENT)
+
+    def word(at: int) -> Column:
+        return F.when(F.size("_words") == 4, F.get("_words", F.lit(at))).otherwise(F.lit(""))
+
+    route = F.col("_route")
+    asked = known.select(
+        "question_id",
+        "project",
+        "text",
+        F.when(route, F.lit(ROUTE_INTENT)).otherwise(F.lit("unknown")).alias("intent"),
+        F.when(route, word(3)).alias("wanted"),
+        F.when(route, F.upper(word(0))).otherwise(F.lit("")).alias("method"),
+        F.when(route, word(1)).otherwise(F.col("question_id").cast("string")).alias("path"),
     )
-    others = parsed.filter(~is_route).select("question_id", "project", "text", "intent")
-    return answered.unionByName(others, allowMissingColumns=True)
+    return _lookup(asked, apis, methods, integrations)

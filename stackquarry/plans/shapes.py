@@ -74,18 +74,24 @@ def integrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    api = "(" + API_NAME.format(k="supp") + ")"
-    method = "(" + METHOD.format(n="l_linenumber") + ")"
-    return lines(spark, sf_dir).selectExpr(
+    named = lines(spark, sf_dir).selectExpr(
+        "l_orderkey",
         "l_orderkey * 8 + l_linenumber AS question_id",
+        "part",
+        "supp",
+        API_NAME.format(k="supp") + " AS api",
+        METHOD.format(n="l_linenumber") + " AS m",
+    )
+    return named.selectExpr(
+        "question_id",
         "'p' || (supp div 10) AS project",
-        f"""CASE l_orderkey % 10
-            WHEN 0 THEN 'Which API Lambda handles ' || {method} || ' /parts/' || part || ' on ghost-' || supp || '?'
-            WHEN 1 THEN 'Which Lambda handles ' || {method} || ' /none/' || part || ' on ' || {api} || '?'
-            WHEN 2 THEN 'Which Lambda handles ' || {method} || ' /parts/{{id}} on ' || {api} || '?'
-            WHEN 3 THEN 'Which Lambda handles ' || {method} || ' /parts/' || part || ' on orders-' || supp || '?'
-            WHEN 4 THEN 'lambda for ' || lower({method}) || '  /parts/' || part || ' IN ' || {api} || ' gateway'
-            ELSE 'Which Lambda handles ' || {method} || ' /parts/' || part || ' on ' || {api} || '?' END AS text""",
+        """CASE l_orderkey % 10
+            WHEN 0 THEN 'Which API Lambda handles ' || m || ' /parts/' || part || ' on ghost-' || supp || '?'
+            WHEN 1 THEN 'Which Lambda handles ' || m || ' /none/' || part || ' on ' || api || '?'
+            WHEN 2 THEN 'Which Lambda handles ' || m || ' /parts/{id} on ' || api || '?'
+            WHEN 3 THEN 'Which Lambda handles ' || m || ' /parts/' || part || ' on orders-' || supp || '?'
+            WHEN 4 THEN 'lambda for ' || lower(m) || '  /parts/' || part || ' IN ' || api || ' gateway'
+            ELSE 'Which Lambda handles ' || m || ' /parts/' || part || ' on ' || api || '?' END AS text""",
     )
 
 
