@@ -113,16 +113,16 @@ def answer_within_budget(
             "prompt_tokens": token_estimate(F.col("prompt")),
             "est_micro": estimate_micro(token_estimate(F.col("prompt"))),
             "cost_micro": F.lit(0).cast("bigint"),
+            "opening": F.lit(0).cast("bigint"),
             "micro_in": cost_micro(F.lit(1), F.lit(0)),
             "micro_out": cost_micro(F.lit(0), F.lit(1)),
         }
     ).drop("input_cost", "output_cost", "speed", "quality")
-    pieces = ordered_chunks(priced.drop("cost_micro").withColumn("cost_micro", F.lit(0).cast("bigint")), GROUP, ORDER, chunks)
+    pieces = ordered_chunks(priced, GROUP, ORDER, chunks)
     decided = _rounds(pieces, backend)
-    return finish_answers(
-        pieces.drop("cost_micro").join(decided, "req_id")
-    ).withColumn("error", refusal_message()).drop(
-        "redactions", "prompt", "reply", "chunk", "micro_in", "micro_out", "prompt_tokens"
+    finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
+    return finished.withColumn("error", refusal_message()).drop(
+        "redactions", "prompt", "reply", "chunk", "opening", "micro_in", "micro_out", "prompt_tokens"
     )
 
 

@@ -7,7 +7,7 @@ sit in one task:
 
 * ``ordered_chunks`` cuts the ordered rows into chunks of bounded size;
 * a fold over one (user, day, chunk) needs only the spend at its start;
-* a group inside one chunk starts at 0. For the few groups that cross a chunk
+* a group inside one chunk starts with nothing spent. For the few groups that cross a chunk
   border (fewer than there are chunks) the start is found chunk by chunk. A chunk
   whose cheapest request no longer fits adds nothing, one that fits as a whole
   adds its sum, and only a chunk in between is folded, alone.
@@ -32,14 +32,25 @@ ORDER = ["ts", "req_id"]
 NEEDED = [*GROUP, *ORDER, "est_micro", "cost_micro", "limit_micro"]
 
 
-def budget_gate(requests: DataFrame, chunks: int | None = None) -> DataFrame:
+def budget_gate(
+    requests: DataFrame, chunks: int | None = None, opening: DataFrame | None = None
+) -> DataFrame:
     """requests: user_id, day, ts, req_id, est_micro, cost_micro, limit_micro.
 
     Adds admitted, spent_before_micro (the spend the request was tested against)
     and the refusal message. (ts, req_id) is unique within a user and day, costs
-    are not negative.
+    are not negative. ``opening`` (user_id, day, spent_micro) is what has been spent
+    before the first of these requests; groups without a row start at 0.
     """
-    pieces = ordered_chunks(requests.select(*NEEDED), GROUP, ORDER, chunks)
+    rows = requests.select(*NEEDED)
+    if opening is None:
+        rows = rows.withColumn("opening", F.lit(0).cast("bigint"))
+    else:
+        spent = opening.select(*GROUP, F.col("spent_micro").alias("opening"))
+        rows = rows.join(spent, GROUP, "left").withColumn(
+            "opening", F.coalesce("opening", F.lit(0).cast("bigint"))
+        )
+    pieces = ordered_chunks(rows, GROUP, ORDER, chunks)
     decided = fold_slices(pieces, starting_spend(pieces))
     return decided.withColumn("error", refusal_message())
 
@@ -81,6 +92,7 @@ def border_slices(pieces: DataFrame) -> dict[tuple, list[dict]]:
             F.max("est_micro").alias("most"),
             F.sum("cost_micro").alias("total"),
             F.max("limit_micro").alias("limit"),
+            F.max("opening").alias("opening"),
         )
         .collect()
     )
@@ -91,9 +103,9 @@ def border_slices(pieces: DataFrame) -> dict[tuple, list[dict]]:
 
 
 def starting_spend(pieces: DataFrame) -> list[tuple]:
-    """(user_id, day, chunk, spend) for every slice that does not start at 0."""
+    """(user_id, day, chunk, spend) at the start of every slice of a crossing group."""
     groups = border_slices(pieces)
-    spent = dict.fromkeys(groups, 0)
+    spent = {group: slices[0]["opening"] for group, slices in groups.items()}
     waiting = {group: list(slices) for group, slices in groups.items()}
     starts: list[tuple] = []
     while waiting:
@@ -115,7 +127,7 @@ def starting_spend(pieces: DataFrame) -> list[tuple]:
                 del waiting[group]
         if unclear:
             spent.update(_spend_after(pieces, unclear))
-    return [s for s in starts if s[-1] > 0]
+    return starts
 
 
 def _spend_after(pieces: DataFrame, slices: list[tuple]) -> dict[tuple, int]:
@@ -157,7 +169,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
             "est_micro",
             "cost_micro",
             "limit_micro",
-            F.coalesce("start", F.lit(0).cast("bigint")).alias("start"),
+            F.coalesce("start", "opening").alias("start"),
         )
     )
     kept = ["user_id", "day_number", "req_id", "est_micro", "cost_micro", "limit_micro"]

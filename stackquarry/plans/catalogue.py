@@ -497,8 +497,9 @@ def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
-    gated = usage_stream.stream_budget_gate(_gated(_priced_stream(spark, sf)))
-    return runs.to_table(gated, "stream_budget").select(*GATE_COLUMNS)
+    folder = new_table_path(spark, "stream_budget")
+    usage_stream.run_budget_gate(_gated(_priced_stream(spark, sf)), folder)
+    return usage_stream.budget_decisions(spark, folder).select(*GATE_COLUMNS)
 
 
 @query

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from stackquarry.operators.budget import budget_gate
 
 LATENESS = "1 hour"
-HOUR_MS = 3_600_000
+KEEP_DAYS = 2
+SPENT = "user_id BIGINT, day DATE, spent_micro BIGINT"
 
 
 def stream_daily_usage(priced: DataFrame) -> DataFrame:
@@ -42,59 +39,61 @@ def newest_daily_usage(updates: DataFrame) -> DataFrame:
     )
 
 
-def stream_budget_gate(requests: DataFrame) -> DataFrame:
-    """ST02: admit requests per (user, day) with the spend kept as state.
+def run_budget_gate(requests: DataFrame, folder: str, keep_days: int = KEEP_DAYS) -> None:
+    """ST02: gate a stream of requests; run it on a schedule, it stops when caught up.
 
-    A micro-batch brings a group's rows in no set order, so they are sorted before
-    the fold; their number is bounded by the source's per-trigger limits. Rows of
-    later micro-batches are gated when they arrive. State expires an hour after
-    its day has closed.
+    Writes decisions to ``folder/decisions`` and the spend per (user, day) after each
+    micro-batch to ``folder/spent``. A micro-batch goes through the batch gate with
+    the previous spend as its opening, so a user who sends a third of all requests is
+    cut into chunks here too instead of being one task's state. Batch n reads the
+    spend of batch n - 1 and overwrites its own folders: running it again after a
+    failure gives the same result.
+
+    Requests are gated in order within a micro-batch, and when they arrive across
+    micro-batches. Spend of days more than ``keep_days`` before the newest day is
+    let go, and so are requests that arrive later than that.
     """
-    out = T.StructType(
-        [requests.schema[c] for c in ("user_id", "req_id", "est_micro", "cost_micro", "limit_micro")]
-        + [
-            T.StructField("day", T.DateType()),
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("spent_before_micro", T.LongType()),
-        ]
-    )
 
-    def gate(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        spent = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "req_id"])
-        admitted, before = [], []
-        for est, cost, limit in zip(
-            rows["est_micro"].tolist(), rows["cost_micro"].tolist(), rows["limit_micro"].tolist()
-        ):
-            fits = spent + est <= limit
-            admitted.append(fits)
-            before.append(spent)
-            spent += cost if fits else 0
-        state.update((spent,))
-        close = int(pd.Timestamp(key[1]).timestamp() * 1000) + 25 * HOUR_MS
-        state.setTimeoutTimestamp(max(close, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "user_id": rows["user_id"],
-                "req_id": rows["req_id"],
-                "est_micro": rows["est_micro"],
-                "cost_micro": rows["cost_micro"],
-                "limit_micro": rows["limit_micro"],
-                "day": [key[1]] * len(rows),
-                "admitted": admitted,
-                "spent_before_micro": before,
-            }
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _spent_table(spark, folder, batch_id - 1)
+        oldest = before.agg(F.date_sub(F.max("day"), keep_days).alias("oldest")).scalar()
+        timely = batch.filter(F.coalesce(F.col("day") >= oldest, F.lit(True)))
+        budget_gate(timely, opening=before).drop("error").write.mode("overwrite").parquet(
+            f"{folder}/decisions/batch_id={batch_id}"
         )
-
-    return (
-        requests.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", LATENESS)
-        .select("user_id", F.to_date("ts").alias("day"), "ts", "req_id", "est_micro", "cost_micro", "limit_micro")
-        .groupBy("user_id", "day")
-        .applyInPandasWithState(
-            gate, out, "spent LONG", "append", GroupStateTimeout.EventTimeTimeout
+        decisions = spark.read.parquet(f"{folder}/decisions/batch_id={batch_id}")
+        after = decisions.groupBy("user_id", "day").agg(
+            F.max(
+                F.col("spent_before_micro") + F.when(F.col("admitted"), F.col("cost_micro")).otherwise(0)
+            ).alias("spent_micro")
         )
+        # spend only grows, so the larger figure is the later one
+        merged = (
+            before.unionByName(after)
+            .groupBy("user_id", "day")
+            .agg(F.max("spent_micro").alias("spent_micro"))
+        )
+        newest = before.select("day").unionByName(after.select("day"))
+        bound = newest.agg(F.date_sub(F.max("day"), keep_days)).scalar()
+        merged.filter(F.col("day") >= bound).write.mode("overwrite").parquet(
+            f"{folder}/spent/batch_id={batch_id}"
+        )
+
+    query = (
+        requests.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+
+
+def _spent_table(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    if batch_id < 0:
+        return spark.createDataFrame([], SPENT)
+    return spark.read.schema(SPENT).parquet(f"{folder}/spent/batch_id={batch_id}")
+
+
+def budget_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("basePath", f"{folder}/decisions").parquet(f"{folder}/decisions")
