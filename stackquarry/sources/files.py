@@ -40,25 +40,25 @@ def read_metadata(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 def write_pairs(
     df: DataFrame, path: str, batch: str, observation: Observation | None = None
 ) -> str:
-    """One JSON object per line under train/<batch>, file names ending in .jsonl."""
+    """One JSON object per line under train/<batch>; returns the folder."""
     target = f"{path}/train/{batch}"
-    lines = counted(df, observation).select(F.to_json(F.struct("prompt", "completion")).alias("value"))
-    lines.write.format("text").option("extension", "jsonl").save(target)
+    counted(df, observation).select("prompt", "completion").write.json(target)
     return target
 
 
 def load_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder without .jsonl files or with a bad line is an error; rows with an
-    empty prompt or completion are dropped."""
+    """A folder without pair files or with a bad line is an error; rows with an
+    empty prompt or completion are dropped. Pair files are *.jsonl and the part files
+    that ``write_pairs`` leaves."""
     pairs = (
         spark.read.schema(PAIR)
         .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", "{*.jsonl,part-*.json}")
         .option("recursiveFileLookup", "true")
         .json(folder)
     )
     if not pairs.inputFiles():
-        raise FileNotFoundError(f"No .jsonl files found in {folder}")
+        raise FileNotFoundError(f"No pair files found in {folder}")
     return complete_pairs(pairs)
 
 

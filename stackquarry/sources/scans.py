@@ -7,10 +7,13 @@ and nothing is listed or parsed on the driver beyond Spark's own file index.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackquarry.functions import variants
+from stackquarry.operators.resources import decode_templates, resource_entries
 from stackquarry.schemas import MANIFEST
 from stackquarry.wording import STACK_ARTIFACT
 
@@ -144,6 +147,25 @@ def scan_outcomes(
     )
 
 
+def built_documents(spark: SparkSession, root: str) -> DataFrame:
+    """(project, stack, doc) of every readable stack below ``root``."""
+    artifacts = stack_artifacts(manifest_texts(spark, root))
+    return stack_documents(artifacts, template_texts(spark, root)).filter(F.col("doc").isNotNull())
+
+
+def scan_resources(
+    spark: SparkSession,
+    path: str,
+    provider: Callable[[SparkSession, str], DataFrame] = built_documents,
+) -> DataFrame:
+    """Resource rows of whatever ``provider`` finds at ``path``.
+
+    A provider is a function (spark, path) -> DataFrame(project, stack, doc).
+    """
+    documents = provider(spark, path).select("project", "stack", "doc")
+    return resource_entries(decode_templates(documents))
+
+
 def _manifest_fits(manifest: Column) -> Column:
     artifacts = F.try_variant_get(manifest, "$.artifacts", "map<string, variant>")
     entries_fit = F.forall(
