@@ -9,13 +9,20 @@ from stackquarry.operators.budget import budget_gate
 
 LATENESS = "1 hour"
 KEEP_DAYS = 2
+SECONDS_PER_DAY = 86_400
 SPENT = "user_id BIGINT, day DATE, spent_micro BIGINT"
 
 
 def stream_daily_usage(priced: DataFrame) -> DataFrame:
-    """ST01: tumbling day windows per user; state of a day is dropped one hour after it."""
+    """ST01: tumbling day windows per user; state of a day is dropped one hour after it.
+
+    Day windows start at midnight UTC whatever the session's zone, so the time stamp
+    is first shifted to make its UTC reading the session's wall clock.
+    """
+    shifted = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    start = F.unix_seconds("window.start") / F.lit(SECONDS_PER_DAY)
     return (
-        priced.withColumn("ts", F.col("ts").cast("timestamp"))
+        priced.withColumn("ts", shifted)
         .withWatermark("ts", LATENESS)
         .groupBy("user_id", F.window("ts", "1 day"))
         .agg(
@@ -24,7 +31,11 @@ def stream_daily_usage(priced: DataFrame) -> DataFrame:
             F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
         )
         .select(
-            "user_id", F.to_date("window.start").alias("day"), "cost_micro", "requests", "tokens"
+            "user_id",
+            F.date_from_unix_date(F.floor(start).cast("int")).alias("day"),
+            "cost_micro",
+            "requests",
+            "tokens",
         )
     )
 
