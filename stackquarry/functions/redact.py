@@ -35,8 +35,8 @@ def scrub(
     state = _state(F.lit(None).cast("string"), F.lit(0), none, F.lit(None).cast("array<string>"))
     for name in texts:
         state = _bind(state, _next_text(F.col(name)))
-        for tag, pattern in REDACTIONS:
-            state = _bind(state, _replacing(tag, pattern))
+        for tag, pattern, hint in REDACTIONS:
+            state = _bind(state, _replacing(tag, pattern, hint))
     finished = _bind(state, _next_text(F.lit(None).cast("string")))
     return df.withColumn("_scrubbed", finished).select(
         *df.columns,
@@ -73,11 +73,13 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _replacing(tag: str, pattern: str) -> Callable[[Column], Column]:
-    """One pattern's step on the state."""
+def _replacing(tag: str, pattern: str, hint: str | None) -> Callable[[Column], Column]:
+    """One pattern's step on the state. A text without ``hint`` skips the pattern."""
 
     def step(state: Column) -> Column:
         found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
+        if hint:
+            found = F.when(F.contains(state["text"], F.lit(hint)), found)
         return _bind(
             F.transform(found, lambda original, i: _entry(state["seen"] + i + 1, tag, original)),
             lambda entries: F.when(

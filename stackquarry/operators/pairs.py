@@ -37,5 +37,6 @@ def truncate_text(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
     The limit is the operator itself: it stands for a tokenizer's truncation.
     """
-    tokens = F.filter(F.split(F.trim("text"), r"\s+", -1), lambda t: t != "")
+    # one more piece for an empty start and one for the unsplit rest of a long text
+    tokens = F.filter(F.split("text", r"\s+", max_tokens + 2), lambda t: t != "")
     return texts.withColumn("tokens", F.slice(tokens, 1, max_tokens)).drop("text")

@@ -22,14 +22,16 @@ ARCHITECTURE_WORDS = [
 NOT_IMPLEMENTED = "Query intent not yet implemented"
 NO_SNAPSHOT = "no infrastructure snapshot found for this project; run a scan first"
 
-# ---- fixed values: redaction (tag, pattern), in order -----------------------
-# \w and \d are ASCII-only in Java regular expressions while \b is not, so word
-# edges are written as look-arounds.
+# ---- fixed values: redaction, in order --------------------------------------
+# (tag, pattern, a piece of text every match holds or None). \w and \d are
+# ASCII-only in Java regular expressions while \b is not, so word edges are
+# written as look-arounds; the leading one follows the first digit, so that other
+# characters are passed over by their class alone.
 REDACTIONS = [
-    ("ARN", r"arn:[A-Za-z0-9\-_:/.]+"),
-    ("ACCOUNT_ID", r"(?<!\w)\d{12}(?!\w)"),
-    ("IP", r"(?<!\w)\d{1,3}(?:\.\d{1,3}){3}(?!\w)"),
-    ("S3", r"s3://[A-Za-z0-9.\-_/]+"),
+    ("ARN", r"arn:[A-Za-z0-9\-_:/.]+", "arn:"),
+    ("ACCOUNT_ID", r"\d(?<!\w\d)\d{11}(?!\w)", None),
+    ("IP", r"\d(?<!\w\d)\d{0,2}(?:\.\d{1,3}){3}(?!\w)", None),
+    ("S3", r"s3://[A-Za-z0-9.\-_/]+", "s3://"),
 ]
 PLACEHOLDER = r"\[\[(?:ARN|ACCOUNT_ID|IP|S3)_\d+\]\]"
 
