@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackquarry.wording import NO_SNAPSHOT
 
+SALTS = 16
+END_OF_TIME = datetime(9999, 1, 1)
+
 
 def save_snapshot(resources: DataFrame, path: str) -> None:
     """Append rows (with ``project`` and ``scan_ts``) to the snapshot table.
 
-    Rows of one (project, scan_ts) folder are spread over a few tasks by a salt, so
-    a project holding a third of the rows is not written by one task.
+    The rows go to ``path/rows``, one folder per project and scan, after which the
+    scans are listed in the small table ``path/scans``; a scan counts from then on.
+    A salt spreads the rows of one folder over several tasks, so a project with a
+    third of the rows is not written by one.
     """
-    spread = resources.repartition("project", "scan_ts", F.pmod(F.xxhash64("logical_id"), F.lit(16)))
-    spread.write.mode("append").partitionBy("project", "scan_ts").parquet(path)
+    span = Observation()
+    seen = resources.observe(span, F.min("scan_ts").alias("first"), F.max("scan_ts").alias("last"))
+    salt = F.pmod(F.xxhash64("logical_id"), F.lit(SALTS))
+    seen.repartition("project", "scan_ts", salt).write.mode("append").partitionBy(
+        "project", "scan_ts"
+    ).parquet(f"{path}/rows")
+    if span.get["first"] is None:
+        return
+    stored = _rows(resources.sparkSession, path)
+    just_written = stored.filter(F.col("scan_ts").between(span.get["first"], span.get["last"]))
+    just_written.select("project", "scan_ts").distinct().write.mode("append").parquet(f"{path}/scans")
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows. Folder names are text; the types of the two partition columns
+    are set here, not guessed (a project may be called 2024)."""
+    fixed = {"project": T.StringType(), "scan_ts": T.TimestampType()}
+    guessed = spark.read.parquet(f"{path}/rows").schema
+    schema = T.StructType([T.StructField(f.name, fixed.get(f.name, f.dataType)) for f in guessed])
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
@@ -28,10 +54,20 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.join(newest, ["project", "scan_ts"], "left_semi")
 
 
-def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """S05. Project and scan time are partition folders: reading their newest pairs
-    touches folder names, and the join prunes the other folders."""
-    return latest(spark.read.parquet(path))
+def load_snapshot(spark: SparkSession, path: str, as_of: datetime = END_OF_TIME) -> DataFrame:
+    """Each project's newest scan not after ``as_of``.
+
+    The newest scans come from the list of scans. While that is small enough to be
+    broadcast, the join prunes the folders of all other scans before reading them;
+    beyond it the rows are joined by project and scan.
+    """
+    scans = spark.read.schema("project STRING, scan_ts TIMESTAMP").parquet(f"{path}/scans")
+    newest = (
+        scans.filter(F.col("scan_ts") <= F.lit(as_of))
+        .groupBy("project")
+        .agg(F.max("scan_ts").alias("scan_ts"))
+    )
+    return _rows(spark, path).join(newest, ["project", "scan_ts"], "left_semi")
 
 
 def missing_snapshots(projects: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -110,13 +111,16 @@ def test_scan_folders(spark, tmp_path):
 
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "snap")
-    rows = [("p", "2024-01-01 00:00:00", "a"), ("p", "2024-01-02 00:00:00", "b"), ("p", "2024-01-02 00:00:00", "c"), ("q", "2023-05-05 01:02:03", "d")]
+    rows = [("p", "2024-01-01 00:00:00", "a"), ("p", "2024-01-02 00:00:00", "b"), ("p", "2024-01-02 00:00:00", "c"), ("2024", "2023-05-05 01:02:03", "d")]
     df = spark.createDataFrame(rows, "project STRING, scan_ts STRING, logical_id STRING").withColumn(
         "scan_ts", F.to_timestamp("scan_ts")
     )
     snapshots.save_snapshot(df, path)
     back = snapshots.load_snapshot(spark, path)
-    assert sorted((r.project, r.logical_id) for r in back.collect()) == [("p", "b"), ("p", "c"), ("q", "d")]
+    assert sorted((r.project, r.logical_id) for r in back.collect()) == [("2024", "d"), ("p", "b"), ("p", "c")]
+    assert "dynamicpruning" in back._jdf.queryExecution().toString()
+    earlier = snapshots.load_snapshot(spark, path, datetime(2024, 1, 1, 12))
+    assert sorted(r.logical_id for r in earlier.collect()) == ["a", "d"]
     asked = spark.createDataFrame([("p",), ("z",)], "project STRING")
     assert [r.project for r in snapshots.missing_snapshots(asked, back).collect()] == ["z"]
 
