@@ -19,7 +19,13 @@ from stackquarry.functions.money import cost_micro, estimate_micro, token_estima
 from stackquarry.functions.questions import decoded_query, route_backend, unknown_question
 from stackquarry.functions.redact import scrub, unscrub
 from stackquarry.functions.text import squeeze_ends
-from stackquarry.operators.budget import GROUP, ORDER, border_slices, refusal_message
+from stackquarry.operators.budget import (
+    GROUP,
+    ORDER,
+    border_groups,
+    refusal_message,
+    slice_summaries,
+)
 from stackquarry.operators.ordered import ordered_chunks
 from stackquarry.sources.checkpoints import written
 from stackquarry.wording import NO_SNAPSHOT, NOT_IMPLEMENTED
@@ -127,18 +133,20 @@ def answer_within_budget(
 
 
 def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:
-    groups = border_slices(pieces)
-    later = {group: slices[1:] for group, slices in groups.items()}
+    groups = border_groups(pieces)
+    summaries = slice_summaries(pieces, groups, {}) if groups else {}
+    later = {group: chunks[1:] for group, chunks in groups.items()}
     # first round: everything but the later slices of groups that cross a border
-    postponed = [(*g, s["chunk"]) for g, slices in later.items() for s in slices]
+    postponed = [(*g, chunk) for g, chunks in later.items() for chunk in chunks]
     tables = [written(_called(_without(pieces, postponed), [], backend), "answers")]
     spent = _ends(tables[0], list(groups))
     while any(later.values()):
         now = []
-        for group, slices in later.items():
-            while slices:
-                piece = slices.pop(0)
-                now.append((*group, piece["chunk"], spent[group]))
+        for group, chunks in later.items():
+            while chunks:
+                chunk = chunks.pop(0)
+                now.append((*group, chunk, spent[group]))
+                piece = summaries[*group, chunk]
                 if spent[group] + piece["least"] <= piece["limit"]:
                     break
         table = written(_called(_only(pieces, now), now, backend), "answers")

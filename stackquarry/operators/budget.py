@@ -7,13 +7,14 @@ sit in one task:
 
 * ``ordered_chunks`` cuts the ordered rows into chunks of bounded size;
 * a fold over one (user, day, chunk) needs only the spend at its start;
-* a group inside one chunk starts with nothing spent. For the few groups that cross a chunk
-  border (fewer than there are chunks) the start is found chunk by chunk. A chunk
-  whose cheapest request no longer fits adds nothing, one that fits as a whole
-  adds its sum, and only a chunk in between is folded, alone.
-
-Spend never falls, so once the budget is used up the rest of a hot group is
-settled by those summaries.
+* a group inside one chunk starts with nothing spent. For the few groups that
+  cross a chunk border (fewer than there are chunks) the start is found from chunk
+  summaries. Spend never falls, so requests whose estimate exceeds what is left are
+  refused for good; when all the others of a chunk fit together they add their sum,
+  whatever their order. Only a chunk between these cases is folded, alone, and the
+  summaries of the chunks after it are taken again with what is then left.
+
+So a hot group whose budget is used up, or far from it, is settled by aggregates.
 """
 
 from __future__ import annotations
@@ -65,11 +66,11 @@ def refusal_message():
     return F.when(~F.col("admitted"), text)
 
 
-def border_slices(pieces: DataFrame) -> dict[tuple, list[dict]]:
-    """Summaries of the groups that cross a chunk border, per group in chunk order.
+def border_groups(pieces: DataFrame) -> dict[tuple, list[int]]:
+    """The groups that cross a chunk border, each with its chunks in order.
 
-    Only the first and last group of a chunk can cross, so this collects at most
-    two rows per chunk however many rows there are.
+    Only the first and last group of a chunk can cross, so this collects one row
+    per chunk however many rows there are.
     """
     edges = (
         pieces.groupBy("chunk")
@@ -77,53 +78,69 @@ def border_slices(pieces: DataFrame) -> dict[tuple, list[dict]]:
         .collect()
     )
     edges.sort(key=lambda e: e["chunk"])
-    crossing = {
-        tuple(after["first"]) for before, after in zip(edges, edges[1:]) if before["last"] == after["first"]
-    }
-    if not crossing:
-        return {}
-    spark = pieces.sparkSession
-    keys = spark.createDataFrame(sorted(crossing), pieces.select(*GROUP).schema)
-    found = (
-        pieces.join(F.broadcast(keys), GROUP)
-        .groupBy(*GROUP, "chunk")
-        .agg(
-            F.min("est_micro").alias("least"),
-            F.max("est_micro").alias("most"),
-            F.sum("cost_micro").alias("total"),
-            F.max("limit_micro").alias("limit"),
-            F.max("opening").alias("opening"),
-        )
-        .collect()
+    crossing: dict[tuple, list[int]] = {}
+    for before, after in zip(edges, edges[1:]):
+        if before["last"] == after["first"]:
+            chunks = crossing.setdefault(tuple(after["first"]), [before["chunk"]])
+            chunks.append(after["chunk"])
+    return crossing
+
+
+def slice_summaries(
+    pieces: DataFrame, waiting: dict[tuple, list[int]], spent: dict[tuple, int]
+) -> dict[tuple, dict]:
+    """One row per waiting slice (user_id, day, chunk): limit, opening, the least
+    estimate, and the summed cost and greatest estimate of the requests that still
+    fit what is left of the budget now. Spend never falls, so the others are refused
+    whatever comes first. Fewer than two rows per chunk are collected."""
+    keys = [(*group, min(chunks), spent.get(group)) for group, chunks in waiting.items()]
+    schema = T.StructType(
+        [
+            *(pieces.schema[c] for c in GROUP),
+            T.StructField("from_chunk", T.IntegerType()),
+            T.StructField("spent", T.LongType()),
+        ]
+    )
+    open_chunks = sorted({c for chunks in waiting.values() for c in chunks})
+    rows = (
+        pieces.filter(F.col("chunk").isin(open_chunks))
+        .join(F.broadcast(pieces.sparkSession.createDataFrame(keys, schema)), GROUP)
+        .filter(F.col("chunk") >= F.col("from_chunk"))
+    )
+    fits = F.col("est_micro") <= F.col("limit_micro") - F.coalesce("spent", "opening")
+    found = rows.groupBy(*GROUP, "chunk").agg(
+        F.max("limit_micro").alias("limit"),
+        F.max("opening").alias("opening"),
+        F.min("est_micro").alias("least"),
+        F.max(F.when(fits, F.col("est_micro"))).alias("most"),
+        F.sum(F.when(fits, F.col("cost_micro"))).alias("total"),
     )
-    groups: dict[tuple, list[dict]] = {}
-    for row in sorted(found, key=lambda r: r["chunk"]):
-        groups.setdefault(tuple(row[k] for k in GROUP), []).append(row.asDict())
-    return groups
+    return {(*(r[k] for k in GROUP), r["chunk"]): r.asDict() for r in found.collect()}
 
 
 def starting_spend(pieces: DataFrame) -> list[tuple]:
     """(user_id, day, chunk, spend) at the start of every slice of a crossing group."""
-    groups = border_slices(pieces)
-    spent = {group: slices[0]["opening"] for group, slices in groups.items()}
-    waiting = {group: list(slices) for group, slices in groups.items()}
+    waiting = border_groups(pieces)
+    spent: dict[tuple, int] = {}
     starts: list[tuple] = []
     while waiting:
+        summaries = slice_summaries(pieces, waiting, spent)
         unclear = []
-        for group, slices in list(waiting.items()):
-            while slices:
-                piece = slices.pop(0)
-                start = spent[group]
-                starts.append((*group, piece["chunk"], start))
-                if start + piece["least"] > piece["limit"]:
+        for group, chunks in list(waiting.items()):
+            spent.setdefault(group, summaries[*group, chunks[0]]["opening"])
+            while chunks:
+                chunk = chunks.pop(0)
+                start, piece = spent[group], summaries[*group, chunk]
+                starts.append((*group, chunk, start))
+                if piece["total"] is None:
                     continue
                 if start + piece["total"] + piece["most"] <= piece["limit"]:
                     spent[group] = start + piece["total"]
                     continue
-                if slices:
-                    unclear.append((*group, piece["chunk"], start))
+                if chunks:
+                    unclear.append((*group, chunk, start))
                 break
-            if not slices:
+            if not chunks:
                 del waiting[group]
         if unclear:
             spent.update(_spend_after(pieces, unclear))
@@ -153,7 +170,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
     """Decide every row of ``pieces``; a slice is one (user, day, chunk)."""
     rows = pieces
     if starts:
-        # at most two rows per chunk, see border_slices
+        # at most two rows per chunk, see border_groups
         rows = rows.join(F.broadcast(_starts_frame(pieces, starts)), [*GROUP, "chunk"], "left")
     else:
         rows = rows.withColumn("start", F.lit(None).cast("bigint"))

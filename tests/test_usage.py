@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stackquarry import catalog
 from stackquarry.functions import money
-from stackquarry.operators import answers, usage
-from stackquarry.operators.budget import border_slices, budget_gate
+from stackquarry.operators import answers, budget, usage
+from stackquarry.operators.budget import border_groups, budget_gate, starting_spend
 from stackquarry.operators.ordered import ordered_chunks, running_total
 from stackquarry.streaming.usage import budget_decisions, run_budget_gate
 
@@ -85,13 +85,26 @@ def test_gate_with_a_hot_user_day(spark, seed):
     rows = random_requests(seed, cheap=seed == 3)
     df = spark.createDataFrame(rows, GATE)
     pieces = ordered_chunks(df.withColumn("opening", F.lit(0).cast("bigint")), ["user_id", "day"], ["ts", "req_id"], 9)
-    assert len(border_slices(pieces)[(7, DAY)]) >= 4
+    assert len(border_groups(pieces)[(7, DAY)]) >= 4
     got = budget_gate(df, chunks=9)
     assert decisions(got) == gate_by_hand(rows)[0]
     for row in got.collect():
         assert (row.error is None) if row.admitted else row.error.startswith("daily budget exceeded. Remaining: $")
 
 
+def test_free_requests_do_not_cost_a_round_per_chunk(spark, monkeypatch):
+    """A nearly used-up budget with cheap free requests in every chunk."""
+    rows = [(7, DAY, START, i, 10 if i % 2 else 30, 0 if i % 2 else 25, 50) for i in range(400)]
+    df = spark.createDataFrame(rows, GATE)
+    pieces = ordered_chunks(df.withColumn("opening", F.lit(0).cast("bigint")), ["user_id", "day"], ["ts", "req_id"], 12)
+    folds = []
+    original = budget._spend_after
+    monkeypatch.setattr(budget, "_spend_after", lambda p, s: folds.append(len(s)) or original(p, s))
+    starts = starting_spend(pieces)
+    assert len(starts) == len(border_groups(pieces)[(7, DAY)]) and len(folds) == 1
+    assert decisions(budget_gate(df, chunks=12)) == gate_by_hand(rows)[0]
+
+
 def test_gate_with_opening_spend(spark):
     rows = random_requests(9)
     opening = {(7, DAY): 30, (1, DAY): 100}
