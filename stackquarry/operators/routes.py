@@ -123,9 +123,12 @@ def _lookup(
 def available_apis(lookups: DataFrame, apis: DataFrame) -> DataFrame:
     """The API names, in list order, of every project with a missed API.
 
-    One row per project and API, not a list copied into each missed question.
+    One row per project and API, not a list copied into each missed question. Only
+    the API look-up is needed to know what was missed, and the distinct lets Spark
+    drop the route joins from the plan.
     """
-    missed = lookups.filter(F.col("outcome") == "api_missing").select("project")
+    missing = (F.col("intent") == ROUTE_INTENT) & F.col("api_id").isNull()
+    missed = lookups.filter(missing).select("project").distinct()
     return apis.join(missed, "project", "left_semi").select("project", "pos", "name")
 
 

@@ -21,4 +21,5 @@ def trigger_counts(questions: DataFrame, triggers: DataFrame) -> DataFrame:
 
 
 def triggers_of_asked(questions: DataFrame, triggers: DataFrame) -> DataFrame:
-    return triggers.join(questions.select("function_name"), "function_name", "left_semi")
+    asked = questions.select("function_name").distinct()
+    return triggers.join(asked, "function_name", "left_semi")
