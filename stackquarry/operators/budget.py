@@ -148,7 +148,8 @@ def starting_spend(pieces: DataFrame) -> list[tuple]:
 
 
 def _spend_after(pieces: DataFrame, slices: list[tuple]) -> dict[tuple, int]:
-    """Fold just these slices; chunk is a folder, so only their chunks are read."""
+    """Fold just these slices. A file holds one chunk, so the chunk filter skips the
+    other files by their statistics."""
     wanted = _starts_frame(pieces, slices)
     own = pieces.filter(F.col("chunk").isin([s[2] for s in slices])).join(
         F.broadcast(wanted.drop("start")), [*GROUP, "chunk"], "left_semi"

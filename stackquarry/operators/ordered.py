@@ -5,7 +5,8 @@ exchange and names each range partition a chunk. The sort key is unique, so a
 chunk has about rows / chunks rows however skewed the groups are: a group that
 holds a third of all rows simply spans a third of the chunks, in order. The
 result is written once; chunk numbers are then plain data and stay the same when
-a lost task is run again.
+a lost task is run again. Each written file holds one chunk, so a filter on chunk
+skips the others by their row-group statistics.
 """
 
 from __future__ import annotations

@@ -163,6 +163,19 @@ def scan_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return scans.scan_outcomes(**shapes.scan_inputs(spark, sf))
 
 
+@query
+def scan_results(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = scans.scan_outcomes(**shapes.scan_inputs(spark, sf)).select(
+        F.concat(F.lit("scan "), "project").alias("asked"), "doc", "error"
+    )
+    return answers.result_envelope(outcomes, "asked", data="doc").select("query", files.result_json().alias("result"))
+
+
+@query
+def scan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return resources.scan_summary(shapes.stack_documents(spark, sf))
+
+
 @query
 def stack_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     artifacts = scans.stack_artifacts(shapes.scan_inputs(spark, sf)["manifests"])
@@ -410,7 +423,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
 def answer_within_budget(spark: SparkSession, sf: str) -> DataFrame:
     asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
     ready = asked.filter(F.col("context").isNotNull()).withColumns(
-        {"model_id": F.lit(catalog.DEFAULT_MODEL), "limit_micro": F.lit(3_000_000).cast("bigint")}
+        {"model_id": F.lit(catalog.DEFAULT_MODEL), "limit_micro": F.lit(1_500_000).cast("bigint")}
     )
     return answers.answer_within_budget(ready, echo_backend, catalog.prices(spark)).select(
         "req_id", "admitted", "spent_before_micro", "cost_micro", "answer"

@@ -207,6 +207,16 @@ SELECT *, CASE error_code
   WHEN 'template_unreadable' THEN 'could not read template file ' || stack || '.json'
   WHEN 'template_unparsable' THEN 'could not parse template file ' || stack || '.json' END AS error FROM r"""
 
+RESULTS = f"""SELECT 'scan ' || project AS query, CASE WHEN error IS NULL
+  THEN '{{"query":"scan ' || project || '","data":' || doc || ',"success":true}}'
+  ELSE '{{"query":"scan ' || project || '","data":null,"error":"' || error || '","success":false}}' END AS result
+FROM ({SCAN})"""
+
+SCAN_SUMMARY = f"""SELECT project, stack, 'total' AS section, 'resources' AS item, resource_total AS n FROM ({TOTALS})
+UNION ALL SELECT project, stack, 'type', type, count(*) FROM ({TYPED}) GROUP BY ALL
+UNION ALL SELECT project, stack, 'key', label, 1 FROM ({KEY})
+UNION ALL SELECT project, stack, 'output', output_name, 1 FROM ({OUTPUTS})"""
+
 ARTIFACTS = """SELECT 'c' || c_custkey AS project, s AS stack, s || '.json' AS template_file, 'A' AS first_stack
 FROM customer CROSS JOIN (SELECT unnest(['A', 'B']) AS s)
 WHERE c_custkey % 8 IN (4, 5, 6, 7) AND (s = 'A' OR c_custkey % 8 = 6)"""
@@ -443,6 +453,29 @@ SELECT req_id, 'arch' AS backend,
   CASE WHEN nation >= 25 THEN {_text(wording.NO_SNAPSHOT)} END AS error
 FROM cleaned JOIN asked USING (req_id)"""
 
+GATED_ANSWERS = f"""WITH RECURSIVE {_ASKED}, echoed AS (
+  SELECT req_id, 'So, in summary: arch: ' || words || ' from [[ARN_1]] at [[IP_2]]' AS reply FROM asked),
+{_clean('echoed', 'req_id', 'reply')},
+sized AS (
+  SELECT req_id, conv_id, turn, conv_id % 10 AS user_id, conv_id % 3 AS day, answer,
+    strlen({_text(_HEAD)} || {_CONTEXT} || {_text(_MIDDLE)} || words || ' from [[ARN_1]] at [[IP_2]]' || {_text(_TAIL)}) // 4 AS i,
+    strlen(reply) // 4 AS o
+  FROM asked JOIN nation ON n_nationkey = nation JOIN echoed USING (req_id) JOIN cleaned USING (req_id)),
+numbered AS (
+  SELECT *, CAST(i * 250 + 625000 AS BIGINT) AS est, CAST(i * 250 + o * 1250 AS BIGINT) AS cost,
+    row_number() OVER (PARTITION BY user_id, day ORDER BY conv_id, turn) AS rn FROM sized),
+fold AS (
+  SELECT user_id, day, rn, req_id, est <= 1500000 AS admitted, CAST(0 AS BIGINT) AS before,
+    CASE WHEN est <= 1500000 THEN cost ELSE 0 END AS cost FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT x.user_id, x.day, x.rn, x.req_id, f.before + f.cost + x.est <= 1500000, f.before + f.cost,
+    CASE WHEN f.before + f.cost + x.est <= 1500000 THEN x.cost ELSE 0 END
+  FROM fold f JOIN numbered x ON x.user_id = f.user_id AND x.day = f.day AND x.rn = f.rn + 1)
+SELECT f.req_id, f.admitted, f.before AS spent_before_micro, f.cost AS cost_micro,
+  CASE WHEN f.admitted THEN replace(replace(n.answer, '[[ARN_1]]', 'arn:aws:lambda:us-east-1:1:function:f' || n.conv_id),
+    '[[IP_2]]', '10.0.0.' || n.turn) END AS answer
+FROM fold f JOIN numbered n USING (req_id)"""
+
 # ---- accounts and pairs -----------------------------------------------------
 
 _QUOTAS = """q AS (
@@ -490,6 +523,8 @@ ORACLE: dict[str, str] = {
     "resource_totals": TOTALS,
     "stack_outputs": OUTPUTS,
     "scan_outcomes": SCAN,
+    "scan_results": RESULTS,
+    "scan_summary": SCAN_SUMMARY,
     "stack_artifacts": ARTIFACTS,
     "latest_snapshot": SNAPSHOT,
     "scrub_documents": SCRUB_DOCUMENTS,
@@ -518,6 +553,7 @@ ORACLE: dict[str, str] = {
     "extract_response": REPLIES,
     "clean_response": CLEAN,
     "answer_batch": ANSWERS,
+    "answer_within_budget": GATED_ANSWERS,
     "quota_status": QUOTA_STATUS,
     "quota_recommendation": QUOTA_ADVICE,
     "pending_quotas": PENDING,
