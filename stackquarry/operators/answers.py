@@ -124,7 +124,8 @@ def answer_within_budget(
             "micro_out": cost_micro(F.lit(0), F.lit(1)),
         }
     ).drop("input_cost", "output_cost", "speed", "quality")
-    pieces = ordered_chunks(priced, GROUP, ORDER, chunks)
+    # stored first: the range exchange looks at its input twice, prompts are built once
+    pieces = ordered_chunks(written(priced, "prompts"), GROUP, ORDER, chunks)
     decided = _rounds(pieces, backend)
     finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
     return finished.withColumn("error", refusal_message()).drop(
