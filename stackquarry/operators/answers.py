@@ -112,9 +112,11 @@ def answer_within_budget(
     after its reply, so a (user, day) advances in order; different groups advance
     together and their next prompts share one batch. Groups that cross chunk
     borders go on chunk by chunk, in as many rounds as a group still has budget for.
+    Questions without a context are not sent and do not count.
     """
     ready = prepare_prompts(questions, has_architecture_backend, classifier)
-    priced = with_prices(ready, prices).withColumns(
+    known = F.col("context").isNotNull()
+    priced = with_prices(ready.filter(known), prices).withColumns(
         {
             "prompt_tokens": token_estimate(F.col("prompt")),
             "est_micro": estimate_micro(token_estimate(F.col("prompt"))),
@@ -128,9 +130,14 @@ def answer_within_budget(
     pieces = ordered_chunks(written(priced, "prompts"), GROUP, ORDER, chunks)
     decided = _rounds(pieces, backend)
     finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
-    return finished.withColumn("error", refusal_message()).drop(
+    finished = finished.withColumn("error", refusal_message()).drop(
         "redactions", "prompt", "reply", "chunk", "opening", "micro_in", "micro_out", "prompt_tokens"
     )
+    missing = ready.filter(~known).drop("redactions", "prompt")
+    return finished.unionByName(
+        missing.withColumns({"admitted": F.lit(False), "error": F.lit(NO_SNAPSHOT)}),
+        allowMissingColumns=True,
+    )
 
 
 def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:

@@ -46,8 +46,12 @@ def display_names(df: DataFrame, requirements: DataFrame, name: str = "name") ->
     sizes = requirements.select(F.col("name").alias("_known"), F.col("size").alias("_size"))
     return (
         df.join(sizes, F.col(name) == F.col("_known"), "left")
-        .withColumn("label", F.coalesce(F.format_string("%s (%s)", name, "_size"), F.col(name)))
-        .withColumn("label", F.when(F.col("_size").isNull(), F.col(name)).otherwise(F.col("label")))
+        .withColumn(
+            "label",
+            F.when(F.col("_size").isNull(), F.col(name)).otherwise(
+                F.format_string("%s (%s)", name, "_size")
+            ),
+        )
         .drop("_known", "_size")
     )
 

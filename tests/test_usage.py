@@ -140,8 +140,23 @@ def test_streamed_gate_equals_batch_on_ordered_input(spark, tmp_path):
     assert decisions(out) == gate_by_hand(rows)[0]
 
 
+@pytest.fixture
+def tiny_batches(spark):
+    """Arrow batches of seven rows, so that groups go on from one batch to the next."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_gate_across_arrow_batches(spark, tiny_batches):
+    rows = random_requests(21)
+    assert decisions(budget_gate(spark.createDataFrame(rows, GATE), chunks=2)) == gate_by_hand(rows)[0]
+
+
 @pytest.mark.parametrize("chunks", [1, 6])
-def test_answers_within_budget(spark, chunks):
+def test_answers_within_budget(spark, tiny_batches, chunks):
     rng = random.Random(chunks)
     rows = [
         (7 if rng.random() < 0.6 else rng.randrange(4), DAY, START + timedelta(seconds=rng.randrange(20)), i,
@@ -149,7 +164,8 @@ def test_answers_within_budget(spark, chunks):
         for i in range(120)
     ]
     schema = "user_id BIGINT, day DATE, ts TIMESTAMP, req_id BIGINT, question STRING, context STRING, model_id STRING, limit_micro BIGINT"
-    df = spark.createDataFrame(rows, schema)
+    lost = (7, DAY, START, 999, "no context", None, catalog.DEFAULT_MODEL, 6_000_000)
+    df = spark.createDataFrame([*rows, lost], schema)
 
     def echo(names, prompts):
         return pd.Series(["r" * (len(p) % 97) for p in prompts])
@@ -167,4 +183,5 @@ def test_answers_within_budget(spark, chunks):
         spent[user] = before + cost
         assert (got[req].admitted, got[req].spent_before_micro, got[req].cost_micro) == (ok, before, cost)
         assert (got[req].answer is None) == (not ok)
-    assert any(not r.admitted for r in got.values()) and len(got) == 120
+    assert any(not r.admitted for r in got.values()) and len(got) == 121
+    assert not got[999].admitted and "run a scan first" in got[999].error
