@@ -33,3 +33,11 @@ def fill(template: str, **slots: Column) -> Column:
         before, rest = rest.split("{" + name + "}", 1)
         pieces += [F.lit(before), value]
     return F.concat(*pieces, F.lit(rest))
+
+
+def label_of_kind(kind: Column, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(
+        lambda other, p: F.when(kind == p[0], F.lit(p[1])).otherwise(other),
+        reversed(pairs),
+        F.lit(None).cast("string"),
+    )

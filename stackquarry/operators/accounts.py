@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackquarry import wording
-from stackquarry.operators.models import label_of_kind
+from stackquarry.functions.text import label_of_kind
 
 # ---- fixed values -----------------------------------------------------------
 RETENTION_DAYS = 30

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,11 +186,3 @@ def best_per_group(df: DataFrame, keys: list[str], ranking: list[Column], value:
     ``ranking`` (ascending expressions), as a partial aggregate instead of a window."""
     order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(ranking)])
     return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))
-
-
-def label_of_kind(kind: Column, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(
-        lambda other, p: F.when(kind == p[0], F.lit(p[1])).otherwise(other),
-        reversed(pairs),
-        F.lit(None).cast("string"),
-    )

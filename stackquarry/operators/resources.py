@@ -7,12 +7,11 @@ count on the map side.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackquarry.functions import variants
+from stackquarry.functions.text import label_of_kind
 from stackquarry.schemas import TEMPLATE
 from stackquarry.wording import KEY_RESOURCES
 
@@ -24,17 +23,40 @@ def decode_templates(documents: DataFrame) -> DataFrame:
     return documents.select(*KEYS, F.from_json("doc", TEMPLATE).alias("template"))
 
 
+def resource_type(body: Column) -> Column:
+    """The Type of an entry when it is a text, else NULL."""
+    return variants.text_or_null(body, "$.Type")
+
+
 def resource_entries(templates: DataFrame) -> DataFrame:
     """One row per entry under Resources: type NULL unless it is an object with a text Type."""
     entries = templates.select(*KEYS, F.explode("template.Resources").alias("logical_id", "body"))
     return entries.select(
         *KEYS,
         "logical_id",
-        variants.text_or_null(F.col("body"), "$.Type").alias("type"),
+        resource_type(F.col("body")).alias("type"),
         variants.field(F.col("body"), "$.Properties").alias("properties"),
     )
 
 
+def key_kind(type_name: Column) -> Column:
+    """Display name of the four key kinds, NULL for other types."""
+    return label_of_kind(type_name, [(name, label) for name, label, _ in KEY_RESOURCES])
+
+
+def own_name(type_name: Column, properties: Column) -> Column:
+    """The name property of a key kind when it is a text, else NULL."""
+    name = F.lit(None).cast("string")
+    for known, _, prop in reversed(KEY_RESOURCES):
+        name = F.when(type_name == known, variants.text_or_null(properties, f"$.{prop}")).otherwise(name)
+    return name
+
+
+def key_label(kind: Column, name: Column, logical_id: Column) -> Column:
+    named = F.concat(kind, F.lit(": "), name, F.lit(" ("), logical_id, F.lit(")"))
+    return F.coalesce(named, F.concat(kind, F.lit(": "), logical_id))
+
+
 def typed_resources(resources: DataFrame) -> DataFrame:
     """P01."""
     return resources.filter(F.col("type").isNotNull())
@@ -42,14 +64,12 @@ def typed_resources(resources: DataFrame) -> DataFrame:
 
 def key_resources(resources: DataFrame) -> DataFrame:
     """P02 with P03: the four key kinds, with a readable label."""
-    kind = F.lit(None).cast("string")
-    name = F.lit(None).cast("string")
-    for type_name, label, prop in reversed(KEY_RESOURCES):
-        hit = F.col("type") == type_name
-        kind = F.when(hit, F.lit(label)).otherwise(kind)
-        name = F.when(hit, variants.text_or_null(F.col("properties"), f"$.{prop}")).otherwise(name)
     found = resources.filter(F.col("type").isin([k[0] for k in KEY_RESOURCES])).select(
-        *KEYS, "logical_id", "type", kind.alias("kind"), name.alias("_name")
+        *KEYS,
+        "logical_id",
+        "type",
+        key_kind(F.col("type")).alias("kind"),
+        own_name(F.col("type"), F.col("properties")).alias("_name"),
     )
     return found.select(
         *KEYS,
@@ -57,11 +77,7 @@ def key_resources(resources: DataFrame) -> DataFrame:
         "type",
         "kind",
         F.coalesce("_name", "logical_id").alias("friendly_name"),
-        F.when(
-            F.col("_name").isNotNull(), F.format_string("%s: %s (%s)", "kind", "_name", "logical_id")
-        )
-        .otherwise(F.format_string("%s: %s", "kind", "logical_id"))
-        .alias("label"),
+        key_label(F.col("kind"), F.col("_name"), F.col("logical_id")).alias("label"),
     )
 
 
@@ -85,24 +101,46 @@ def resources_by_type(resources: DataFrame, *by: str) -> DataFrame:
 
 
 def scan_summary(documents: DataFrame) -> DataFrame:
-    """The three summary blocks of a scan as rows (project, stack, section, item, n)."""
-    templates = decode_templates(documents)
-    resources = resource_entries(templates)
-    sections = [
-        stack_totals(templates).select(
-            *KEYS, F.lit("total").alias("section"), F.lit("resources").alias("item"),
-            F.col("resource_total").alias("n"),
-        ),
-        resources_by_type(resources, *KEYS).select(
-            *KEYS, F.lit("type").alias("section"), F.col("type").alias("item"), "n"
-        ),
-        key_resources(resources).select(
-            *KEYS, F.lit("key").alias("section"), F.col("label").alias("item"),
-            F.lit(1).cast("bigint").alias("n"),
-        ),
-        stack_outputs(templates).select(
-            *KEYS, F.lit("output").alias("section"), F.col("output_name").alias("item"),
-            F.lit(1).cast("bigint").alias("n"),
-        ),
-    ]
-    return reduce(DataFrame.unionByName, sections)
+    """The summary of a scan as rows (project, stack, section, item, n): the total, the
+    count per type, the key resources and the outputs of each stack.
+
+    A template is parsed once; all its lines come out of one explode, and equal
+    lines (the types) are added up, within the task first.
+    """
+
+    def line(section: str, item: Column, n: Column | None = None) -> Column:
+        count = F.lit(1) if n is None else n
+        return F.struct(
+            F.lit(section).alias("section"), item.alias("item"), count.cast("bigint").alias("n")
+        )
+
+    def typed(entry: Column) -> Column:
+        return F.struct(
+            entry["key"].alias("logical_id"),
+            entry["value"].alias("body"),
+            resource_type(entry["value"]).alias("type"),
+        )
+
+    def lines_of(entry: Column) -> Column:
+        properties = variants.field(entry["body"], "$.Properties")
+        name = own_name(entry["type"], properties)
+        label = key_label(key_kind(entry["type"]), name, entry["logical_id"])
+        return F.array(line("type", entry["type"]), line("key", label))
+
+    entries = F.transform(F.map_entries("template.Resources"), typed)
+    total = line("total", F.lit("resources"), F.coalesce(F.size(entries), F.lit(0)))
+    outputs = F.transform(F.map_keys("template.Outputs"), lambda name: line("output", name))
+    none = F.array().cast("array<struct<section:string,item:string,n:bigint>>")
+    lines = F.concat(
+        F.array(total),
+        F.coalesce(F.flatten(F.transform(entries, lines_of)), none),
+        F.coalesce(outputs, none),
+    )
+    return (
+        decode_templates(documents)
+        .select(*KEYS, F.explode(lines).alias("line"))
+        .select(*KEYS, "line.section", "line.item", "line.n")
+        .filter(F.col("item").isNotNull())
+        .groupBy(*KEYS, "section", "item")
+        .agg(F.sum("n").alias("n"))
+    )
