@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe
+from stackquarry.llm import bpe, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,57 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_mix": op10_mix,
     "op8_bpe": op8_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_mix": """
+WITH sizes AS (
+    SELECT doc_id, source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+    FROM documents
+), sums AS (
+    SELECT source, sum(size)::BIGINT AS source_size, sum(size * length(bin(size)))::DOUBLE AS measured
+    FROM sizes GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+           (source_size * 3)::DOUBLE AS most
+    FROM sums
+), levels AS (
+    SELECT *,
+           (sum(source_size) OVER ()
+              - (sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - most))
+         / (sum(weight) OVER ()
+              - (sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - weight))
+           AS level
+    FROM weighed
+), targets AS (
+    SELECT *, least(most, weight * max(CASE WHEN level <= most / weight THEN level END) OVER ()) AS target
+    FROM levels
+), drawn AS (
+    SELECT s.doc_id, s.size, t.source, t.source_size, t.target,
+           least(floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END), 3)::BIGINT AS copies,
+           CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
+           length(bin(s.size)) / (greatest(t.measured, 1) / greatest(t.source_size, 1)) AS measure,
+           (('0x' || substr(md5('mix:' || s.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), placed AS (
+    SELECT *, CASE WHEN copies >= 3 THEN 0 ELSE target - copies * source_size END AS wanted,
+           least(CASE WHEN copies >= 3 THEN 0 ELSE ratio - copies END * measure, 0.999) AS chance
+    FROM drawn
+), ordered AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u * (1 - chance) / (u * (1 - chance) + (1 - u) * chance), doc_id
+                              ROWS UNBOUNDED PRECEDING) AS through
+    FROM placed
+)
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN wanted > 0 AND through - size / 2.0 <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+""",
+}
