@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-Each text is cut into pieces by the tokenizer's pattern. Within one Arrow batch of
-documents the pieces are reduced to the distinct ones; Spark's higher-order functions
+Each text is cut into pieces by the tokenizer's pattern. Within one batch of documents the
+pieces are reduced to the distinct ones; Spark's higher-order functions
 then fold the ranked merges over the byte array of each distinct piece, looking pairs
 up in a literal rank map, and concatenate the tokens' binary pieces again. Finally the
 distinct results are spread over the documents of the same batch. Nothing is shuffled,
@@ -13,10 +13,12 @@ byte string. Repeated rows give repeated results. Extra columns are ignored.
 
 from __future__ import annotations
 
+import array
 import base64
 import collections
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose pieces are reduced together; a longer text is a batch of its own.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 20 << 20
 #: Slots of the literal rank map; a vocabulary of 50,000 tokens has about 110,000 pairs.
 SLOTS = 1 << 19
+#: A slot of no pair: greater than every symbol's.
+FREE = 1 << 40
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: One batch of documents: their pieces as places among the distinct pieces, and those.
-REDUCED = "doc_ids array<bigint>, sizes array<int>, refs binary, parts array<array<int>>"
+#: One batch of documents: their chunks as places among its distinct chunks, the pieces
+#: of each of these as places among its distinct pieces, and the bytes of these.
+REDUCED = "doc_ids array<bigint>, sizes array<int>, refs binary, cuts binary, of_chunk binary, parts array<array<int>>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -58,11 +63,11 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 def literal_map(path: str) -> tuple[list[int], list[int]]:
     """The rank map as two arrays. The pairs of a left symbol lie in the second one from
     the place that the first one names for it: the slot at place + right holds
-    left * 131072 + rank if the two merge, and something else (-1: free) if not."""
+    left * 131072 + rank if the two merge, and that of another left symbol (or FREE) if not."""
     rows: dict[int, list[tuple[int, int]]] = {}
     for key, rank in pair_ranks(token_ranks(path)).items():
         rows.setdefault(key >> 16, []).append((key & 65535, rank))
-    slots = np.full(SLOTS + 65536, -1, np.int64)
+    slots = np.full(SLOTS + 65536, FREE, np.int64)
     places = [SLOTS] * 65536
     tries = np.random.default_rng(0)
     for left in sorted(rows, key=lambda left: (-len(rows[left]), left)):
@@ -70,7 +75,7 @@ def literal_map(path: str) -> tuple[list[int], list[int]]:
         fits = np.empty(0, np.int64)
         while not len(fits):
             starts = tries.integers(0, SLOTS, 64)
-            fits = starts[(slots[starts[:, None] + rights] < 0).all(1)]
+            fits = starts[(slots[starts[:, None] + rights] == FREE).all(1)]
         places[left] = int(fits[0])
         slots[fits[0] + rights] = (left << 17) + np.array([rank for _, rank in rows[left]])
     return places, slots.tolist()
@@ -95,27 +100,27 @@ def merged(parts: Column, path: str) -> Column:
     byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
 
     def step(symbols: Column, _: Column) -> Column:
-        found = F.transform(
-            symbols, lambda s, i: F.get(slot_map, F.get(place_map, s) + F.get(symbols, i + 1))
-        )
+        # Rank and place of each pair that merges; far larger values for the others.
         ranked = F.transform(
-            found,
-            lambda slot, i: F.when(
-                F.shiftright(slot, 17) == F.get(symbols, i),
-                F.shiftleft(slot.bitwiseAND(F.lit(131071)), 32).bitwiseOR(i),
-            ),
-        )
-        return _let(
-            F.array_min(ranked),
-            lambda best: F.when(best.isNull(), symbols).otherwise(
-                F.concat(
-                    F.slice(symbols, F.lit(1), best.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")),
-                    F.array(F.shiftright(best, 32).cast("int")),
-                    F.slice(symbols, best.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 3, F.size(symbols)),
-                )
-            ),
+            symbols,
+            lambda s, i: F.shiftleft(
+                F.get(slot_map, F.get(place_map, s) + F.get(symbols, i + 1)).bitwiseXOR(
+                    F.shiftleft(s.cast("bigint"), 17)
+                ),
+                16,
+            ).bitwiseOR(i),
         )
 
+        def merge(best: Column) -> Column:
+            place = best.bitwiseAND(F.lit(65535)).cast("int")
+            pair = F.array(F.shiftright(best, 16).cast("int"))
+            joined = F.concat(
+                F.slice(symbols, F.lit(1), place), pair, F.slice(symbols, place + 3, F.size(symbols))
+            )
+            return F.when(best < F.lit(1 << 33), joined).otherwise(symbols)
+
+        return _let(F.array_min(ranked), merge)
+
     steps = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
     return F.transform(
         F.aggregate(steps, parts, step),
@@ -148,30 +153,64 @@ def _batches(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
+#: White space beside a space: there a text is not cut at its spaces.
+WIDE = re.compile(r"\s | \s")
+
+
+def _chunks(text: str) -> list[str]:
+    """Cut before every space, where each one stands between two characters that are not
+    white space: a piece of the pattern never goes on over such a place, and what stands
+    before it does not matter to the pieces behind it. Else the whole text."""
+    if WIDE.search(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return [first] * bool(first) + [" " + part for part in rest]
+
+
+def _flat(values: np.ndarray, cuts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen rows of a ragged array, one after the other."""
+    starts, lengths = cuts[chosen], cuts[chosen + 1] - cuts[chosen]
+    ends = np.cumsum(lengths)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
 def _reduce(pattern: str):
-    """Cut texts into pieces; keep each distinct piece of a batch once."""
+    """Cut texts into chunks, the batch's distinct chunks into pieces, and keep each
+    distinct piece once."""
 
     def reduce(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.int32()))]
         for ids, texts in _batches(tables):
-            places: dict[str, int] = collections.defaultdict(lambda: len(places))
-            refs = []
-            for n, text in enumerate(texts):
-                pieces = find(text)
-                refs.append(np.fromiter(map(places.__getitem__, pieces), np.int32, len(pieces)))
-                texts[n] = ""
-            distinct = [piece.encode() for piece in places]
-            ends = np.cumsum([0] + [len(piece) for piece in distinct], dtype=np.int32)
-            values = np.frombuffer(b"".join(distinct), np.uint8).astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            row = [
-                pa.array([ids], kinds[0]),
-                pa.array([[len(of_one) for of_one in refs]], kinds[1]),
-                pa.array([np.concatenate(refs).tobytes()], kinds[2]),
-                pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
-            ]
-            yield pa.RecordBatch.from_arrays(row, names=["doc_ids", "sizes", "refs", "parts"])
+            yield one_row(ids, texts, find)
+
+    def one_row(ids: list, texts: list[str], find) -> pa.RecordBatch:
+        places: dict[str, int] = collections.defaultdict(lambda: len(places))
+        refs = []
+        for n, text in enumerate(texts):
+            texts[n] = ""
+            chunks = _chunks(text)
+            refs.append(np.fromiter(map(places.__getitem__, chunks), np.int32, len(chunks)))
+        sizes, refs = [len(of_one) for of_one in refs], np.concatenate(refs).tobytes()
+        pieces: dict[str, int] = collections.defaultdict(lambda: len(pieces))
+        of_chunk, cuts = array.array("i"), array.array("i", [0])
+        for chunk in places:
+            of_chunk.extend(map(pieces.__getitem__, find(chunk)))
+            cuts.append(len(of_chunk))
+        places.clear()
+        distinct = [piece.encode() for piece in pieces]
+        pieces.clear()
+        ends = np.cumsum([0] + [len(piece) for piece in distinct], dtype=np.int32)
+        values = np.frombuffer(b"".join(distinct), np.uint8).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        row = [
+            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([sizes], pa.list_(pa.int32())),
+            pa.array([refs], pa.binary()),
+            pa.array([cuts.tobytes()], pa.binary()),
+            pa.array([of_chunk.tobytes()], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
+        ]
+        return pa.RecordBatch.from_arrays(row, names=["doc_ids", "sizes", "refs", "cuts", "of_chunk", "parts"])
 
     return reduce
 
@@ -180,31 +219,41 @@ def _spread(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of each document's ids and decoded bytes."""
     for table in tables:
         for n in range(table.num_rows):
-            doc_ids, sizes = table.column(0)[n].as_py(), table.column(1)[n].as_py()
-            refs = np.frombuffer(table.column(2)[n].as_buffer(), np.int32)
-            pieces = table.column(3)[n].values
+            doc_ids, sizes = table.column("doc_ids")[n].as_py(), table.column("sizes")[n].as_py()
+            refs, cuts, of_chunk = (
+                np.frombuffer(table.column(name)[n].as_buffer(), np.int32) for name in ("refs", "cuts", "of_chunk")
+            )
+            pieces = table.column("pieces")[n].values
             id_lists = pieces.field("ids")
-            flat = np.asarray(id_lists.flatten(), np.uint32)
-            cuts = np.asarray(id_lists.offsets, np.int64)
-            cuts = cuts - cuts[0]
+            ids = np.asarray(id_lists.flatten()).astype("<u4")
+            id_cuts = np.asarray(id_lists.offsets).astype(np.int64)
+            id_cuts -= id_cuts[0]
             texts = pieces.field("bytes").to_pylist()
+            # From pieces to chunks: ids and bytes of each distinct chunk.
+            counts = np.append(0, np.cumsum(np.diff(id_cuts)[of_chunk]))
+            ids, id_cuts = _flat(ids, id_cuts, of_chunk), counts[cuts]
+            of_chunk, bounds = of_chunk.tolist(), cuts.tolist()
+            texts = [
+                b"".join(map(texts.__getitem__, of_chunk[low:high])) for low, high in zip(bounds, bounds[1:])
+            ]
             rows, end = [], 0
             for doc_id, size in zip(doc_ids, sizes):
                 own = refs[end : end + size]
                 end += size
-                starts, lengths = cuts[own], cuts[own + 1] - cuts[own]
-                total = int(lengths.sum())
-                at = np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+                encoded = _flat(ids, id_cuts, own)
+                decoded_text = b"".join(map(texts.__getitem__, own.tolist()))
                 rows.append(
                     (
                         doc_id,
-                        total,
-                        hashlib.sha256(flat[at].astype("<u4").tobytes()).hexdigest(),
-                        hashlib.sha256(b"".join(map(texts.__getitem__, own.tolist()))).hexdigest(),
+                        len(encoded),
+                        hashlib.sha256(encoded.tobytes()).hexdigest(),
+                        hashlib.sha256(decoded_text).hexdigest(),
                     )
                 )
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(column) for column in zip(*rows)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
 
@@ -215,4 +264,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         F.transform("parts", lambda parts: merged(parts, path)),
         lambda ids: F.struct(ids.alias("ids"), decoded(ids, path).alias("bytes")),
     )
-    return reduced.select("doc_ids", "sizes", "refs", encoded.alias("pieces")).mapInArrow(_spread, ENCODED)
+    return reduced.select("doc_ids", "sizes", "refs", "cuts", "of_chunk", encoded.alias("pieces")).mapInArrow(_spread, ENCODED)

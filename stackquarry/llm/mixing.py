@@ -17,11 +17,11 @@ their rows in the mix and are not part of the report.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackquarry.llm.shared import shared_table
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -33,17 +33,6 @@ BINS = 4096
 MOST_CHANCE = 0.999
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, so that a lost executor
-    costs a read and not another run."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe, mixing
+from stackquarry.llm import bpe, mixing, near_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -22,8 +30,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op10_mix": op10_mix,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
+    "op10_mix": op10_mix,
 }
 
 ORACLE: dict[str, str] = {
