@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
 Each text is cut into pieces by the tokenizer's pattern. Within one batch of documents the
-pieces are reduced to the distinct ones; Spark's higher-order functions
-then fold the ranked merges over the byte array of each distinct piece, looking pairs
-up in a literal rank map, and concatenate the tokens' binary pieces again. Finally the
-distinct results are spread over the documents of the same batch. Nothing is shuffled,
-and no task holds more than one batch.
+pieces are reduced to the distinct ones. The ranked merges are folded over the byte arrays
+of all distinct pieces at once: in each turn every piece merges its pair of least rank, the
+leftmost of equals, which it finds in a rank map of pairs, until no piece has a pair left.
+Decoding concatenates the tokens' binary pieces. The results of the distinct pieces are
+then spread over the documents of the batch. Nothing is shuffled, and no task holds more
+than one batch.
+
+The fold over Spark's higher-order functions gave the same ids, but took more memory and
+time than a cluster's executor has here; the README gives the figures.
 
 Defined results: a null or empty text has no tokens; its digests are those of the empty
 byte string. Repeated rows give repeated results. Extra columns are ignored.
@@ -18,26 +22,26 @@ import base64
 import collections
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text whose pieces are reduced together; a longer text is a batch of its own.
-BATCH_BYTES = 20 << 20
-#: Slots of the literal rank map; a vocabulary of 50,000 tokens has about 110,000 pairs.
+#: Characters of text whose pieces are reduced together; a longer text is its own batch.
+BATCH = 4 << 20
+#: Slots of the rank map; a vocabulary of 50,000 tokens has about 110,000 pairs.
 SLOTS = 1 << 19
-#: A slot of no pair: greater than every symbol's.
-FREE = 1 << 40
+#: A slot of no pair: greater than every symbol's. And the least value that is no rank.
+FREE, NO_RANK = 1 << 40, 1 << 17
+#: Bytes from which a piece is merged by itself, as it takes many turns.
+LONG = 128
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: One batch of documents: their chunks as places among its distinct chunks, the pieces
-#: of each of these as places among its distinct pieces, and the bytes of these.
-REDUCED = "doc_ids array<bigint>, sizes array<int>, refs binary, cuts binary, of_chunk binary, parts array<array<int>>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,106 +51,125 @@ def token_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+class RankMap:
     """The rank that each pair of symbols merges to. A symbol is a byte's value, or the
-    rank of a longer token; a pair's key is left * 65536 + right."""
-    symbol = {token: token[0] if len(token) == 1 else rank for token, rank in ranks.items()}
-    return {
-        (symbol[token[:cut]] << 16) + symbol[token[cut:]]: rank
-        for token, rank in ranks.items()
-        for cut in range(1, len(token))
-        if token[:cut] in symbol and token[cut:] in symbol
-    }
-
-
-@functools.lru_cache(maxsize=2)
-def literal_map(path: str) -> tuple[list[int], list[int]]:
-    """The rank map as two arrays. The pairs of a left symbol lie in the second one from
-    the place that the first one names for it: the slot at place + right holds
-    left * 131072 + rank if the two merge, and that of another left symbol (or FREE) if not."""
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for key, rank in pair_ranks(token_ranks(path)).items():
-        rows.setdefault(key >> 16, []).append((key & 65535, rank))
-    slots = np.full(SLOTS + 65536, FREE, np.int64)
-    places = [SLOTS] * 65536
-    tries = np.random.default_rng(0)
-    for left in sorted(rows, key=lambda left: (-len(rows[left]), left)):
-        rights = np.array([right for right, _ in rows[left]])
-        fits = np.empty(0, np.int64)
-        while not len(fits):
-            starts = tries.integers(0, SLOTS, 64)
-            fits = starts[(slots[starts[:, None] + rights] == FREE).all(1)]
-        places[left] = int(fits[0])
-        slots[fits[0] + rights] = (left << 17) + np.array([rank for _, rank in rows[left]])
-    return places, slots.tolist()
-
-
-def _literal(values: list[int], kind: str) -> Column:
-    """A constant array: the optimiser reads the JSON once and keeps the array."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), kind)
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def merged(parts: Column, path: str) -> Column:
-    """Fold the ranked merges over one byte array (values 0 to 255): always the pair of
-    least rank, the leftmost of equals, until none is left. Returns token ids."""
-    places, slots = literal_map(path)
-    place_map, slot_map = _literal(places, "array<int>"), _literal(slots, "array<bigint>")
-    ranks = token_ranks(path)
-    byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-
-    def step(symbols: Column, _: Column) -> Column:
-        # Rank and place of each pair that merges; far larger values for the others.
-        ranked = F.transform(
-            symbols,
-            lambda s, i: F.shiftleft(
-                F.get(slot_map, F.get(place_map, s) + F.get(symbols, i + 1)).bitwiseXOR(
-                    F.shiftleft(s.cast("bigint"), 17)
-                ),
-                16,
-            ).bitwiseOR(i),
-        )
-
-        def merge(best: Column) -> Column:
-            place = best.bitwiseAND(F.lit(65535)).cast("int")
-            pair = F.array(F.shiftright(best, 16).cast("int"))
-            joined = F.concat(
-                F.slice(symbols, F.lit(1), place), pair, F.slice(symbols, place + 3, F.size(symbols))
-            )
-            return F.when(best < F.lit(1 << 33), joined).otherwise(symbols)
-
-        return _let(F.array_min(ranked), merge)
-
-    steps = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-    return F.transform(
-        F.aggregate(steps, parts, step),
-        lambda s: F.when(s < 256, F.get(byte_ids, s)).otherwise(s),
-    )
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes that token ids stand for: their binary pieces, concatenated."""
-    by_rank = sorted((rank, token) for token, rank in token_ranks(path).items())
-    if [rank for rank, _ in by_rank] != list(range(len(by_rank))):
-        raise ValueError("ranks must count up from 0")
-    texts = ",".join('"' + base64.b64encode(token).decode() + '"' for _, token in by_rank)
-    pieces = F.from_json(F.lit(f"[{texts}]"), "array<binary>")
-    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i)))
+    rank of a longer token. The slots of a left symbol's pairs begin at its place: the one
+    at place + right holds left * 131072 + rank if the two merge."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        symbol = {token: token[0] if len(token) == 1 else rank for token, rank in ranks.items()}
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = symbol.get(token[:cut]), symbol.get(token[cut:])
+                if left is not None and right is not None:
+                    rows.setdefault(left, []).append((right, rank))
+        most = max(ranks.values(), default=0) + 1
+        if most >= 65536 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must be below 65536 and hold every byte")
+        self.slots = np.full(SLOTS + 65536, FREE, np.int64)
+        self.places = np.full(65536, SLOTS, np.int64)
+        tries = np.random.default_rng(0)
+        for left in sorted(rows, key=lambda left: (-len(rows[left]), left)):
+            rights = np.array([right for right, _ in rows[left]])
+            fits = np.empty(0, np.int64)
+            while not len(fits):
+                starts = tries.integers(0, SLOTS, 64)
+                fits = starts[(self.slots[starts[:, None] + rights] == FREE).all(1)]
+            self.places[left] = fits[0]
+            self.slots[fits[0] + rights] = (left << 17) + np.array([rank for _, rank in rows[left]])
+        #: From symbols to ranks, and from ranks to binary pieces.
+        self.ids = np.arange(65536)
+        self.ids[:256] = [ranks[bytes([b])] for b in range(256)]
+        self.pieces = [b""] * most
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; at least NO_RANK where they don't merge."""
+        return self.slots[self.places[left] + right] ^ (left << 17)
+
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """The merges of one piece, with the pairs in a heap."""
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        firsts, seconds = np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64)
+        heap = [(rank, at, after[at]) for at, rank in enumerate(self.rank(firsts, seconds).tolist()) if rank < NO_RANK]
+        pair = {at: rank for rank, at, _ in heap}
+        heapq.heapify(heap)
+
+        def renew(at: int) -> None:
+            pair.pop(at, None)
+            if at >= 0 and after[at] < n:
+                rank = int(self.slots[self.places[symbols[at]] + symbols[after[at]]]) ^ (symbols[at] << 17)
+                if rank < NO_RANK:
+                    pair[at] = rank
+                    heapq.heappush(heap, (rank, at, after[at]))
+
+        while heap:
+            rank, at, right = heapq.heappop(heap)
+            if pair.get(at) != rank or after[at] != right:
+                continue
+            symbols[at] = rank
+            after[at] = after[right]
+            pair.pop(right, None)
+            if after[right] < n:
+                before[after[right]] = at
+            renew(at)
+            renew(before[at])
+        out, at = [], 0
+        while at < n:
+            out.append(symbols[at])
+            at = after[at]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and where each piece's begin."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # piece of each symbol, symbols
+        long = np.flatnonzero(lengths > LONG)
+        for k in long.tolist():
+            merged = np.array(self.merge_long(list(pieces[k])))
+            done.append((np.full(len(merged), k), merged))
+        short = np.flatnonzero(lengths <= LONG)
+        symbols = np.frombuffer(b"".join(pieces[k] for k in short.tolist()), np.uint8).astype(np.int64)
+        owner = np.repeat(short, lengths[short])
+        while len(symbols):
+            firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            ranked = np.full(len(symbols), FREE << 17, np.int64)
+            ranked[:-1] = self.rank(symbols[:-1], symbols[1:])
+            ranked[firsts[1:] - 1] = FREE << 17
+            ranked = np.minimum(ranked, NO_RANK) << 40 | np.arange(len(symbols))
+            best = np.minimum.reduceat(ranked, firsts)
+            open_ = best < NO_RANK << 40
+            at = best[open_] & ((1 << 40) - 1)
+            symbols[at] = best[open_] >> 40
+            going = np.repeat(open_, np.diff(np.append(firsts, len(symbols))))
+            done.append((owner[~going], symbols[~going]))
+            going[at + 1] = False
+            owner, symbols = owner[going], symbols[going]
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
+        owners = np.concatenate([part for part, _ in done])
+        order = np.argsort(owners, kind="stable")
+        ids = self.ids[np.concatenate([part for _, part in done])[order]]
+        return ids, np.append(0, np.cumsum(np.bincount(owners, minlength=len(pieces))))
+
+
+@functools.lru_cache(maxsize=1)
+def rank_map(path: str) -> RankMap:
+    return RankMap(token_ranks(path))
 
 
 def _batches(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts, cut where a batch holds BATCH_BYTES."""
+    """Ids and texts, cut where a batch holds BATCH characters."""
     ids, texts, size = [], [], 0
     for table in tables:
-        for doc_id, text in zip(table.column(0).to_pylist(), table.column(1)):
-            ids.append(doc_id)
+        for doc_id, text in zip(table.column(0), table.column(1)):
+            ids.append(doc_id.as_py())
             texts.append(text.as_py() or "")
             size += len(texts[-1]) + 64
-            if size >= BATCH_BYTES:
+            if size >= BATCH:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -174,94 +197,44 @@ def _flat(values: np.ndarray, cuts: np.ndarray, chosen: np.ndarray) -> np.ndarra
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
-def _reduce(pattern: str):
-    """Cut texts into chunks, the batch's distinct chunks into pieces, and keep each
-    distinct piece once."""
-
-    def reduce(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for ids, texts in _batches(tables):
-            yield one_row(ids, texts, find)
-
-    def one_row(ids: list, texts: list[str], find) -> pa.RecordBatch:
-        places: dict[str, int] = collections.defaultdict(lambda: len(places))
-        refs = []
-        for n, text in enumerate(texts):
-            texts[n] = ""
-            chunks = _chunks(text)
-            refs.append(np.fromiter(map(places.__getitem__, chunks), np.int32, len(chunks)))
-        sizes, refs = [len(of_one) for of_one in refs], np.concatenate(refs).tobytes()
-        pieces: dict[str, int] = collections.defaultdict(lambda: len(pieces))
-        of_chunk, cuts = array.array("i"), array.array("i", [0])
-        for chunk in places:
-            of_chunk.extend(map(pieces.__getitem__, find(chunk)))
-            cuts.append(len(of_chunk))
-        places.clear()
-        distinct = [piece.encode() for piece in pieces]
-        pieces.clear()
-        ends = np.cumsum([0] + [len(piece) for piece in distinct], dtype=np.int32)
-        values = np.frombuffer(b"".join(distinct), np.uint8).astype(np.int32)
-        parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-        row = [
-            pa.array([ids], pa.list_(pa.int64())),
-            pa.array([sizes], pa.list_(pa.int32())),
-            pa.array([refs], pa.binary()),
-            pa.array([cuts.tobytes()], pa.binary()),
-            pa.array([of_chunk.tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
-        ]
-        return pa.RecordBatch.from_arrays(row, names=["doc_ids", "sizes", "refs", "cuts", "of_chunk", "parts"])
-
-    return reduce
-
-
-def _spread(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of each document's ids and decoded bytes."""
-    for table in tables:
-        for n in range(table.num_rows):
-            doc_ids, sizes = table.column("doc_ids")[n].as_py(), table.column("sizes")[n].as_py()
-            refs, cuts, of_chunk = (
-                np.frombuffer(table.column(name)[n].as_buffer(), np.int32) for name in ("refs", "cuts", "of_chunk")
-            )
-            pieces = table.column("pieces")[n].values
-            id_lists = pieces.field("ids")
-            ids = np.asarray(id_lists.flatten()).astype("<u4")
-            id_cuts = np.asarray(id_lists.offsets).astype(np.int64)
-            id_cuts -= id_cuts[0]
-            texts = pieces.field("bytes").to_pylist()
-            # From pieces to chunks: ids and bytes of each distinct chunk.
-            counts = np.append(0, np.cumsum(np.diff(id_cuts)[of_chunk]))
-            ids, id_cuts = _flat(ids, id_cuts, of_chunk), counts[cuts]
-            of_chunk, bounds = of_chunk.tolist(), cuts.tolist()
-            texts = [
-                b"".join(map(texts.__getitem__, of_chunk[low:high])) for low, high in zip(bounds, bounds[1:])
+def encode_texts(texts: list[str], ranks: RankMap, pattern: str) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Token ids, and the bytes they decode to, of each text."""
+    find = regex.compile(pattern).findall
+    places: dict[str, int] = collections.defaultdict(lambda: len(places))
+    refs = []
+    for text in texts:
+        chunks = _chunks(text)
+        refs.append(np.fromiter(map(places.__getitem__, chunks), np.int32, len(chunks)))
+    pieces: dict[str, int] = collections.defaultdict(lambda: len(pieces))
+    of_chunk, cuts = array.array("i"), array.array("i", [0])
+    for chunk in places:
+        of_chunk.extend(map(pieces.__getitem__, find(chunk)))
+        cuts.append(len(of_chunk))
+    ids, id_cuts = ranks.encode([piece.encode() for piece in pieces])
+    # From distinct pieces to distinct chunks, and from those to the texts.
+    members, bounds = np.array(of_chunk, np.int64), np.array(cuts)
+    counts = np.append(0, np.cumsum(np.diff(id_cuts)[members]))
+    ids, id_cuts = _flat(ids, id_cuts, members), counts[bounds]
+    tokens, low = list(map(ranks.pieces.__getitem__, ids.tolist())), id_cuts.tolist()
+    decoded = [b"".join(tokens[a:b]) for a, b in zip(low, low[1:])]
+    for own in refs:
+        yield _flat(ids, id_cuts, own), b"".join(map(decoded.__getitem__, own.tolist()))
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Token count, digest of the token ids (little-endian, 32 bits each) and digest of
+    the decoded bytes of each row."""
+
+    def digests(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = rank_map(path)
+        for doc_ids, texts in _batches(tables):
+            rows = [
+                (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
+                for ids, text in encode_texts(texts, ranks, pattern)
             ]
-            rows, end = [], 0
-            for doc_id, size in zip(doc_ids, sizes):
-                own = refs[end : end + size]
-                end += size
-                encoded = _flat(ids, id_cuts, own)
-                decoded_text = b"".join(map(texts.__getitem__, own.tolist()))
-                rows.append(
-                    (
-                        doc_id,
-                        len(encoded),
-                        hashlib.sha256(encoded.tobytes()).hexdigest(),
-                        hashlib.sha256(decoded_text).hexdigest(),
-                    )
-                )
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)],
+                [pa.array(doc_ids, pa.int64()), *map(pa.array, zip(*rows))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token count, digest of the token ids and digest of the decoded bytes of each row."""
-    reduced = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_reduce(pattern), REDUCED)
-    encoded = F.transform(
-        F.transform("parts", lambda parts: merged(parts, path)),
-        lambda ids: F.struct(ids.alias("ids"), decoded(ids, path).alias("bytes")),
-    )
-    return reduced.select("doc_ids", "sizes", "refs", "cuts", "of_chunk", encoded.alias("pieces")).mapInArrow(_spread, ENCODED)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(digests, ENCODED)
