@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe, embedding_dedup, html_extract, mixing, near_dedup, quality, secrets, url_filter
+from stackquarry.llm import bpe, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
