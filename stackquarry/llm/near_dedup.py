@@ -9,10 +9,13 @@ similar sizes. Pairs that a list proposes pass if the sketch of their union, whi
 sketches yield, estimates a similarity within six standard errors of the threshold; the
 full sets then decide exactly.
 
-A list is not expanded into all its pairs. One of its classes is compared with all others;
-links found join components, and only lists that still hold several components go on,
-with growing shares of the classes outside their largest component. In the end every pair
-of a list was compared or lies in one component, so no component is lost.
+A list is not expanded into all its pairs. One of its classes is compared with all others
+(in short lists, all are with all), and links join components. Lists that then still hold
+several components are settled in blocks: each of their classes goes to its longest such
+list, classes of one list or of two that meet in a third are cut into blocks by hashed
+ids, and every pair of blocks is compared by products of set matrices. A task yields one
+link for each class at most. In the end every pair of a list was compared or lies in one
+component, so no component is lost.
 
 Defined results: a null or empty text, or one of white space only, has the empty set and
 is linked with nothing. A text of fewer than five words has its whole sequence as its one
@@ -38,8 +41,9 @@ WORDS = 5
 K = 64
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: The share of a list that is compared grows by this factor from turn to turn.
-SPREAD = 8
+#: Entries of a list whose pairs are all compared at once; and classes of a block.
+SHORT = 8
+BLOCK = 256
 #: Standard errors by which an estimate or an overlap may fall short.
 ERRORS = 6
 
@@ -135,42 +139,102 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return entries
 
 
-def _open_lists(entries: DataFrame, least: int) -> DataFrame:
-    """Lists of more than ``least`` entries that hold several components: their size,
-    largest component, and the entry that comes first by its hashed id."""
-    parts = entries.groupBy("list", "component").agg(
-        F.count("*").alias("members"), F.min(F.struct("priority", "id")).alias("first")
-    )
-    return parts.groupBy("list").agg(
-        F.sum("members").alias("entries"),
-        F.max(F.struct("members", "component"))["component"].alias("largest"),
-        F.min("first")["id"].alias("first"),
-        F.count("*").alias("parts"),
-    ).where((F.col("parts") > 1) & (F.col("entries") > least))
-
-
-def _proposed(entries: DataFrame, turn: int, percent: int) -> tuple[DataFrame, bool]:
-    """Pairs (a < b) that this turn compares: pivots with the entries of their list that
-    lie in other components and have a similar size; and whether no list needs another
-    turn. A list of up to SPREAD ** (turn + 1) entries is settled by this turn."""
-    lists = shared_table(_open_lists(entries, SPREAD**turn if turn else 1), "open-lists")
-    most = SPREAD ** (turn + 1)
-    if turn == 0:
-        chosen = (F.col("id") == F.col("first")) | (F.col("entries") <= most)
-    else:
-        share = F.col("priority") / float(1 << 64) + 0.5
-        chosen = (F.col("component") != F.col("largest")) & (share * F.col("entries") < float(most))
-    pivots = entries.join(lists, "list").where(chosen).select(
-        "list", F.col("id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("m")
-    )
-    pivots = shared_table(pivots, "pivots")
-    pairs = pivots.join(entries, "list").where(F.col("component") != F.col("of"))
+def _open_entries(entries: DataFrame, name: str) -> DataFrame:
+    """Entries of lists that hold several components, with the entries of their list."""
+    lists = entries.groupBy("list").agg(
+        F.count("*").alias("entries"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.min(F.struct("priority", "id"))["id"].alias("first"),
+    ).where(F.col("low") < F.col("high")).select("list", "entries", "first")
+    return entries.join(shared_table(lists, name), "list")
+
+
+def _proposed(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of the first entry of each list, or each one of a short list, with
+    the other entries of a similar size."""
+    opened = shared_table(_open_entries(entries.withColumn("component", F.col("id")), "lists"), "opened")
+    pivots = opened.where((F.col("id") == F.col("first")) | (F.col("entries") <= SHORT))
+    pivots = shared_table(pivots.select("list", F.col("id").alias("pivot"), F.col("n").alias("m")), "pivots")
+    pairs = pivots.join(opened.select("list", "id", "n"), "list").where(F.col("id") != F.col("pivot"))
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     pairs = shared_table(pairs.distinct(), "pairs")
-    longest = lists.agg(F.max("entries")).first()[0]
-    dropped(lists, pivots)
-    return pairs, longest is None or most >= longest
+    dropped(opened, pivots)
+    return pairs
+
+
+def _tasks(entries: DataFrame) -> DataFrame:
+    """(id, one, other, i, j): the block pairs in which classes of open lists meet. Each
+    class is at home in its longest open list; homes that share a list meet."""
+    opened = _open_entries(entries, "open-lists").where(F.col("entries") > SHORT)
+    opened = shared_table(opened.select("list", "id", "entries"), "open-entries")
+    home = opened.groupBy("id").agg(F.max(F.struct("entries", "list"))["list"].alias("home"))
+    home = shared_table(home, "homes")
+    blocks = shared_table(
+        home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "home-blocks"
+    )
+    met = opened.join(home, "id").select("list", "home").distinct()
+    met = shared_table(met, "met")
+    pairs = met.join(met.withColumnRenamed("home", "with"), "list").select("home", "with").distinct()
+    pairs = pairs.join(blocks.withColumnsRenamed({"home": "with", "blocks": "others"}), "with")
+    members = home.join(blocks, "home").select(
+        "id", "home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    )
+    members = members.join(pairs, "home").select(
+        "id", "home", "with", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")
+    )
+    own, beside = F.struct("home", "block"), F.struct(F.col("with").alias("home"), F.col("other").alias("block"))
+    return members.select(
+        "id", F.xxhash64(F.least(own, beside), F.greatest(own, beside)).alias("task")
+    ).distinct()
+
+
+def _linked(percent: int):
+    """Links of each class of a block pair to the least one it hangs together with."""
+
+    def near(sets: list[np.ndarray]) -> np.ndarray:
+        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+        column = np.cumsum(count > 1) - 1
+        shared = count[place] > 1
+        rows, columns = rows[shared], column[place[shared]]
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        both = np.zeros((len(sets), len(sets)))
+        for low in range(0, int(columns[-1]) + 1 if len(columns) else 0, 2048):
+            part = slice(*np.searchsorted(columns, [low, low + 2048]))
+            has = np.zeros((len(sets), 2048), np.float32)
+            has[rows[part], columns[part] - low] = 1
+            both += has @ has.T
+        sizes = np.array([len(own) for own in sets])
+        return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        task = None
+
+        def links() -> pa.RecordBatch:
+            ids = np.array(sorted(held), np.int64)
+            a, b = np.nonzero(near([held[k] for k in ids.tolist()]))
+            roots, before = ids.copy(), None
+            while before is None or not np.array_equal(before, roots):
+                before = roots.copy()
+                np.minimum.at(roots, a, before[b])
+            moved = roots != ids
+            return pa.RecordBatch.from_arrays([pa.array(roots[moved]), pa.array(ids[moved])], names=["a", "b"])
+
+        for batch in batches:
+            for id_, of, runs in zip(*(batch.column(name) for name in ("id", "task", "runs"))):
+                if of.as_py() != task:
+                    if len(held) > 1:
+                        yield links()
+                    held, task = {}, of.as_py()
+                held[id_.as_py()] = np.frombuffer(runs.as_buffer(), np.uint64)
+        if len(held) > 1:
+            yield links()
+
+    return linked
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -186,32 +250,25 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both / F.size(union) >= j - slack).select("a", "b")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Links (a, b) between class ids that connect all classes of a component; None if
-    no two classes share a list."""
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between class ids that connect all classes of a component."""
     entries = _lists(classes, percent)
     ids = shared_table(entries.select("id").distinct(), "listed")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
     sets = shared_table(texts.mapInArrow(_sets, "id long, runs binary"), "sets")
-    labels, found, turn = None, [], 0
-    while True:
-        current = entries.withColumn("component", F.col("id"))
-        if labels is not None:
-            current = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs, last = _proposed(shared_table(current, "entries"), turn, percent)
-        likely = shared_table(_estimated(pairs, classes, percent), "likely-pairs")
-        a = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
-        b = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-        sound = likely.join(a, "a").join(b, "b").mapInArrow(_verify(percent), "a long, b long")
-        found.append(shared_table(sound, "near-links"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        dropped(pairs, likely)
-        if last:
-            return links
-        labels = components(links)
-        turn += 1
+    pairs = _proposed(entries, percent)
+    likely = shared_table(_estimated(pairs, classes, percent), "likely-pairs")
+    a = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
+    b = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
+    sound = likely.join(a, "a").join(b, "b").mapInArrow(_verify(percent), "a long, b long")
+    links = shared_table(sound, "near-links")
+    dropped(pairs, likely)
+    labels = shared_table(components(links), "near-components")
+    current = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tasks = shared_table(_tasks(shared_table(current, "entries")), "tasks")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tasks.join(sets, "id").repartition(spread, "task").sortWithinPartitions("task")
+    return links.unionByName(shared_table(rows.mapInArrow(_linked(percent), "a long, b long"), "block-links"))
 
 
 def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
