@@ -111,6 +111,10 @@ def _shape(word: str) -> list[float]:
     ]
 
 
+#: Width of a shape, and its place that tells names of secrets.
+SHAPES, NAMED = len(_shape("")), 16
+
+
 class Chains:
     """The chains of one slice of texts: its live words and those before them."""
 
@@ -134,18 +138,16 @@ class Chains:
         self.features = self._features(follows, n_live / np.maximum(n_words, 1))
 
     def _features(self, follows: np.ndarray, density: np.ndarray) -> np.ndarray:
-        own = np.array([_shape(word) for word in self.words], float).reshape(len(self.words), -1)
-        n = own.shape[1]
+        own = np.array([_shape(word) for word in self.words], float).reshape(len(self.words), SHAPES)
         before, after, earlier = np.zeros_like(own), np.zeros_like(own), np.zeros((len(own), 1))
-        if n:
-            before[1:][follows[1:]] = own[:-1][follows[1:]]
-            after[:-1][follows[1:]] = own[1:][follows[1:]]
-            both = follows[2:] & follows[1:-1]
-            earlier[2:][both] = own[:-2][both][:, 16:17]
+        before[1:][follows[1:]] = own[:-1][follows[1:]]
+        after[:-1][follows[1:]] = own[1:][follows[1:]]
+        both = follows[2:] & follows[1:-1]
+        earlier[2:][both] = own[:-2][both][:, NAMED : NAMED + 1]
         named = np.zeros(len(density))
-        np.maximum.at(named, self.rows, own[:, 16] if n else 0)
+        np.maximum.at(named, self.rows, own[:, NAMED])
         whole = np.stack([np.ones(len(own)), density[self.rows], named[self.rows]], axis=1)
-        return np.hstack([own, before, after, earlier, whole]) if n else np.empty((0, 0))
+        return np.hstack([own, before, after, earlier, whole])
 
 
 def _labels(chains: Chains, spans: dict[int, list[tuple[str, int, int]]]) -> np.ndarray:
