@@ -196,7 +196,7 @@ def features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
     flat = [block for page in pages for block in page]
     masks = np.array([block[1] for block in flat], np.int64)
     shown = (masks[:, None] >> np.arange(BITS)) & 1
-    text = np.array([_text_features(block[0], block[2]) for block in flat], float).reshape(len(flat), -1)
+    text = np.array([_text_features(block[0], block[2]) for block in flat], float).reshape(len(flat), WIDTH - BITS)
     own = np.hstack([shown, text]) if flat else np.empty((0, WIDTH))
     before, after = np.zeros_like(own), np.zeros_like(own)
     page = np.repeat(np.arange(len(pages)), lengths)
