@@ -1,8 +1,9 @@
 """Tokens, prices and cost in whole micro-USD: F06-F08, F12, F13, F15.
 
-A price of p USD per 1000 tokens is p * 1000 micro-USD per token. The shipped
-prices give whole numbers, so costs are exact BIGINTs and add up the same in any
-order.
+A price of p USD per 1000 tokens is p * 1,000,000 nano-USD per token, a whole number for
+every price of up to six decimals; a finer one is an error. A request's cost is summed in
+nano-USD and rounded once, half up, to micro-USD, so costs are exact BIGINTs and add up the
+same in any order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
+NANO_PER_MICRO = 1000
 # ---- fixed values -----------------------------------------------------------
 ESTIMATED_OUTPUT_TOKENS = 500
 UNKNOWN_ESTIMATE_MICRO = 10_000
@@ -25,8 +27,17 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.octet_length(text) / F.lit(BYTES_PER_TOKEN))
 
 
-def micro_per_token(usd_per_1000: Column) -> Column:
-    return (usd_per_1000 * 1000).cast("bigint")
+def nano_per_token(usd_per_1000: Column) -> Column:
+    """An error for a price that nano-USD per token cannot hold."""
+    nano = usd_per_1000 * 1_000_000
+    problem = F.format_string("price %s is too fine for whole nano-USD per token", usd_per_1000.cast("string"))
+    return F.when(nano.isNull() | (nano == F.floor(nano)), nano.cast("bigint")).otherwise(F.raise_error(problem))
+
+
+def micro(nano: Column) -> Column:
+    """Nano-USD in micro-USD, rounded half up."""
+    up = nano + F.lit(NANO_PER_MICRO // 2)
+    return F.floor(up.cast("decimal(20,0)") / F.lit(NANO_PER_MICRO).cast("decimal(4,0)")).cast("bigint")
 
 
 def with_prices(df: DataFrame, prices: DataFrame, model: str = "model_id") -> DataFrame:
@@ -37,23 +48,28 @@ def with_prices(df: DataFrame, prices: DataFrame, model: str = "model_id") -> Da
     return df.join(side, F.col(model) == F.col("_price_model"), "left").drop("_price_model")
 
 
-def cost_micro(input_tokens: Column, output_tokens: Column) -> Column:
-    """F07 on rows from ``with_prices``: an unknown model costs nothing."""
+def cost_nano(input_tokens: Column, output_tokens: Column) -> Column:
+    """On rows from ``with_prices``: an unknown model costs nothing."""
     return F.coalesce(
-        input_tokens * micro_per_token(F.col("input_cost"))
-        + output_tokens * micro_per_token(F.col("output_cost")),
+        input_tokens * nano_per_token(F.col("input_cost"))
+        + output_tokens * nano_per_token(F.col("output_cost")),
         F.lit(0).cast("bigint"),
     )
 
 
+def cost_micro(input_tokens: Column, output_tokens: Column) -> Column:
+    """F07 on rows from ``with_prices``."""
+    return micro(cost_nano(input_tokens, output_tokens))
+
+
 def estimate_micro(input_tokens: Column, hosted: Column | bool = True) -> Column:
     """F08 on rows from ``with_prices``: unknown model 0.01 USD, no hosted client 0."""
-    known = input_tokens * micro_per_token(F.col("input_cost")) + micro_per_token(
+    known = input_tokens * nano_per_token(F.col("input_cost")) + nano_per_token(
         F.col("output_cost")
     ) * F.lit(ESTIMATED_OUTPUT_TOKENS)
     hosted = F.lit(hosted) if isinstance(hosted, bool) else hosted
     return F.when(
-        hosted, F.coalesce(known, F.lit(UNKNOWN_ESTIMATE_MICRO).cast("bigint"))
+        hosted, F.coalesce(micro(known), F.lit(UNKNOWN_ESTIMATE_MICRO).cast("bigint"))
     ).otherwise(F.lit(0).cast("bigint"))
 
 

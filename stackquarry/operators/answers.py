@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackquarry.functions.answers import answer_prompt, clean_response
-from stackquarry.functions.money import cost_micro, estimate_micro, token_estimate, with_prices
+from stackquarry.functions.money import NANO_PER_MICRO, cost_nano, estimate_micro, token_estimate, with_prices
 from stackquarry.functions.questions import decoded_query, route_backend, unknown_question
 from stackquarry.functions.redact import scrub, unscrub
 from stackquarry.functions.text import squeeze_ends
@@ -23,10 +23,12 @@ from stackquarry.operators.budget import (
     GROUP,
     ORDER,
     border_groups,
+    group_back,
+    group_text,
     refusal_message,
     slice_summaries,
 )
-from stackquarry.operators.ordered import ordered_chunks
+from stackquarry.operators.ordered import join_same, ordered_chunks
 from stackquarry.sources.checkpoints import written
 from stackquarry.wording import NO_SNAPSHOT, NOT_IMPLEMENTED
 
@@ -122,16 +124,15 @@ def answer_within_budget(
             "est_micro": estimate_micro(token_estimate(F.col("prompt"))),
             "cost_micro": F.lit(0).cast("bigint"),
             "opening": F.lit(0).cast("bigint"),
-            "micro_in": cost_micro(F.lit(1), F.lit(0)),
-            "micro_out": cost_micro(F.lit(0), F.lit(1)),
+            "nano_in": cost_nano(F.lit(1), F.lit(0)),
+            "nano_out": cost_nano(F.lit(0), F.lit(1)),
         }
     ).drop("input_cost", "output_cost", "speed", "quality")
-    # stored first: the range exchange looks at its input twice, prompts are built once
-    pieces = ordered_chunks(written(priced, "prompts"), GROUP, ORDER, chunks)
+    pieces = ordered_chunks(priced, GROUP, ORDER, chunks)
     decided = _rounds(pieces, backend)
     finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
     finished = finished.withColumn("error", refusal_message()).drop(
-        "redactions", "prompt", "reply", "chunk", "opening", "micro_in", "micro_out", "prompt_tokens"
+        "redactions", "prompt", "reply", "chunk", "opening", "nano_in", "nano_out", "prompt_tokens"
     )
     missing = ready.filter(~known).drop("redactions", "prompt")
     return finished.unionByName(
@@ -147,7 +148,7 @@ def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:
     # first round: everything but the later slices of groups that cross a border
     postponed = [(*g, chunk) for g, chunks in later.items() for chunk in chunks]
     tables = [written(_called(_without(pieces, postponed), [], backend), "answers")]
-    spent = _ends(tables[0], list(groups))
+    spent = _ends(tables[0], list(groups), pieces)
     while any(later.values()):
         now = []
         for group, chunks in later.items():
@@ -158,12 +159,12 @@ def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:
                 if spent[group] + piece["least"] <= piece["limit"]:
                     break
         table = written(_called(_only(pieces, now), now, backend), "answers")
-        spent.update(_ends(table, list({tuple(n[:2]) for n in now})))
+        spent.update(_ends(table, list({tuple(n[:2]) for n in now}), pieces))
         tables.append(table)
     done = tables[0]
     for table in tables[1:]:
         done = done.unionByName(table)
-    return done.drop("user_id", "day_number")
+    return done.drop("user_text", "day_text")
 
 
 def _keys(pieces: DataFrame, rows: list[tuple], extra: list[T.StructField] = []) -> DataFrame:
@@ -174,22 +175,20 @@ def _keys(pieces: DataFrame, rows: list[tuple], extra: list[T.StructField] = [])
 def _without(pieces: DataFrame, slices: list[tuple]) -> DataFrame:
     if not slices:
         return pieces
-    return pieces.join(_keys(pieces, slices), [*GROUP, "chunk"], "left_anti")
+    return join_same(pieces, _keys(pieces, slices), [*GROUP, "chunk"], "left_anti")
 
 
 def _only(pieces: DataFrame, slices: list[tuple]) -> DataFrame:
     chosen = pieces.filter(F.col("chunk").isin(sorted({s[2] for s in slices})))
-    return chosen.join(_keys(pieces, [s[:3] for s in slices]), [*GROUP, "chunk"], "left_semi")
+    return join_same(chosen, _keys(pieces, [s[:3] for s in slices]), [*GROUP, "chunk"], "left_semi")
 
 
-def _ends(table: DataFrame, groups: list[tuple]) -> dict[tuple, int]:
+def _ends(table: DataFrame, groups: list[tuple], pieces: DataFrame) -> dict[tuple, int]:
     if not groups:
         return {}
-    schema = T.StructType([table.schema["user_id"], T.StructField("day", T.DateType())])
-    keys = table.sparkSession.createDataFrame(groups, schema)
+    keys = table.sparkSession.createDataFrame(groups, T.StructType([pieces.schema[c] for c in GROUP]))
     ends = (
-        table.withColumn("day", F.date_from_unix_date("day_number"))
-        .join(F.broadcast(keys), GROUP)
+        join_same(table.select("*", *group_back(pieces)), F.broadcast(keys), GROUP)
         .groupBy(*GROUP)
         .agg(F.max(F.col("spent_before_micro") + F.col("cost_micro")).alias("end"))
     )
@@ -199,7 +198,7 @@ def _ends(table: DataFrame, groups: list[tuple]) -> dict[tuple, int]:
 def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFrame:
     start_field = [T.StructField("start", T.LongType())]
     if starts:
-        rows = pieces.join(_keys(pieces, starts, start_field), [*GROUP, "chunk"], "left")
+        rows = join_same(pieces, _keys(pieces, starts, start_field), [*GROUP, "chunk"], "left")
     else:
         rows = pieces.withColumn("start", F.lit(0).cast("bigint"))
     slice_key = [*GROUP, "chunk"]
@@ -207,12 +206,12 @@ def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFra
         rows.repartition(*slice_key)
         .sortWithinPartitions(*slice_key, *ORDER)
         .select(
-            "user_id", F.unix_date("day").alias("day_number"), "chunk", "req_id", "backend", "prompt",
-            "prompt_tokens", "micro_in", "micro_out", "est_micro", "limit_micro",
+            *group_text(), "chunk", "req_id", "backend", "prompt",
+            "prompt_tokens", "nano_in", "nano_out", "est_micro", "limit_micro",
             F.coalesce("start", F.lit(0)).alias("start"),
         )
     )
-    kept = ["user_id", "day_number", "req_id"]
+    kept = ["user_text", "day_text", "req_id"]
     schema = T.StructType(
         [ordered.schema[c] for c in kept]
         + [
@@ -226,7 +225,7 @@ def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFra
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried: dict[tuple, int] = {}
         for batch in batches:
-            key = list(zip(batch["user_id"].tolist(), batch["day_number"].tolist(), batch["chunk"].tolist()))
+            key = list(zip(batch["user_text"].tolist(), batch["day_text"].tolist(), batch["chunk"].tolist()))
             queues: dict[tuple, list[int]] = {}
             for position, k in enumerate(key):
                 queues.setdefault(k, []).append(position)
@@ -255,10 +254,11 @@ def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFra
                 rows = batch.iloc[sent]
                 for at, text in zip(sent, backend(rows["backend"], rows["prompt"])):
                     tokens_out = len(text.encode()) // 4
-                    cost[at] = int(
-                        batch["prompt_tokens"].iloc[at] * batch["micro_in"].iloc[at]
-                        + tokens_out * batch["micro_out"].iloc[at]
+                    nano = int(
+                        batch["prompt_tokens"].iloc[at] * batch["nano_in"].iloc[at]
+                        + tokens_out * batch["nano_out"].iloc[at]
                     )
+                    cost[at] = (nano + NANO_PER_MICRO // 2) // NANO_PER_MICRO
                     admitted[at], reply[at] = True, text
                     spent[key[at]] += cost[at]
                     cursor[key[at]] += 1

@@ -11,7 +11,8 @@ sit in one task:
   cross a chunk border (fewer than there are chunks) the start is found from chunk
   summaries. Spend never falls, so requests whose estimate exceeds what is left are
   refused for good; when all the others of a chunk fit together they add their sum,
-  whatever their order. Only a chunk between these cases is folded, alone, and the
+  whatever their order: that is so if the sum and the greatest estimate fit the least
+  of their limits. Only a chunk between these cases is folded, alone, and the
   summaries of the chunks after it are taken again with what is then left.
 
 So a hot group whose budget is used up, or far from it, is settled by aggregates.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackquarry.operators.ordered import ordered_chunks
+from stackquarry.operators.ordered import join_same, ordered_chunks
 
 GROUP = ["user_id", "day"]
 ORDER = ["ts", "req_id"]
@@ -48,7 +49,7 @@ def budget_gate(
         rows = rows.withColumn("opening", F.lit(0).cast("bigint"))
     else:
         spent = opening.select(*GROUP, F.col("spent_micro").alias("opening"))
-        rows = rows.join(spent, GROUP, "left").withColumn(
+        rows = join_same(rows, spent, GROUP, "left").withColumn(
             "opening", F.coalesce("opening", F.lit(0).cast("bigint"))
         )
     pieces = ordered_chunks(rows, GROUP, ORDER, chunks)
@@ -103,13 +104,17 @@ def slice_summaries(
     )
     open_chunks = sorted({c for chunks in waiting.values() for c in chunks})
     rows = (
-        pieces.filter(F.col("chunk").isin(open_chunks))
-        .join(F.broadcast(pieces.sparkSession.createDataFrame(keys, schema)), GROUP)
+        join_same(
+            pieces.filter(F.col("chunk").isin(open_chunks)),
+            F.broadcast(pieces.sparkSession.createDataFrame(keys, schema)),
+            GROUP,
+        )
         .filter(F.col("chunk") >= F.col("from_chunk"))
     )
     fits = F.col("est_micro") <= F.col("limit_micro") - F.coalesce("spent", "opening")
     found = rows.groupBy(*GROUP, "chunk").agg(
         F.max("limit_micro").alias("limit"),
+        F.min(F.when(fits, F.col("limit_micro"))).alias("tightest"),
         F.max("opening").alias("opening"),
         F.min("est_micro").alias("least"),
         F.max(F.when(fits, F.col("est_micro"))).alias("most"),
@@ -134,7 +139,7 @@ def starting_spend(pieces: DataFrame) -> list[tuple]:
                 starts.append((*group, chunk, start))
                 if piece["total"] is None:
                     continue
-                if start + piece["total"] + piece["most"] <= piece["limit"]:
+                if start + piece["total"] + piece["most"] <= piece["tightest"]:
                     spent[group] = start + piece["total"]
                     continue
                 if chunks:
@@ -151,8 +156,11 @@ def _spend_after(pieces: DataFrame, slices: list[tuple]) -> dict[tuple, int]:
     """Fold just these slices. A file holds one chunk, so the chunk filter skips the
     other files by their statistics."""
     wanted = _starts_frame(pieces, slices)
-    own = pieces.filter(F.col("chunk").isin([s[2] for s in slices])).join(
-        F.broadcast(wanted.drop("start")), [*GROUP, "chunk"], "left_semi"
+    own = join_same(
+        pieces.filter(F.col("chunk").isin([s[2] for s in slices])),
+        F.broadcast(wanted.drop("start")),
+        [*GROUP, "chunk"],
+        "left_semi",
     )
     ends = fold_slices(own, slices).groupBy(*GROUP).agg(
         F.max(F.col("spent_before_micro") + F.when(F.col("admitted"), F.col("cost_micro")).otherwise(0)).alias("end")
@@ -167,12 +175,24 @@ def _starts_frame(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
     return pieces.sparkSession.createDataFrame(starts, schema)
 
 
+def group_text() -> list:
+    """User and day as text: in pandas a NULL among numbers would turn them to floats."""
+    return [F.col("user_id").cast("string").alias("user_text"), F.col("day").cast("string").alias("day_text")]
+
+
+def group_back(pieces: DataFrame) -> list:
+    return [
+        F.col("user_text").cast(pieces.schema["user_id"].dataType).alias("user_id"),
+        F.col("day_text").cast("date").alias("day"),
+    ]
+
+
 def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
     """Decide every row of ``pieces``; a slice is one (user, day, chunk)."""
     rows = pieces
     if starts:
         # at most two rows per chunk, see border_groups
-        rows = rows.join(F.broadcast(_starts_frame(pieces, starts)), [*GROUP, "chunk"], "left")
+        rows = join_same(rows, F.broadcast(_starts_frame(pieces, starts)), [*GROUP, "chunk"], "left")
     else:
         rows = rows.withColumn("start", F.lit(None).cast("bigint"))
     slice_key = [*GROUP, "chunk"]
@@ -180,8 +200,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
         rows.repartition(*slice_key)
         .sortWithinPartitions(*slice_key, *ORDER)
         .select(
-            "user_id",
-            F.unix_date("day").alias("day_number"),
+            *group_text(),
             "chunk",
             "req_id",
             "est_micro",
@@ -190,7 +209,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
             F.coalesce("start", "opening").alias("start"),
         )
     )
-    kept = ["user_id", "day_number", "req_id", "est_micro", "cost_micro", "limit_micro"]
+    kept = ["user_text", "day_text", "req_id", "est_micro", "cost_micro", "limit_micro"]
     schema = T.StructType(
         [ordered.schema[c] for c in kept]
         + [
@@ -204,7 +223,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
         for batch in batches:
             admitted, before = [], []
             for user, day, chunk, est, cost, limit, start in zip(
-                *(batch[c].tolist() for c in ("user_id", "day_number", "chunk", "est_micro", "cost_micro", "limit_micro", "start"))
+                *(batch[c].tolist() for c in ("user_text", "day_text", "chunk", "est_micro", "cost_micro", "limit_micro", "start"))
             ):
                 if (user, day, chunk) != current:
                     current, spent = (user, day, chunk), start
@@ -219,8 +238,7 @@ def fold_slices(pieces: DataFrame, starts: list[tuple]) -> DataFrame:
             yield out
 
     return ordered.mapInPandas(fold, schema).select(
-        "user_id",
-        F.date_from_unix_date("day_number").alias("day"),
+        *group_back(pieces),
         *kept[2:],
         "admitted",
         "spent_before_micro",

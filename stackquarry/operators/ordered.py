@@ -11,22 +11,40 @@ skips the others by their row-group statistics.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackquarry.sources.checkpoints import written
+from stackquarry.sources.checkpoints import dropped, written
+
+#: Rows of a chunk at most, about: what one task walks through in order.
+ROWS_PER_CHUNK = 1_000_000
+
+
+def chunk_count(stored: DataFrame) -> int:
+    """At least the session's shuffle partitions, more for a table of many rows."""
+    partitions = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, stored.count() // ROWS_PER_CHUNK + 1)
 
 
-def chunk_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL equals NULL: requests without a user are a group too."""
+    renamed = right.withColumnsRenamed({key: f"_same_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [left[key].eqNullSafe(renamed[f"_same_{key}"]) for key in keys])
+    return left.join(renamed, same, how).drop(*[f"_same_{key}" for key in keys])
 
 
 def ordered_chunks(
     df: DataFrame, group: list[str], order: list[str], chunks: int | None = None
 ) -> DataFrame:
     """``df`` plus ``chunk``; chunks follow (group, order), which must be unique."""
-    ranged = df.repartitionByRange(chunks or chunk_count(df), *group, *order)
-    return written(ranged.withColumn("chunk", F.spark_partition_id()), "ordered_chunks")
+    # Stored first: the range exchange reads its input twice.
+    stored = written(df, "ordered_input")
+    ranged = stored.repartitionByRange(chunks or chunk_count(stored), *group, *order)
+    pieces = written(ranged.withColumn("chunk", F.spark_partition_id()), "ordered_chunks")
+    dropped(stored)
+    return pieces
 
 
 def running_total(
@@ -59,8 +77,7 @@ def running_total(
         .drop("_sum")
     )
     return (
-        pieces.withColumn(out, F.sum(value).over(local))
-        .join(carried, [*group, "chunk"], "left")
+        join_same(pieces.withColumn(out, F.sum(value).over(local)), carried, [*group, "chunk"], "left")
         .withColumn(out, F.col(out) + F.coalesce("_carried", F.lit(0)))
         .drop("_carried", "chunk")
     )

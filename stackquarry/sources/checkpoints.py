@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local-mode session may fall back to
-    a temporary one: on a cluster a machine-local folder would lose the data with
-    its machine."""
+    """The session's checkpoint folder; where none is set, the warehouse, which all
+    machines of a cluster share too."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a shared folder before running this operator")
-    folder = tempfile.mkdtemp(prefix="stackquarry-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/stackquarry").rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -35,3 +27,11 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a written table that no later plan reads."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,22 +19,3 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(table)
-
-
-def updates_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Update-mode stream: each micro-batch writes the rows it changed under its own
-    batch_id folder, so a repeated batch overwrites itself."""
-    table = new_table_path(stream.sparkSession, name)
-
-    def store(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{table}-progress")
-        .foreachBatch(store)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.option("basePath", table).parquet(table)

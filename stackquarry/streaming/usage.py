@@ -2,97 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackquarry.operators.budget import budget_gate
+from stackquarry.operators.usage import daily_usage
+from stackquarry.sources.checkpoints import dropped, written
 
-LATENESS = "1 hour"
-KEEP_DAYS = 2
-SECONDS_PER_DAY = 86_400
 SPENT = "user_id BIGINT, day DATE, spent_micro BIGINT"
 
 
-def stream_daily_usage(priced: DataFrame) -> DataFrame:
-    """ST01: tumbling day windows per user; state of a day is dropped one hour after it.
+def add_daily_usage(priced: DataFrame, folder: str) -> None:
+    """ST01: add up usage as it arrives; run it on a schedule, it stops when caught up.
 
-    Day windows start at midnight UTC whatever the session's zone, so the time stamp
-    is first shifted to make its UTC reading the session's wall clock.
+    A sum needs no state: each micro-batch writes its own sums per user and day under its
+    batch_id, so nothing is ever too late, and a repeated batch overwrites itself.
+    ``summed_daily_usage`` reads the table.
     """
-    shifted = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    start = F.unix_seconds("window.start") / F.lit(SECONDS_PER_DAY)
-    return (
-        priced.withColumn("ts", shifted)
-        .withWatermark("ts", LATENESS)
-        .groupBy("user_id", F.window("ts", "1 day"))
-        .agg(
-            F.sum("cost_micro").alias("cost_micro"),
-            F.count(F.lit(1)).alias("requests"),
-            F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
-        )
-        .select(
-            "user_id",
-            F.date_from_unix_date(F.floor(start).cast("int")).alias("day"),
-            "cost_micro",
-            "requests",
-            "tokens",
-        )
-    )
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        daily_usage(batch).write.mode("overwrite").parquet(f"{folder}/sums/batch_id={batch_id}")
+
+    _catch_up(priced, step, folder)
 
-def newest_daily_usage(updates: DataFrame) -> DataFrame:
-    """The last update of each user and day, from the table of updates."""
-    figures = F.struct("cost_micro", "requests", "tokens")
-    return (
-        updates.groupBy("user_id", "day")
-        .agg(F.max_by(figures, "batch_id").alias("u"))
-        .select("user_id", "day", "u.*")
+
+def summed_daily_usage(spark: SparkSession, folder: str) -> DataFrame:
+    sums = spark.read.option("basePath", f"{folder}/sums").parquet(f"{folder}/sums")
+    return sums.groupBy("user_id", "day").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("cost_micro", "requests", "tokens")]
     )
 
 
-def run_budget_gate(requests: DataFrame, folder: str, keep_days: int = KEEP_DAYS) -> None:
+def run_budget_gate(requests: DataFrame, folder: str) -> None:
     """ST02: gate a stream of requests; run it on a schedule, it stops when caught up.
 
-    Writes decisions to ``folder/decisions`` and the spend per (user, day) after each
-    micro-batch to ``folder/spent``. A micro-batch goes through the batch gate with
-    the previous spend as its opening, so a user who sends a third of all requests is
-    cut into chunks here too instead of being one task's state. Batch n reads the
-    spend of batch n - 1 and overwrites its own folders: running it again after a
-    failure gives the same result.
+    Writes a decision for every request to ``folder/decisions``, and the spend of each
+    (user, day) of a micro-batch after it to ``folder/spent``, by batch and day. A
+    micro-batch goes through the batch gate with the spend so far of its own days as
+    the opening, so a user who sends a third of all requests is cut into chunks here
+    too instead of being one task's state. Days are never let go: a late request is
+    gated against its own day, and a future one touches no other day. Running a batch
+    again after a failure overwrites its folders with the same result.
 
     Requests are gated in order within a micro-batch, and when they arrive across
-    micro-batches. Spend of days more than ``keep_days`` before the newest day is
-    let go, and so are requests that arrive later than that.
+    micro-batches.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _spent_table(spark, folder, batch_id - 1)
-        oldest = before.agg(F.date_sub(F.max("day"), keep_days).alias("oldest")).scalar()
-        timely = batch.filter(F.coalesce(F.col("day") >= oldest, F.lit(True)))
-        budget_gate(timely, opening=before).drop("error").write.mode("overwrite").parquet(
+        stored = written(batch, "gate_batch")
+        # one value for each calendar day that the micro-batch holds
+        days = [row["day"] for row in stored.select("day").distinct().collect()]
+        before = _spent_before(spark, folder, batch_id, days)
+        budget_gate(stored, opening=before).drop("error").write.mode("overwrite").parquet(
             f"{folder}/decisions/batch_id={batch_id}"
         )
+        dropped(stored)
         decisions = spark.read.parquet(f"{folder}/decisions/batch_id={batch_id}")
         after = decisions.groupBy("user_id", "day").agg(
             F.max(
                 F.col("spent_before_micro") + F.when(F.col("admitted"), F.col("cost_micro")).otherwise(0)
             ).alias("spent_micro")
         )
-        # spend only grows, so the larger figure is the later one
-        merged = (
-            before.unionByName(after)
-            .groupBy("user_id", "day")
-            .agg(F.max("spent_micro").alias("spent_micro"))
-        )
-        newest = before.select("day").unionByName(after.select("day"))
-        bound = newest.agg(F.date_sub(F.max("day"), keep_days)).scalar()
-        merged.filter(F.col("day") >= bound).write.mode("overwrite").parquet(
-            f"{folder}/spent/batch_id={batch_id}"
-        )
+        after.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/spent/batch_id={batch_id}")
+
+    _catch_up(requests, step, folder)
+
 
+def _catch_up(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> None:
     query = (
-        requests.writeStream.foreachBatch(step)
+        stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
@@ -100,10 +81,17 @@ def run_budget_gate(requests: DataFrame, folder: str, keep_days: int = KEEP_DAYS
     query.awaitTermination()
 
 
-def _spent_table(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    if batch_id < 0:
+def _spent_before(spark: SparkSession, folder: str, batch_id: int, days: list) -> DataFrame:
+    """The spend of these days so far; folders of other days are not read. Spend only
+    grows, so the greatest figure is the last."""
+    if batch_id == 0:
         return spark.createDataFrame([], SPENT)
-    return spark.read.schema(SPENT).parquet(f"{folder}/spent/batch_id={batch_id}")
+    stored = spark.read.schema(f"{SPENT}, batch_id BIGINT").parquet(f"{folder}/spent")
+    own = F.col("day").isin([day for day in days if day is not None])
+    if None in days:
+        own = own | F.col("day").isNull()
+    own = own & (F.col("batch_id") < batch_id)
+    return stored.where(own).groupBy("user_id", "day").agg(F.max("spent_micro").alias("spent_micro"))
 
 
 def budget_decisions(spark: SparkSession, folder: str) -> DataFrame:

@@ -140,6 +140,51 @@ def test_streamed_gate_equals_batch_on_ordered_input(spark, tmp_path):
     assert decisions(out) == gate_by_hand(rows)[0]
 
 
+@pytest.mark.parametrize("chunks", [1, 4, 50])
+def test_decisions_do_not_depend_on_the_chunks(spark, chunks):
+    """Limits that differ by row, and requests without a user."""
+    rng = random.Random(3)
+    rows = [
+        (None if i % 3 == 0 else 2**60 + i % 2, DAY, START + timedelta(seconds=i), i, rng.randrange(4), 5, (1000, 5)[i % 2])
+        for i in range(120)
+    ]
+    got = budget_gate(spark.createDataFrame(rows, GATE), chunks=chunks)
+    wanted = gate_by_hand([(-1 if r[0] is None else r[0], *r[1:]) for r in rows])[0]
+    assert decisions(got) == wanted
+    assert {r.user_id for r in got.collect()} == {None, 2**60, 2**60 + 1}
+
+
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_running_spend_without_a_user(spark, chunks):
+    rows = [(None, DAY, START + timedelta(seconds=i), i, 0, 1, 10) for i in range(40)]
+    got = usage.running_spend(spark.createDataFrame(rows, GATE), chunks)
+    assert sorted(r.spent_micro for r in got.collect()) == list(range(1, 41))
+
+
+def test_streamed_gate_keeps_late_and_future_requests(spark, tmp_path):
+    late = [(1, date(2024, 1, 10), START, 0, 1, 3, 5), (1, date(2099, 1, 1), START, 1, 1, 1, 5)]
+    early = [(1, date(2024, 1, 1), START, 2, 1, 4, 5), (None, date(2024, 1, 10), START, 3, 1, 2, 5)]
+    again = [(1, date(2024, 1, 10), START, 4, 3, 1, 5), (1, date(2024, 1, 1), START, 5, 1, 1, 5), (None, date(2024, 1, 10), START, 6, 4, 1, 5)]
+    source = str(tmp_path / "source")
+    for part in (late, early, again):
+        spark.createDataFrame(part, GATE).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(GATE).option("maxFilesPerTrigger", 1).parquet(source)
+    run_budget_gate(stream, str(tmp_path / "gate"))
+    got = decisions(budget_decisions(spark, str(tmp_path / "gate")))
+    assert got == {0: (True, 0), 1: (True, 0), 2: (True, 0), 3: (True, 0), 4: (False, 3), 5: (True, 4), 6: (False, 2)}
+
+
+def test_fine_prices_cost_something(spark):
+    prices = spark.createDataFrame([("m", "0.00025", "0.00125"), ("n", "0.0000005", "1")], "model_id STRING, i STRING, o STRING")
+    prices = prices.selectExpr("model_id", "cast(i AS DECIMAL(18,7)) input_cost", "cast(o AS DECIMAL(18,7)) output_cost", "1 speed", "1 quality")
+    asked = spark.createDataFrame([("m",)], "model_id STRING")
+    million = F.lit(1_000_000)
+    row = money.with_prices(asked, prices).select(money.cost_micro(million, million), money.estimate_micro(million)).first()
+    assert tuple(row) == (1_500_000, 250_625)
+    with pytest.raises(Exception, match="too fine"):
+        money.with_prices(asked.select(F.lit("n").alias("model_id")), prices).select(money.cost_micro(million, million)).collect()
+
+
 @pytest.fixture
 def tiny_batches(spark):
     """Arrow batches of seven rows, so that groups go on from one batch to the next."""
