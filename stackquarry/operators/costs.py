@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days beyond which dates could no longer be computed.
+LONGEST = 1_000_000
 SALTS = 32
 # ---- fixed values: days per unit of a period --------------------------------
 PERIOD_UNITS = [("day", 1), ("week", 7), ("month", 30), ("year", 365)]
@@ -21,7 +23,7 @@ def period_days(period: Column) -> Column:
     number = F.regexp_extract(period, r"(?i)(\d+)\s*(day|week|month|year)", 1).try_cast("int")
     unit = F.lower(F.regexp_extract(period, r"(?i)(\d+)\s*(day|week|month|year)", 2))
     factor = F.coalesce(*[F.when(unit == name, F.lit(days)) for name, days in PERIOD_UNITS])
-    return number * factor
+    return F.try_multiply(number, factor)
 
 
 def top_cost(questions: DataFrame, costs: DataFrame) -> DataFrame:
@@ -32,9 +34,15 @@ def top_cost(questions: DataFrame, costs: DataFrame) -> DataFrame:
     """
     daily = costs.groupBy("usage_date", "service").agg(F.sum("amount_cents").alias("cents"))
     periods = questions.groupBy("as_of", "days").agg(F.max("top").alias("most"))
-    by_day = periods.filter(F.col("days") > 0).withColumn(
-        "usage_date", F.explode(F.sequence(F.date_sub("as_of", F.col("days") - 1), F.col("as_of")))
+    # A period is cut to the days that have costs, so its length does not matter.
+    span = daily.agg(F.min("usage_date").alias("first"), F.max("usage_date").alias("last"))
+    begin = F.date_sub("as_of", F.least(F.col("days"), F.lit(LONGEST)) - 1)
+    begin = F.greatest(begin, span.select("first").scalar())
+    end = F.least(F.col("as_of"), span.select("last").scalar())
+    by_day = periods.select("*", begin.alias("begin"), end.alias("end")).filter(
+        (F.col("days") > 0) & (F.col("begin") <= F.col("end"))
     )
+    by_day = by_day.withColumn("usage_date", F.explode(F.sequence("begin", "end")))
     sums = (
         by_day.join(daily, "usage_date")
         .groupBy("as_of", "days", "most", "service")

@@ -65,11 +65,14 @@ def dispatch_intents(
         _param("limit").alias("limit"),
         _param("period").alias("period"),
     )
-    ranked = top_cost(cost_questions.select("question_id", "as_of", "days", "top"), costs)
-    sums = ranked.groupBy("question_id").agg(
+    # Each wish (as_of, days, top) is worked out once, however many questions have it.
+    wish = F.struct("as_of", "days", "top")
+    wishes = cost_questions.select(wish.alias("question_id"), "as_of", "days", "top").distinct()
+    sums = top_cost(wishes, costs).groupBy("question_id").agg(
         F.count(F.lit(1)).alias("services"), F.sum("amount_cents").alias("amount_cents")
     )
-    cost_rows = cost_questions.join(sums, "question_id", "left").select(
+    sums = sums.select("question_id.*", "services", "amount_cents")
+    cost_rows = cost_questions.join(sums, ["as_of", "days", "top"], "left").select(
         "question_id",
         F.lit(COST_INTENT).alias("intent"),
         "text",
@@ -81,14 +84,14 @@ def dispatch_intents(
                 F.coalesce("services", F.lit(0).cast("bigint")).alias("services"),
             )
         ).alias("data"),
+        F.when(
+            F.col("days").isNull() & (F.col("period") != ""),
+            F.format_string("could not read period '%s'", "period"),
+        ).alias("error"),
     )
 
     others = parsed.filter(
         ~F.coalesce(F.col("intent").isin(ROUTE_INTENT, TRIGGER_INTENT, COST_INTENT), F.lit(False))
     ).select("question_id", "intent", "text", not_implemented(F.col("intent")).alias("data"))
-    return (
-        route_rows.unionByName(trigger_rows)
-        .unionByName(cost_rows)
-        .unionByName(others)
-        .withColumn("error", F.lit(None).cast("string"))
-    )
+    without_error = route_rows.unionByName(trigger_rows).unionByName(others)
+    return without_error.withColumn("error", F.lit(None).cast("string")).unionByName(cost_rows)

@@ -48,6 +48,11 @@ def first_resources(methods: DataFrame) -> DataFrame:
     )
 
 
+def first_integrations(integrations: DataFrame) -> DataFrame:
+    """One URI per API, resource and method: the least of several."""
+    return integrations.groupBy("api_id", "resource_id", "method").agg(F.min("uri").alias("uri"))
+
+
 def api_route_lookup(
     questions: DataFrame, apis: DataFrame, methods: DataFrame, integrations: DataFrame
 ) -> DataFrame:
@@ -79,7 +84,7 @@ def _lookup(
     """asked: question_id, project, text, intent, wanted, method, path. Rows of another
     intent pass through: their ``wanted`` is NULL and meets nothing."""
     routes = first_resources(methods).join(
-        integrations.select("api_id", "resource_id", "method", "uri").distinct(),
+        first_integrations(integrations),
         ["api_id", "resource_id", "method"],
         "left",
     )

@@ -4,44 +4,44 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stackquarry.wording import NO_SNAPSHOT
 
-SALTS = 16
+#: Projects share this many folders of a scan day.
+BUCKETS = 64
 END_OF_TIME = datetime(9999, 1, 1)
+PLACE = ["scan_day", "bucket"]
 
 
-def save_snapshot(resources: DataFrame, path: str) -> None:
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {
+            "scan_day": F.to_date("scan_ts"),
+            "bucket": F.pmod(F.xxhash64("project"), F.lit(BUCKETS)).cast("int"),
+        }
+    )
+
+
+def save_snapshot(resources: DataFrame, path: str, scans: DataFrame | None = None) -> None:
     """Append rows (with ``project`` and ``scan_ts``) to the snapshot table.
 
-    The rows go to ``path/rows``, one folder per project and scan, after which the
-    scans are listed in the small table ``path/scans``; a scan counts from then on.
-    A salt spreads the rows of one folder over several tasks, so a project with a
-    third of the rows is not written by one.
+    The rows go to ``path/rows``, by scan day and a bucket of the project, sorted by
+    project so that file statistics skip the others; the exchange before it cuts large
+    folders by their size, so a project with a third of the rows is not written by one
+    task. After that the scans are listed in the small table ``path/scans``; a scan
+    counts from then on. ``scans`` (project, scan_ts) lists those that found no
+    resource too: they hide the project's earlier ones.
     """
-    span = Observation()
-    seen = resources.observe(span, F.min("scan_ts").alias("first"), F.max("scan_ts").alias("last"))
-    salt = F.pmod(F.xxhash64("logical_id"), F.lit(SALTS))
-    seen.repartition("project", "scan_ts", salt).write.mode("append").partitionBy(
-        "project", "scan_ts"
-    ).parquet(f"{path}/rows")
-    if span.get["first"] is None:
-        return
-    stored = _rows(resources.sparkSession, path)
-    just_written = stored.filter(F.col("scan_ts").between(span.get["first"], span.get["last"]))
-    just_written.select("project", "scan_ts").distinct().write.mode("append").parquet(f"{path}/scans")
-
-
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows. Folder names are text; the types of the two partition columns
-    are set here, not guessed (a project may be called 2024)."""
-    fixed = {"project": T.StringType(), "scan_ts": T.TimestampType()}
-    guessed = spark.read.parquet(f"{path}/rows").schema
-    schema = T.StructType([T.StructField(f.name, fixed.get(f.name, f.dataType)) for f in guessed])
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    placed = _placed(resources).hint("rebalance", *PLACE)
+    placed.sortWithinPartitions(*PLACE, "project", "scan_ts").write.mode("append").partitionBy(*PLACE).parquet(
+        f"{path}/rows"
+    )
+    listed = resources.select("project", "scan_ts")
+    if scans is not None:
+        listed = listed.unionByName(scans.select("project", "scan_ts"))
+    listed.distinct().write.mode("append").parquet(f"{path}/scans")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
@@ -57,9 +57,10 @@ def latest(snapshots: DataFrame) -> DataFrame:
 def load_snapshot(spark: SparkSession, path: str, as_of: datetime = END_OF_TIME) -> DataFrame:
     """Each project's newest scan not after ``as_of``.
 
-    The newest scans come from the list of scans. While that is small enough to be
-    broadcast, the join prunes the folders of all other scans before reading them;
-    beyond it the rows are joined by project and scan.
+    The newest scans come from the list of scans, so a newest one without resources
+    gives no row. While the list is small enough to be broadcast, the join prunes the
+    folders of other days and buckets before reading them; beyond it the rows are
+    joined by place, project and scan.
     """
     scans = spark.read.schema("project STRING, scan_ts TIMESTAMP").parquet(f"{path}/scans")
     newest = (
@@ -67,7 +68,8 @@ def load_snapshot(spark: SparkSession, path: str, as_of: datetime = END_OF_TIME)
         .groupBy("project")
         .agg(F.max("scan_ts").alias("scan_ts"))
     )
-    return _rows(spark, path).join(newest, ["project", "scan_ts"], "left_semi")
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.join(_placed(newest), [*PLACE, "project", "scan_ts"], "left_semi").drop(*PLACE)
 
 
 def missing_snapshots(projects: DataFrame, snapshots: DataFrame) -> DataFrame:

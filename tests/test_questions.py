@@ -96,6 +96,14 @@ def test_route_answers(spark):
     ]
 
 
+def test_two_uris_give_one_answer(spark):
+    apis, methods, integrations = inventory(spark)
+    more = spark.createDataFrame([("a2", "r1", "GET", f"{HEAD}:function:another/invocations")], integrations.schema)
+    asked = spark.createDataFrame([(1, "p", "Which Lambda handles GET /hello on demo-api?")], "question_id BIGINT, project STRING, text STRING")
+    rows = routes.route_answers(asked, apis, methods, integrations.unionByName(more)).collect()
+    assert [r.lambda_name for r in rows] == ["another"]
+
+
 @pytest.mark.parametrize(
     "reply,intent,params",
     [
