@@ -35,6 +35,8 @@ from stackquarry.streaming import runs, texts
 from stackquarry.streaming import usage as usage_stream
 
 QUERIES = {}
+#: Files that the event streams are read from, one a micro-batch.
+EVENT_FILES = 4
 
 
 def query(fn):
@@ -191,6 +193,16 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def saved_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_table_path(spark, "snapshots")
+    for rows, scanned in shapes.two_scans(spark, sf):
+        snapshots.save_snapshot(rows, folder, scanned)
+    return snapshots.load_snapshot(spark, folder).select(
+        "project", F.date_format("scan_ts", "yyyy-MM-dd").alias("scan_day"), "logical_id"
+    )
+
+
 # ---- redaction --------------------------------------------------------------
 
 
@@ -252,6 +264,13 @@ def request_cost(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def fine_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs at prices far below a thousandth of a dollar for 1000 tokens."""
+    priced = usage.priced_usage(shapes.offer_usage(spark, sf), shapes.fine_prices(spark, sf))
+    return priced.select("req_id", "model_id", "cost_micro", "est_micro")
+
+
 @query
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.table(spark, sf, "documents").select(
@@ -288,8 +307,8 @@ def price_or_default(spark: SparkSession, sf: str) -> DataFrame:
     return priced.select(
         "req_id",
         "model_id",
-        money.micro_per_token(F.col("input_cost")).alias("input_micro"),
-        money.micro_per_token(F.col("output_cost")).alias("output_micro"),
+        money.nano_per_token(F.col("input_cost")).alias("input_nano"),
+        money.nano_per_token(F.col("output_cost")).alias("output_nano"),
         *big("speed", "quality"),
     )
 
@@ -422,7 +441,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def answer_within_budget(spark: SparkSession, sf: str) -> DataFrame:
     asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
-    ready = asked.filter(F.col("context").isNotNull()).withColumns(
+    ready = asked.withColumns(
         {"model_id": F.lit(catalog.DEFAULT_MODEL), "limit_micro": F.lit(1_500_000).cast("bigint")}
     )
     return answers.answer_within_budget(ready, echo_backend, catalog.prices(spark)).select(
@@ -488,13 +507,14 @@ def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stored = shapes.table(spark, sf, "events").schema
-    return (
-        spark.readStream.schema(stored)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(sf)
-    )
+    """The events as a stream of several files, one a micro-batch. Every day lies in one
+    file, and files come in the order of a hash of their days, not of time."""
+    events = shapes.table(spark, sf, "events")
+    folder = new_table_path(spark, "event_files")
+    dealt = events.withColumn("_file", F.pmod(F.xxhash64(F.to_date("ts")), F.lit(EVENT_FILES)))
+    for n in range(EVENT_FILES):
+        dealt.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _priced_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -504,8 +524,9 @@ def _priced_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
-    updates = runs.updates_to_table(usage_stream.stream_daily_usage(_priced_stream(spark, sf)), "stream_usage")
-    return usage_stream.newest_daily_usage(updates)
+    folder = new_table_path(spark, "stream_usage")
+    usage_stream.add_daily_usage(_priced_stream(spark, sf), folder)
+    return usage_stream.summed_daily_usage(spark, folder)
 
 
 @query

@@ -21,9 +21,8 @@ _METHOD = "CASE {n} % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' W
 _API = "'api-' || CASE WHEN {k} % 10 = 8 THEN {k} - 5 ELSE {k} END"
 
 _LINES = """lines AS (
-  SELECT l_orderkey, l_linenumber, v // 1000000 AS part, v % 1000000 AS supp
-  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey * 1000000 + l_suppkey) AS v
-        FROM lineitem GROUP BY ALL))"""
+  SELECT l_orderkey, l_linenumber, l_partkey AS part, l_suppkey AS supp,
+    l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line_key FROM lineitem)"""
 
 _API_TABLES = f"""apis AS (
   SELECT 'p' || (s_suppkey // 10) AS project, s_suppkey AS pos, 'a' || s_suppkey AS api_id,
@@ -44,7 +43,7 @@ first_route AS (
   WHERE rn = 1)"""
 
 _QUESTIONS = f"""questions AS (
-  SELECT l_orderkey * 8 + l_linenumber AS question_id, 'p' || (supp // 10) AS project,
+  SELECT line_key AS question_id, 'p' || (supp // 10) AS project,
     CASE l_orderkey % 10
       WHEN 0 THEN 'Which API Lambda handles ' || m || ' /parts/' || part || ' on ghost-' || supp || '?'
       WHEN 1 THEN 'Which Lambda handles ' || m || ' /none/' || part || ' on ' || api || '?'
@@ -87,7 +86,7 @@ WHERE project IN (SELECT project FROM hits WHERE outcome = 'api_missing')"""
 
 DISPATCH = f"""WITH {_LINES}, {_API_TABLES},
 q AS (
-  SELECT 'question ' || (l_orderkey * 8 + l_linenumber) AS query, l_orderkey % 4 AS kind, part,
+  SELECT 'question ' || line_key AS query, l_orderkey % 4 AS kind, part,
     'p' || (supp // 10) AS project, {_API.format(k='supp')} AS api, {_METHOD.format(n='l_linenumber')} AS method
   FROM lines),
 trig AS (SELECT l_partkey AS part, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -95,14 +94,15 @@ cost AS (
   SELECT days, service, sum(cents) AS cents FROM (
     SELECT CAST(ts AS DATE) AS d, event_type || '-' || (user_id % 20) AS service,
            CAST(floor(value * 100) AS BIGINT) AS cents FROM events)
-  CROSS JOIN (SELECT unnest([7, 14]) AS days)
+  CROSS JOIN (SELECT unnest([7, 14, 1000000]) AS days)
   WHERE d <= DATE '2024-01-20' AND d > DATE '2024-01-20' - days GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY days ORDER BY cents DESC, service) AS rk FROM cost),
 tops AS (
   SELECT t.top, b.days, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents
   FROM best b CROSS JOIN (SELECT unnest([1, 2, 3]) AS top) t WHERE rk <= top GROUP BY ALL)
-SELECT query, true AS success, CAST(NULL AS VARCHAR) AS error,
-  CASE kind
+SELECT query, NOT (kind = 2 AND q.part % 50 = 0) AS success,
+  CASE WHEN kind = 2 AND q.part % 50 = 0 THEN 'could not read period ''9999999 years''' END AS error,
+  CASE WHEN kind = 2 AND q.part % 50 = 0 THEN NULL ELSE CASE kind
     WHEN 0 THEN CASE WHEN r.fn IS NULL
         THEN '{{"api_id":"' || a.api_id || '","api_name":"' || a.name || '","message":"Path ''/parts/' || q.part
           || ''' with method ''' || q.method || ''' not found in API ''' || a.name || '''"}}'
@@ -110,13 +110,13 @@ SELECT query, true AS success, CAST(NULL AS VARCHAR) AS error,
           || '","method":"' || q.method || '","path":"/parts/' || q.part || '"}}' END
     WHEN 1 THEN '{{"lambda":"fn-' || q.part || '","trigger_count":' || coalesce(trig.n, 0) || '}}'
     WHEN 2 THEN '{{"amount_cents":' || tops.cents || ',"limit":"' || (1 + q.part % 3) || '","period":"'
-          || (1 + q.part % 2) || ' weeks","services":' || tops.n || '}}'
-    ELSE '{{"intent":"list_buckets","message":"Query intent not yet implemented"}}' END AS data
+          || CASE WHEN q.part % 50 = 1 THEN '1000000 days' ELSE (1 + q.part % 2) || ' weeks' END || '","services":' || tops.n || '}}'
+    ELSE '{{"intent":"list_buckets","message":"Query intent not yet implemented"}}' END END AS data
 FROM q
 LEFT JOIN first_api a ON q.kind = 0 AND q.project = a.project AND q.api = a.wanted
 LEFT JOIN first_route r ON a.api_id = r.api_id AND r.path = '/parts/' || q.part AND r.method = q.method
 LEFT JOIN trig ON q.kind = 1 AND trig.part = q.part
-LEFT JOIN tops ON q.kind = 2 AND tops.days = 7 * (1 + q.part % 2) AND tops.top = 1 + q.part % 3"""
+LEFT JOIN tops ON q.kind = 2 AND tops.days = CASE WHEN q.part % 50 = 1 THEN 1000000 ELSE 7 * (1 + q.part % 2) END AND tops.top = 1 + q.part % 3"""
 
 _TRIGGERS = """triggers AS (
   SELECT 'fn-' || l_partkey AS function_name,
@@ -171,7 +171,7 @@ LEFT JOIN f ON d.conv_id = f.conv_id LEFT JOIN c ON f.conv_id = c.conv_id AND f.
 # ---- resources and scans ----------------------------------------------------
 
 _RES = f"""{_LINES}, res AS (
-  SELECT 'c' || o_custkey AS project, 's' || o_orderkey AS stack, 'R' || l_linenumber AS logical_id,
+  SELECT 'c' || o_custkey AS project, 's' || o_orderkey AS stack, 'R' || line_key || '.' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY line_key) - 1) AS logical_id,
     part, (part + l_linenumber) % 7 AS kind,
     CASE (part + l_linenumber) % 7 WHEN 0 THEN 'AWS::Lambda::Function' WHEN 1 THEN 'AWS::ApiGateway::RestApi'
       WHEN 2 THEN 'AWS::S3::Bucket' WHEN 3 THEN 'AWS::DynamoDB::Table' WHEN 5 THEN 'AWS::IAM::Role' END AS type
@@ -185,11 +185,11 @@ KEY = f"""WITH {_RES} SELECT project, stack, logical_id, type,
   CASE kind WHEN 0 THEN 'Lambda: fn-' || part || ' (' || logical_id || ')' WHEN 1 THEN 'API Gateway: ' || logical_id
     WHEN 2 THEN 'S3 Bucket: ' || logical_id ELSE 'DynamoDB Table: table-' || part || ' (' || logical_id || ')' END AS label
 FROM res WHERE kind < 4"""
-TOTALS = f"""WITH {_RES} SELECT project, stack, count(*) AS resource_total,
-  CAST(CASE WHEN CAST(substr(stack, 2) AS BIGINT) % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS output_total
-FROM res GROUP BY project, stack"""
-OUTPUTS = f"""WITH {_RES} SELECT DISTINCT project, stack, o.output_name
-FROM res CROSS JOIN (SELECT unnest(['Url', 'Name']) AS output_name) o WHERE CAST(substr(stack, 2) AS BIGINT) % 3 = 1"""
+TOTALS = """SELECT 'c' || o_custkey AS project, 's' || o_orderkey AS stack, count(l_orderkey) AS resource_total,
+  CAST(CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS output_total
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey"""
+OUTPUTS = """SELECT 'c' || o_custkey AS project, 's' || o_orderkey AS stack, o.output_name
+FROM orders CROSS JOIN (SELECT unnest(['Url', 'Name']) AS output_name) o WHERE o_orderkey % 3 = 1"""
 
 SCAN = """WITH p AS (SELECT 'c' || c_custkey AS project, c_custkey % 8 AS k, c_custkey FROM customer),
 r AS (
@@ -225,6 +225,9 @@ SNAPSHOT = """SELECT 'c' || o_custkey AS project, strftime(o_orderdate, '%Y-%m-%
   's' || o_orderkey AS logical_id
 FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS newest FROM orders) WHERE o_orderdate = newest"""
 
+SAVED = """SELECT 'c' || o_custkey AS project, CASE WHEN o_custkey % 5 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS scan_day,
+  's' || o_orderkey AS logical_id FROM orders WHERE o_orderkey % 2 = CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE 1 END"""
+
 # ---- redaction --------------------------------------------------------------
 
 # RE2's \\b is ASCII-only, as in the definition of the patterns
@@ -289,6 +292,10 @@ daily AS (
 
 REQUEST_COST = f"""WITH {_USAGE} SELECT req_id, model_id, cost_micro, est_micro, strftime(ts, '%Y-%m-%d') AS date_key,
   strftime(ts, '%Y%m%dT%H%M%SZ') AS batch_key FROM priced"""
+FINE_COSTS = f"""WITH {_USAGE} SELECT req_id, 'm' || (req_id % 300) AS model_id,
+  CASE WHEN k IS NULL THEN 0 ELSE CAST((input_tokens * (k % 1000 + 1) + output_tokens * (k % 777 + 1) * 5 + 500) // 1000 AS BIGINT) END AS cost_micro,
+  CASE WHEN k IS NULL THEN 10000 ELSE CAST((input_tokens * (k % 1000 + 1) + 500 * (k % 777 + 1) * 5 + 500) // 1000 AS BIGINT) END AS est_micro
+FROM priced LEFT JOIN (SELECT p_partkey AS k FROM part) ON k = req_id % 300"""
 TOKENS = "SELECT doc_id, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM documents"
 DAILY = f"WITH {_USAGE} SELECT * FROM daily"
 REPORT = f"""WITH {_USAGE} SELECT *, limit_micro - cost_micro AS remaining_micro,
@@ -313,8 +320,8 @@ fold AS (
   FROM fold f JOIN numbered x ON x.user_id = f.user_id AND x.day = f.day AND x.rn = f.rn + 1)
 SELECT user_id, day, req_id, admitted, spent_before_micro FROM fold"""
 PRICE_OR_DEFAULT = f"""WITH {_USAGE} SELECT req_id, model_id,
-  CAST(CASE req_id % 5 WHEN 1 THEN 3000 WHEN 2 THEN 130 WHEN 3 THEN 990 ELSE 250 END AS BIGINT) AS input_micro,
-  CAST(CASE req_id % 5 WHEN 1 THEN 15000 WHEN 2 THEN 170 WHEN 3 THEN 990 ELSE 1250 END AS BIGINT) AS output_micro,
+  CAST(CASE req_id % 5 WHEN 1 THEN 3000 WHEN 2 THEN 130 WHEN 3 THEN 990 ELSE 250 END AS BIGINT) * 1000 AS input_nano,
+  CAST(CASE req_id % 5 WHEN 1 THEN 15000 WHEN 2 THEN 170 WHEN 3 THEN 990 ELSE 1250 END AS BIGINT) * 1000 AS output_nano,
   CAST(CASE req_id % 5 WHEN 1 THEN 7 WHEN 2 THEN 8 WHEN 3 THEN 6 ELSE 9 END AS BIGINT) AS speed,
   CAST(CASE req_id % 5 WHEN 1 THEN 9 WHEN 2 THEN 6 WHEN 3 THEN 8 ELSE 7 END AS BIGINT) AS quality FROM priced"""
 
@@ -474,7 +481,8 @@ fold AS (
 SELECT f.req_id, f.admitted, f.before AS spent_before_micro, f.cost AS cost_micro,
   CASE WHEN f.admitted THEN replace(replace(n.answer, '[[ARN_1]]', 'arn:aws:lambda:us-east-1:1:function:f' || n.conv_id),
     '[[IP_2]]', '10.0.0.' || n.turn) END AS answer
-FROM fold f JOIN numbered n USING (req_id)"""
+FROM fold f JOIN numbered n USING (req_id)
+UNION ALL SELECT req_id, false, NULL, NULL, NULL FROM asked LEFT JOIN nation ON n_nationkey = nation WHERE n_nationkey IS NULL"""
 
 # ---- accounts and pairs -----------------------------------------------------
 
@@ -527,11 +535,13 @@ ORACLE: dict[str, str] = {
     "scan_summary": SCAN_SUMMARY,
     "stack_artifacts": ARTIFACTS,
     "latest_snapshot": SNAPSHOT,
+    "saved_snapshots": SAVED,
     "scrub_documents": SCRUB_DOCUMENTS,
     "scrub_map": SCRUB_MAP,
     "unscrub_roundtrip": ROUNDTRIP,
     "unscrub_stored_map": STORED,
     "request_cost": REQUEST_COST,
+    "fine_costs": FINE_COSTS,
     "token_estimates": TOKENS,
     "daily_usage": DAILY,
     "usage_report": REPORT,

@@ -25,12 +25,13 @@ METHOD = (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number) of lineitem, with a part and a supplier."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min(F.expr("l_partkey * 1000000 + l_suppkey")).alias("v"))
-        .selectExpr("l_orderkey", "l_linenumber", "v div 1000000 AS part", "v % 1000000 AS supp")
+    """Every row of lineitem; its four keys together name it, but for repeated rows."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey AS part",
+        "l_suppkey AS supp",
+        "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line_key",
     )
 
 
@@ -76,7 +77,7 @@ def integrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lines(spark, sf_dir).selectExpr(
         "l_orderkey",
-        "l_orderkey * 8 + l_linenumber AS question_id",
+        "line_key AS question_id",
         "part",
         "supp",
         API_NAME.format(k="supp") + " AS api",
@@ -108,20 +109,25 @@ RESOURCE = """CASE (part + l_linenumber) % 7
 
 
 def stack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One template per order; its resources are the order's lines, at most seven."""
+    """One template per order; its resources are the order's lines, none for some."""
     resources = (
         lines(spark, sf_dir)
-        .selectExpr("l_orderkey", f"""'"R' || l_linenumber || '":' || {RESOURCE} AS entry""")
+        .selectExpr("l_orderkey", "line_key", f"{RESOURCE} AS body")
         .groupBy("l_orderkey")
-        .agg(F.array_join(F.sort_array(F.collect_list("entry")), ",").alias("entries"))
+        .agg(F.sort_array(F.collect_list(F.struct("line_key", "body"))).alias("found"))
+        .selectExpr(
+            "l_orderkey",
+            # the place tells repeated lines apart
+            """array_join(transform(found, (f, i) -> '"R' || f.line_key || '.' || i || '":' || f.body), ',') AS entries""",
+        )
     )
     return (
         table(spark, sf_dir, "orders")
-        .join(resources, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(resources, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .selectExpr(
             "'c' || o_custkey AS project",
             "'s' || o_orderkey AS stack",
-            """'{"Resources":{' || entries || '}' || CASE o_orderkey % 3
+            """'{"Resources":{' || coalesce(entries, '') || '}' || CASE o_orderkey % 3
                 WHEN 0 THEN ',"Outputs":{}'
                 WHEN 1 THEN ',"Outputs":{"Url":{"Value":"u' || o_orderkey || '"},"Name":{"Value":"n"}}'
                 ELSE '' END || '}' AS doc""",
@@ -164,6 +170,24 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def two_scans(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Two scans: resources found, and the list of scanned projects. The second skips
+    every fifth project and finds nothing in some."""
+    orders = table(spark, sf_dir, "orders")
+    projects = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'c' || c_custkey AS project")
+    scans = []
+    for n, day, kept in ((0, "2024-01-01", "true"), (1, "2024-01-02", "{k} % 5 <> 0")):
+        at = f"TIMESTAMP'{day} 10:00:00' AS scan_ts"
+        rows = orders.where(f"o_orderkey % 2 = {n} AND " + kept.format(k="o_custkey"))
+        scans.append(
+            (
+                rows.selectExpr("'c' || o_custkey AS project", at, "'s' || o_orderkey AS logical_id"),
+                projects.where(kept.format(k="c_custkey")).selectExpr("project", at),
+            )
+        )
+    return scans
+
+
 # ---- texts ------------------------------------------------------------------
 
 SECRET_QUESTION = (
@@ -248,6 +272,21 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_of_events(table(spark, sf_dir, "events"))
 
 
+def fine_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices per 1000 tokens of a few millionths of a dollar, one for each part."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "'m' || p_partkey AS model_id",
+        "cast((p_partkey % 1000 + 1) / cast(1000000 AS DECIMAL(7,0)) AS DECIMAL(18,6)) AS input_cost",
+        "cast((p_partkey % 777 + 1) * 5 / cast(1000000 AS DECIMAL(7,0)) AS DECIMAL(18,6)) AS output_cost",
+        "1 AS speed",
+        "1 AS quality",
+    )
+
+
+def offer_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage(spark, sf_dir).withColumn("model_id", F.expr("'m' || (req_id % 300)"))
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "to_date(ts) AS usage_date",
@@ -356,15 +395,16 @@ def trigger_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed questions of all kinds, one per (order, line)."""
     return lines(spark, sf_dir).selectExpr(
-        "l_orderkey * 8 + l_linenumber AS question_id",
+        "line_key AS question_id",
         "'p' || (supp div 10) AS project",
-        "'question ' || (l_orderkey * 8 + l_linenumber) AS text",
+        "'question ' || line_key AS text",
         """CASE l_orderkey % 4 WHEN 0 THEN 'api_gateway_lambda' WHEN 1 THEN 'lambda_triggers'
            WHEN 2 THEN 'cost_top' ELSE 'list_buckets' END AS intent""",
         f"""CASE l_orderkey % 4
             WHEN 0 THEN map('api', {API_NAME.format(k='supp')}, 'method', {METHOD.format(n='l_linenumber')}, 'path', '/parts/' || part)
             WHEN 1 THEN map('lambda', 'fn-' || part)
-            WHEN 2 THEN map('limit', cast(1 + part % 3 AS STRING), 'period', (1 + part % 2) || ' weeks')
+            WHEN 2 THEN map('limit', cast(1 + part % 3 AS STRING), 'period', CASE part % 50
+                WHEN 0 THEN '9999999 years' WHEN 1 THEN '1000000 days' ELSE (1 + part % 2) || ' weeks' END)
             ELSE map('x', 'y') END AS params""",
     )
 

@@ -5,7 +5,9 @@ import os
 import pandas as pd
 import pytest
 
-import __spark_entry__ as contract
+from stackquarry.plans import shapes
+from stackquarry.plans.catalogue import QUERIES
+from stackquarry.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -36,11 +38,18 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in row) for row in frame.itertuples(index=False)), key=lambda r: tuple(map(str, r)))
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = contract.queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     assert len(got) > 0
-    if name in contract.oracle_sql():
-        wanted = duck.execute(contract.oracle_sql()[name]).df()
+    if name in ORACLE:
+        wanted = duck.execute(ORACLE[name]).df()
         assert sorted(got.columns) == sorted(wanted.columns)
         assert rows_of(got) == rows_of(wanted)
+
+
+def test_shapes_keep_every_row(spark):
+    lines = shapes.table(spark, SF, "lineitem").count()
+    assert shapes.lines(spark, SF).count() == lines
+    assert shapes.route_questions(spark, SF).count() == lines == shapes.parsed_questions(spark, SF).count()
+    assert shapes.stack_documents(spark, SF).count() == shapes.table(spark, SF, "orders").count()
