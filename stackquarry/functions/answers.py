@@ -100,6 +100,11 @@ REPLY_PATHS = {
     "sagemaker": ["$.response", "$.output", "$.text"],
     "openai": ["$.choices[0].message.content"],
 }
+# what the texts lie in
+REPLY_CONTAINERS = {
+    "titan": [("$.results", "ARRAY"), ("$.results[0]", "OBJECT")],
+    "openai": [("$.choices", "ARRAY"), ("$.choices[0]", "OBJECT"), ("$.choices[0].message", "OBJECT")],
+}
 
 
 def _reply(body: Column, family: str) -> Column:
@@ -107,7 +112,8 @@ def _reply(body: Column, family: str) -> Column:
     paths = REPLY_PATHS[family]
     fits = reduce(
         lambda a, b: a & b,
-        [variants.text_fits(reply, p) for p in paths],
+        [variants.text_fits(reply, p) for p in paths]
+        + [variants.container_fits(reply, *c) for c in REPLY_CONTAINERS.get(family, [])],
         variants.decodes_as_object(reply),
     )
     text = F.coalesce(

@@ -20,10 +20,6 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(kind(value), F.lit("OBJECT")), F.lit(False))
-
-
 def decodes_as_object(value: Column) -> Column:
     """True for a JSON object or JSON null; False for other values and broken text."""
     return F.coalesce(F.startswith(kind(value), F.lit("OBJECT")) | (kind(value) == "VOID"), F.lit(False))
@@ -39,6 +35,12 @@ def absent(value: Column, path: str) -> Column:
     return F.coalesce(kind(field(value, path)) == "VOID", F.lit(True))
 
 
+def container_fits(value: Column, path: str, wanted: str) -> Column:
+    """True when an OBJECT or ARRAY can be decoded there: one, JSON null or missing."""
+    found = kind(field(value, path))
+    return F.coalesce(F.startswith(found, F.lit(wanted)) | (found == "VOID"), F.lit(True))
+
+
 def text_fits(value: Column, path: str) -> Column:
     """True when a text field can be decoded: a string, JSON null or missing."""
     return F.coalesce(kind(field(value, path)).isin("STRING", "VOID"), F.lit(True))

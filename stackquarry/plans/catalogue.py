@@ -7,7 +7,7 @@ selects its result columns; the work is in the operators.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stackquarry import catalog
@@ -438,6 +438,14 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     return answers.answer_batch(asked, echo_backend).select("req_id", "backend", "answer", "error")
 
 
+@query
+def classified_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier of one's own in place of the keywords."""
+    asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
+    even = F.when(F.length("question") % 2 == 0, "even").otherwise("odd")
+    return answers.answer_batch(asked, echo_backend, classifier=lambda _: even).select("req_id", "backend", "answer", "error")
+
+
 @query
 def answer_within_budget(spark: SparkSession, sf: str) -> DataFrame:
     asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
@@ -495,6 +503,43 @@ def pair_text(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.pair_text(files.complete_pairs(shapes.loose_pairs(spark, sf))).select("prompt", "text")
 
 
+@query
+def pair_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs written as files and loaded again."""
+    folder = new_table_path(spark, "pair_files")
+    return files.load_pairs(spark, files.write_pairs(shapes.loose_pairs(spark, sf), folder, "20240101T000000Z"))
+
+
+@query
+def metadata_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata written as files and read again."""
+    folder = new_table_path(spark, "metadata_files")
+    target = files.write_metadata(shapes.metadata(spark, sf), folder, "20240101T000000Z")
+    return files.read_metadata(spark, target, multi_line=False)
+
+
+@query
+def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Reply chunks from newline-delimited files, down to each request's first valid one."""
+    folder = new_table_path(spark, "chunk_files")
+    replies = shapes.query_replies(spark, sf)
+    replies.selectExpr("cast(conv_id AS STRING) AS req_id", "turn AS chunk_idx", "response").write.json(folder)
+    requests = replies.selectExpr("cast(conv_id AS STRING) AS req_id", "cast(conv_id AS STRING) AS text").distinct()
+    found = answers.first_valid_chunk(requests, files.read_chunks(spark, folder))
+    return found.select(F.col("req_id").cast("bigint").alias("req_id"), "parsed.intent", "parsed.raw_query")
+
+
+@query
+def written_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the writers count while they write."""
+    folder = new_table_path(spark, "written_counts")
+    metadata, pairs_written = Observation(), Observation()
+    files.write_metadata(shapes.metadata(spark, sf), folder, "b", metadata)
+    files.write_pairs(shapes.loose_pairs(spark, sf), folder, "b", pairs_written)
+    counts = [("metadata", metadata.get["records"]), ("pairs", pairs_written.get["records"])]
+    return spark.createDataFrame(counts, "written STRING, records BIGINT")
+
+
 @query
 def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
     texts_in = shapes.table(spark, sf, "documents").select("doc_id", "text")

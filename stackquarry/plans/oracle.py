@@ -450,16 +450,22 @@ CLEAN = f"""WITH raw AS (
   FROM conversations WHERE role = 'assistant'), {_clean('raw', 'req_id', 'reply')}
 SELECT * FROM cleaned"""
 
-# the injected ARN and address are the only identifiers in these questions
-ANSWERS = f"""WITH {_ASKED}, echoed AS (
-  SELECT req_id, 'So, in summary: arch: ' || words || ' from [[ARN_1]] at [[IP_2]]' AS reply FROM asked),
+
+def _answers(backend: str) -> str:
+    """The injected ARN and address are the only identifiers in these questions."""
+    return f"""WITH {_ASKED}, echoed AS (
+  SELECT req_id, 'So, in summary: ' || {backend} || ': ' || words || ' from [[ARN_1]] at [[IP_2]]' AS reply FROM asked),
 {_clean('echoed', 'req_id', 'reply')}
-SELECT req_id, 'arch' AS backend,
+SELECT req_id, {backend} AS backend,
   CASE WHEN nation < 25 THEN replace(replace(answer, '[[ARN_1]]', 'arn:aws:lambda:us-east-1:1:function:f' || conv_id),
     '[[IP_2]]', '10.0.0.' || turn) END AS answer,
   CASE WHEN nation >= 25 THEN {_text(wording.NO_SNAPSHOT)} END AS error
 FROM cleaned JOIN asked USING (req_id)"""
 
+
+ANSWERS = _answers("'arch'")
+CLASSIFIED = _answers("CASE WHEN length(question) % 2 = 0 THEN 'even' ELSE 'odd' END")
+
 GATED_ANSWERS = f"""WITH RECURSIVE {_ASKED}, echoed AS (
   SELECT req_id, 'So, in summary: arch: ' || words || ' from [[ARN_1]] at [[IP_2]]' AS reply FROM asked),
 {_clean('echoed', 'req_id', 'reply')},
@@ -512,6 +518,12 @@ PAIRS = f"""SELECT 'What triggers the ' || p_name || '-' || p_partkey || ' Lambd
   {_text(wording.PAIR_COMPLETION)} AS completion FROM part WHERE p_partkey % 4 <> 0"""
 PAIR_TEXT = """SELECT 'Turn ' || r AS prompt, 'Turn ' || r || chr(10) || text AS text
 FROM (SELECT conv_id * 100 + turn AS r, text FROM conversations) WHERE r % 7 <> 0 AND r % 11 <> 0 AND r % 5 <> 0 AND text <> ''"""
+PAIR_FILES = """SELECT 'Turn ' || r AS prompt, text AS completion
+FROM (SELECT conv_id * 100 + turn AS r, text FROM conversations) WHERE r % 7 <> 0 AND r % 11 <> 0 AND r % 5 <> 0 AND text <> ''"""
+METADATA_FILES = """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'Table' ELSE 'Lambda' END AS "Type",
+  p_name || '-' || p_partkey AS "FunctionName", 'arn:aws:lambda:::' || p_partkey AS "Arn" FROM part"""
+WRITTEN = """SELECT 'metadata' AS written, count(*) AS records FROM part
+UNION ALL SELECT 'pairs', count(*) FROM conversations"""
 TRUNCATE = """SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, ' ')) AS kept_md5
 FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')[1:1024] AS w FROM documents)"""
 
@@ -563,6 +575,7 @@ ORACLE: dict[str, str] = {
     "extract_response": REPLIES,
     "clean_response": CLEAN,
     "answer_batch": ANSWERS,
+    "classified_answers": CLASSIFIED,
     "answer_within_budget": GATED_ANSWERS,
     "quota_status": QUOTA_STATUS,
     "quota_recommendation": QUOTA_ADVICE,
@@ -572,6 +585,10 @@ ORACLE: dict[str, str] = {
     "collect_rows": COLLECT,
     "make_pairs": PAIRS,
     "pair_text": PAIR_TEXT,
+    "pair_files": PAIR_FILES,
+    "metadata_files": METADATA_FILES,
+    "chunk_files": f"SELECT req_id, intent, raw_query FROM ({FIRST_CHUNK})",
+    "written_counts": WRITTEN,
     "truncate_text": TRUNCATE,
     "stream_usage": DAILY,
     "stream_budget": GATE,

@@ -9,7 +9,3 @@ TEMPLATE = "Resources MAP<STRING, VARIANT>, Outputs MAP<STRING, VARIANT>"
 METADATA = "Type STRING, FunctionName STRING, Arn STRING"
 PAIR = "prompt STRING, completion STRING"
 CHUNK = "req_id STRING, chunk_idx BIGINT, response STRING"
-USAGE = (
-    "user_id BIGINT, req_id BIGINT, ts TIMESTAMP, model_id STRING, "
-    "input_tokens BIGINT, output_tokens BIGINT, est_micro BIGINT"
-)

@@ -149,3 +149,18 @@ def test_accounts(spark):
     assert advice["a"].gpu_advice == "request L-DB2E81BA to 4 vCPU" and advice["a"].standard_advice == "deploy t3.medium"
     assert advice["b"].gpu_advice == "deploy g4dn.xlarge" and advice["b"].standard_advice.startswith("request")
     assert advice["c"].options == "managed model or request quota"
+
+
+@pytest.mark.parametrize(
+    "model,body,text,error",
+    [
+        ("amazon.titan-text-express-v1", '{"results":{"outputText":"x"}}', None, "failed to parse titan response"),
+        ("amazon.titan-text-express-v1", '{"results":["x"]}', None, "failed to parse titan response"),
+        ("amazon.titan-text-express-v1", '{"results":null}', "", None),
+        ("amazon.titan-text-express-v1", '{"results":[{"outputText":" x "}]}', "x", None),
+    ],
+)
+def test_containers_of_replies(spark, model, body, text, error):
+    df = spark.createDataFrame([(model, body)], "m STRING, b STRING")
+    row = df.select(extract_response(F.lit("bedrock"), F.col("m"), F.col("b")).alias("r")).first().r
+    assert (row.text, row.error) == (text, error)
