@@ -69,12 +69,19 @@ def prepare_prompts(
 
 
 def call_backend(df: DataFrame, backend: Backend) -> DataFrame:
-    """Add ``reply``. Only two text columns cross to Python."""
+    """Add ``reply``. Only two text columns cross to Python; a NULL prompt is not sent."""
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for names, prompts in parts:
-            yield backend(names, prompts)
+            known = prompts.notna()
+            if known.all():
+                yield backend(names, prompts)
+            else:
+                replies = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+                if known.any():
+                    replies[known] = backend(names[known], prompts[known]).to_numpy()
+                yield replies
 
     return df.withColumn("reply", ask.asNondeterministic()("backend", "prompt"))
 
@@ -92,11 +99,13 @@ def answer_batch(
     has_architecture_backend: bool = True,
     classifier: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """U01 without a budget: adds backend, answer and error."""
+    """U01 without a budget: adds backend, answer and error. One pass: a question without a
+    context has no prompt and is not sent."""
     ready = prepare_prompts(questions, has_architecture_backend, classifier)
-    asked = finish_answers(call_backend(ready.filter(F.col("context").isNotNull()), backend))
-    missing = ready.filter(F.col("context").isNull()).withColumn("error", F.lit(NO_SNAPSHOT))
-    return asked.unionByName(missing, allowMissingColumns=True).drop("redactions", "prompt", "reply")
+    ready = ready.withColumn("prompt", F.when(F.col("context").isNotNull(), F.col("prompt")))
+    missing = F.when(F.col("context").isNull(), F.lit(NO_SNAPSHOT))
+    answered = finish_answers(call_backend(ready, backend)).withColumn("error", missing)
+    return answered.drop("redactions", "prompt", "reply")
 
 
 def answer_within_budget(

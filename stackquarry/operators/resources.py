@@ -104,8 +104,8 @@ def scan_summary(documents: DataFrame) -> DataFrame:
     """The summary of a scan as rows (project, stack, section, item, n): the total, the
     count per type, the key resources and the outputs of each stack.
 
-    A template is parsed once; all its lines come out of one explode, and equal
-    lines (the types) are added up, within the task first.
+    A template is parsed once and its types are counted within the row; all its lines
+    come out of one explode, without an exchange.
     """
 
     def line(section: str, item: Column, n: Column | None = None) -> Column:
@@ -121,19 +121,23 @@ def scan_summary(documents: DataFrame) -> DataFrame:
             resource_type(entry["value"]).alias("type"),
         )
 
-    def lines_of(entry: Column) -> Column:
+    def key_line(entry: Column) -> Column:
         properties = variants.field(entry["body"], "$.Properties")
         name = own_name(entry["type"], properties)
-        label = key_label(key_kind(entry["type"]), name, entry["logical_id"])
-        return F.array(line("type", entry["type"]), line("key", label))
+        return line("key", key_label(key_kind(entry["type"]), name, entry["logical_id"]))
+
+    def type_line(name: Column) -> Column:
+        return line("type", name, F.size(F.filter(types, lambda other: other == name)))
 
     entries = F.transform(F.map_entries("template.Resources"), typed)
+    types = F.transform(entries, lambda entry: entry["type"])
     total = line("total", F.lit("resources"), F.coalesce(F.size(entries), F.lit(0)))
     outputs = F.transform(F.map_keys("template.Outputs"), lambda name: line("output", name))
     none = F.array().cast("array<struct<section:string,item:string,n:bigint>>")
     lines = F.concat(
         F.array(total),
-        F.coalesce(F.flatten(F.transform(entries, lines_of)), none),
+        F.coalesce(F.transform(F.array_distinct(types), type_line), none),
+        F.coalesce(F.transform(entries, key_line), none),
         F.coalesce(outputs, none),
     )
     return (
@@ -141,6 +145,4 @@ def scan_summary(documents: DataFrame) -> DataFrame:
         .select(*KEYS, F.explode(lines).alias("line"))
         .select(*KEYS, "line.section", "line.item", "line.n")
         .filter(F.col("item").isNotNull())
-        .groupBy(*KEYS, "section", "item")
-        .agg(F.sum("n").alias("n"))
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackquarry.functions.questions import is_route_question, route_words
+from stackquarry.wording import API_MISSING, ROUTE_MISSING
 
 ROUTE_INTENT = "api_gateway_lambda"
 
@@ -113,13 +114,11 @@ def _lookup(
         F.when(found, F.col("method")).alias("method"),
         F.when(found, F.coalesce(function_from_uri(F.col("uri")), F.lit(""))).alias("lambda_name"),
         F.when(
-            F.col("outcome") == "api_missing", F.format_string("API Gateway '%s' not found", "wanted")
+            F.col("outcome") == "api_missing", F.format_string(API_MISSING, "wanted")
         )
         .when(
             F.col("outcome") == "route_missing",
-            F.format_string(
-                "Path '%s' with method '%s' not found in API '%s'", "path", "method", "api_name"
-            ),
+            F.format_string(ROUTE_MISSING, "path", "method", "api_name"),
         )
         .alias("message"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stackquarry.functions import variants
 from stackquarry.operators.resources import decode_templates, resource_entries
 from stackquarry.schemas import MANIFEST
-from stackquarry.wording import STACK_ARTIFACT
+from stackquarry.wording import SCAN_MESSAGES, STACK_ARTIFACT
 
 BUILD_FOLDER = "cdk.out"
 _PROJECT_OF = rf"^(?:file:/*(?=/))?(.*)/{BUILD_FOLDER}/"
@@ -179,23 +179,11 @@ def _manifest_fits(manifest: Column) -> Column:
 
 
 def _message() -> Column:
-    return (
-        F.when(
-            F.col("error_code") == "no_build_output",
-            F.concat(F.lit("no supported IaC files found in "), F.col("project")),
-        )
-        .when(F.col("error_code") == "manifest_unreadable", F.lit("could not read cdk manifest.json"))
-        .when(F.col("error_code") == "manifest_unparsable", F.lit("could not parse cdk manifest.json"))
-        .when(
-            F.col("error_code") == "no_stack",
-            F.lit("no aws:cloudformation:stack artifact found in cdk manifest"),
-        )
-        .when(
-            F.col("error_code") == "template_unreadable",
-            F.concat(F.lit("could not read template file "), F.col("template_file")),
-        )
-        .when(
-            F.col("error_code") == "template_unparsable",
-            F.concat(F.lit("could not parse template file "), F.col("template_file")),
-        )
+    """The text of each error code, with the column it names filled in."""
+    code = F.col("error_code")
+    return F.coalesce(
+        *[
+            F.when(code == name, F.format_string(text, filled) if filled else F.lit(text))
+            for name, (text, filled) in SCAN_MESSAGES.items()
+        ]
     )

@@ -22,6 +22,18 @@ ARCHITECTURE_WORDS = [
 NOT_IMPLEMENTED = "Query intent not yet implemented"
 NO_SNAPSHOT = "no infrastructure snapshot found for this project; run a scan first"
 
+# ---- fixed values: messages; %s is filled in ---------------------------------
+SCAN_MESSAGES = {
+    "no_build_output": ("no supported IaC files found in %s", "project"),
+    "manifest_unreadable": ("could not read cdk manifest.json", None),
+    "manifest_unparsable": ("could not parse cdk manifest.json", None),
+    "no_stack": ("no aws:cloudformation:stack artifact found in cdk manifest", None),
+    "template_unreadable": ("could not read template file %s", "template_file"),
+    "template_unparsable": ("could not parse template file %s", "template_file"),
+}
+API_MISSING = "API Gateway '%s' not found"
+ROUTE_MISSING = "Path '%s' with method '%s' not found in API '%s'"
+
 # ---- fixed values: redaction, in order --------------------------------------
 # (tag, pattern, a piece of text every match holds or None). \w and \d are
 # ASCII-only in Java regular expressions while \b is not, so word edges are
