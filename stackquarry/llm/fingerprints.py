@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,18 +185,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     ).orderBy("range").collect()
     if not heads:
         return spark.createDataFrame([], FINGERPRINTED)
-    # One row for each range with documents: few, as ranges are counted by partitions.
-    known = F.create_map(
-        *(
-            part
-            for k, row in enumerate(heads)
-            for part in (
-                F.lit(row["range"]),
-                F.struct(F.lit(row["head"]).cast("bigint").alias("head"), F.lit(heads[k - 1]["range"]).alias("before")),
-            )
-        )
-    )
-    of = F.element_at(known, F.col("range"))
+    # One entry for each range: few, as ranges are counted by partitions. The constant
+    # array is looked up by position.
+    places: list[dict | None] = [None] * (len(bounds) + 1)
+    for k, row in enumerate(heads):
+        places[row["range"]] = {"head": row["head"], "before": heads[k - 1]["range"]}
+    known = F.from_json(F.lit(json.dumps(places)), "array<struct<head:bigint,before:int>>")
+    of = F.get(known, F.col("range"))
     own = F.struct(F.col("range"), F.lit(False).alias("guest"))
     also = F.struct(of["before"].alias("range"), F.lit(True).alias("guest"))
     places = F.when(F.col("doc_id").eqNullSafe(of["head"]), F.array(own, also)).otherwise(F.array(own))
