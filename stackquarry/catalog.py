@@ -8,6 +8,8 @@ its statistics allow it.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
 # ---- fixed values -----------------------------------------------------------
@@ -56,7 +58,12 @@ def _values(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, rows: list[tuple] = PRICES) -> DataFrame:
-    """pos, model_id, input_cost, output_cost (USD per 1000 tokens), speed, quality."""
+    """pos, model_id, input_cost, output_cost (USD per 1000 tokens), speed, quality. A
+    price of more than six decimals is an error."""
+    for model, *costs, _, _ in rows:
+        for cost in costs:
+            if Decimal(cost).normalize().as_tuple().exponent < -6:
+                raise ValueError(f"price {cost} of {model} has more than six decimals")
     literals = [
         f"({pos}, {_quoted(m)}, CAST('{i}' AS DECIMAL(18,6)), CAST('{o}' AS DECIMAL(18,6)), {s}, {q})"
         for pos, (m, i, o, s, q) in enumerate(rows)
@@ -65,12 +72,12 @@ def prices(spark: SparkSession, rows: list[tuple] = PRICES) -> DataFrame:
 
 
 def requirements(spark: SparkSession, rows: list[tuple] = REQUIREMENTS) -> DataFrame:
-    """name, min_ram_gb, min_cpus, needs_gpu, size, priority."""
+    """pos, name, min_ram_gb, min_cpus, needs_gpu, size, priority."""
     literals = [
-        f"({_quoted(n)}, {ram}, {cpu}, {str(gpu).lower()}, {_quoted(size)}, {prio})"
-        for n, ram, cpu, gpu, size, prio in rows
+        f"({pos}, {_quoted(n)}, {ram}, {cpu}, {str(gpu).lower()}, {_quoted(size)}, {prio})"
+        for pos, (n, ram, cpu, gpu, size, prio) in enumerate(rows)
     ]
-    return _values(spark, literals, "name, min_ram_gb, min_cpus, needs_gpu, size, priority")
+    return _values(spark, literals, "pos, name, min_ram_gb, min_cpus, needs_gpu, size, priority")
 
 
 def hosted_models(spark: SparkSession, rows: list[tuple] = HOSTED_MODELS) -> DataFrame:

@@ -24,9 +24,9 @@ def place_models(hosts: DataFrame, requirements: DataFrame, host_models: DataFra
 
     Installed models meet the requirements by name, then their host by id, so the
     fit test is a filter on an equi-join and not a host x model product. The best
-    of a host is a max over (priority, earlier name), aggregated partially.
+    of a host is a min over (priority, place in the list), aggregated partially.
     """
-    wanted = requirements.select("name", "min_ram_gb", "min_cpus", "needs_gpu", "priority")
+    wanted = requirements.select("pos", "name", "min_ram_gb", "min_cpus", "needs_gpu", "priority")
     installed = host_models.select("host_id", "name").join(wanted, "name")
     fitting = installed.join(hosts, "host_id").filter(
         (F.col("ram_gb") >= F.col("min_ram_gb"))
@@ -34,7 +34,7 @@ def place_models(hosts: DataFrame, requirements: DataFrame, host_models: DataFra
         & (~F.col("needs_gpu") | F.col("has_gpu"))
     )
     best = fitting.groupBy("host_id").agg(
-        F.min_by("name", F.struct(-F.col("priority"), F.col("name"))).alias("model")
+        F.min_by("name", F.struct(-F.col("priority"), F.col("pos"))).alias("model")
     )
     return hosts.join(best, "host_id", "left").withColumn("model", F.coalesce("model", F.lit("")))
 

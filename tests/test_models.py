@@ -96,3 +96,16 @@ def test_catalog_tables(spark):
     assert [f.dataType.simpleString() for f in catalog.prices(spark).schema][:4] == [
         "int", "string", "decimal(18,6)", "decimal(18,6)"
     ]
+
+
+def test_equal_priorities_follow_the_list(spark):
+    needs = catalog.requirements(spark, [("z", 1, 1, False, "Z", 5), ("a", 1, 1, False, "A", 5)])
+    hosts = spark.createDataFrame([(1, 4, 8, False)], "host_id INT, cpu_cores INT, ram_gb INT, has_gpu BOOLEAN")
+    installed = spark.createDataFrame([(1, "a"), (1, "z")], "host_id INT, name STRING")
+    assert models.place_models(hosts, needs, installed).first().model == "z"
+
+
+def test_prices_are_held_or_refused(spark):
+    assert str(catalog.prices(spark, [("m", "0.000250", "1.25", 1, 1)]).first().input_cost) == "0.000250"
+    with pytest.raises(ValueError, match="six decimals"):
+        catalog.prices(spark, [("m", "0.0000005", "1", 1, 1)])
