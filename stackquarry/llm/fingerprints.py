@@ -187,10 +187,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], FINGERPRINTED)
     # One entry for each range: few, as ranges are counted by partitions. The constant
     # array is looked up by position.
-    places: list[dict | None] = [None] * (len(bounds) + 1)
+    first: list[dict | None] = [None] * (len(bounds) + 1)
     for k, row in enumerate(heads):
-        places[row["range"]] = {"head": row["head"], "before": heads[k - 1]["range"]}
-    known = F.from_json(F.lit(json.dumps(places)), "array<struct<head:bigint,before:int>>")
+        first[row["range"]] = {"head": row["head"], "before": heads[k - 1]["range"]}
+    known = F.from_json(F.lit(json.dumps(first)), "array<struct<head:bigint,before:int>>")
     of = F.get(known, F.col("range"))
     own = F.struct(F.col("range"), F.lit(False).alias("guest"))
     also = F.struct(of["before"].alias("range"), F.lit(True).alias("guest"))
