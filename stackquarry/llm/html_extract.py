@@ -79,6 +79,9 @@ _NAME_BIT = {
 }
 BITS = len(TAG_GROUPS) + len(NAME_GROUPS)
 _ARTICLE = _TAG_BIT["article"]
+#: Groups that name a part of the page; the others tell the kind of a block.
+_PARTS = sum(1 << k for k in [*range(6), *range(len(TAG_GROUPS), BITS)])
+_CONTENT = _ARTICLE | 1 << len(TAG_GROUPS)
 _OTHER = sum(1 << k for k in range(1, 6)) | sum(1 << (k + len(TAG_GROUPS)) for k in range(1, 10))
 
 
@@ -99,7 +102,8 @@ def _bits(tag: str, attributes: str, known: dict[tuple[str, str], int]) -> int:
     return known[key]
 
 
-Block = tuple[str, int, float, int]  # text, ancestor bits, share of linked text, label
+#: Text, ancestor bits, share of linked text, label, bits of the nearest part of the page.
+Block = tuple[str, int, float, int, int]
 
 
 def blocks(page: str | None, known: dict | None = None) -> list[Block]:
@@ -108,8 +112,8 @@ def blocks(page: str | None, known: dict | None = None) -> list[Block]:
     that the groups name as boilerplate does."""
     known = {} if known is None else known
     out: list[Block] = []
-    stack: list[tuple[str, int, int | None, bool]] = []  # tag, bits, label, opaque
-    bits, label, opaque, links = 0, None, False, 0
+    stack: list[tuple[str, int, int, int | None, bool]] = []  # tag, bits, near, label, opaque
+    bits, near, label, opaque, links = 0, 0, None, False, 0
     parts: list[str] = []
     linked = 0
 
@@ -119,15 +123,15 @@ def blocks(page: str | None, known: dict | None = None) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 marked = int(bool(bits & _ARTICLE) and not bits & _OTHER) if label is None else label
-                out.append((text, bits, min(linked / len(text), 1.0), marked))
+                out.append((text, bits, min(linked / len(text), 1.0), marked, near))
             parts.clear()
         linked = 0
 
     def leave(at: int) -> None:
-        nonlocal bits, label, opaque, links
+        nonlocal bits, near, label, opaque, links
         links -= sum(element[0] == "a" for element in stack[at:])
         del stack[at:]
-        _, bits, label, opaque = stack[-1] if stack else ("", 0, None, False)
+        _, bits, near, label, opaque = stack[-1] if stack else ("", 0, 0, None, False)
 
     page = page or ""
     at, n = 0, len(page)
@@ -163,12 +167,12 @@ def blocks(page: str | None, known: dict | None = None) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        own = bits | _bits(tag, found[3], known)
+        own = _bits(tag, found[3], known)
         mark = re.search(r'data-label="([01])"', found[3])
         label = int(mark[1]) if mark else label
-        bits, opaque = own, opaque or tag in OPAQUE
+        bits, near, opaque = bits | own, own & _PARTS or near, opaque or tag in OPAQUE
         links += tag == "a"
-        stack.append((tag, bits, label, opaque))
+        stack.append((tag, bits, near, label, opaque))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             leave(len(stack) - 1)
@@ -187,7 +191,7 @@ def _text_features(text: str, linked: float) -> tuple[float, ...]:
     )
 
 
-WIDTH = BITS + 10
+WIDTH = 2 * BITS + 10
 
 
 def features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,26 +199,34 @@ def features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(page) for page in pages], np.int64)
     flat = [block for page in pages for block in page]
     masks = np.array([block[1] for block in flat], np.int64)
-    shown = (masks[:, None] >> np.arange(BITS)) & 1
-    text = np.array([_text_features(block[0], block[2]) for block in flat], float).reshape(len(flat), WIDTH - BITS)
+    nearest = np.array([block[4] for block in flat], np.int64)
+    shown = (np.stack([masks, nearest], axis=1)[:, :, None] >> np.arange(BITS)) & 1
+    shown = shown.reshape(len(flat), 2 * BITS)
+    text = np.array([_text_features(block[0], block[2]) for block in flat], float).reshape(len(flat), WIDTH - 2 * BITS)
     own = np.hstack([shown, text]) if flat else np.empty((0, WIDTH))
     before, after = np.zeros_like(own), np.zeros_like(own)
     page = np.repeat(np.arange(len(pages)), lengths)
     same = page[1:] == page[:-1]
     before[1:][same] = own[:-1][same]
     after[:-1][same] = own[1:][same]
+    # Whether the page names its content at all tells what a block outside of it is.
+    named = np.zeros(len(pages), bool)
+    np.logical_or.at(named, page, masks & _CONTENT > 0)
+    outside = masks & _CONTENT == 0
+    bare = outside & (nearest == 0)
+    whole = np.stack([outside & named[page], bare & ~named[page], bare & named[page]], axis=1)
     alike = np.zeros((len(own), 2))
     alike[1:, 0] = same & (masks[1:] == masks[:-1])
     alike[:-1, 1] = same & (masks[1:] == masks[:-1])
-    return np.hstack([own, before, after, alike, np.ones((len(own), 1))]), lengths
+    return np.hstack([own, before, after, whole, alike, np.ones((len(own), 1))]), lengths
 
 
 def layouts(page: list[Block], seed: int) -> list[str]:
     """Labelled pages: a page's own main blocks in other layouts, with boilerplate of its
     other blocks, before, behind and inside them. The layouts are fixed; the seed chooses."""
     draw = random.Random(seed)
-    main = [text for text, _, _, label in page if label] or [text for text, *_ in page if len(text) > 80]
-    other = [text for text, _, _, label in page if not label] or ["Home", "About us", "Contact"]
+    main = [block[0] for block in page if block[3]] or [block[0] for block in page if len(block[0]) > 80]
+    other = [block[0] for block in page if not block[3]] or ["Home", "About us", "Contact"]
     if not main:
         return []
 
@@ -260,21 +272,27 @@ def layouts(page: list[Block], seed: int) -> list[str]:
 
     pages = []
     for _ in range(LAYOUTS):
-        kept = [entities.escape(text) for text in main]
-        title, *rest = kept
-        inner = [f"<h1>{title}</h1>"] + [draw.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>"]).format(text) for text in rest]
+        shorter = draw.random() < 0.5
+        kept = [" ".join(text.split()[: draw.randint(3, 40)]) if shorter else text for text in main]
+        title, *rest = map(entities.escape, kept)
+        heading = draw.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"])
+        inner = [heading.format(" ".join(title.split()[: draw.randint(1, 12)]))]
+        for text in rest or [title]:
+            shape = draw.choice(["<p>{}</p>"] * 5 + ["<p>{}", "<div>{}</div>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<h3>{}</h3>"])
+            inner.append(shape.format(text))
         for piece in (advert, side, form, notice):
-            if draw.random() < 0.2:
+            if draw.random() < 0.4:
                 inner.insert(draw.randint(1, len(inner)), piece())
-        if draw.random() < 0.3:
+        if draw.random() < 0.4:
             inner.append(comments())
         opened, closed = draw.choice(
             [("<article{}>", "</article>"), ("<main{}>", "</main>"), ('<div class="content"{}>', "</div>"), ('<div class="post"{}>', "</div>"),
-             ('<div id="article-body"{}>', "</div>"), ('<section class="story"{}>', "</section>"), ("<div{}>", "</div>"), ('<main{}><article class="entry">', "</article></main>")]
+             ('<div id="article-body"{}>', "</div>"), ('<section class="story"{}>', "</section>"), ("<div{}>", "</div>"), ("<div><div{}>", "</div></div>"),
+             ('<main{}><article class="entry">', "</article></main>")]
         )
         body = opened.format(' data-label="1"') + "".join(inner) + closed
-        before = [piece() for piece in (notice, head, menu, advert, form) if draw.random() < 0.6]
-        after = [piece() for piece in (comments, side, form, advert, menu, foot) if draw.random() < 0.6]
+        before = [piece() for piece in (notice, head, menu, advert, form) if draw.random() < 0.5]
+        after = [piece() for piece in (comments, side, form, advert, menu, foot) if draw.random() < 0.5]
         if draw.random() < 0.5:
             draw.shuffle(before)
         pages.append(f'<html><body data-label="0">{"".join(before)}{body}{"".join(after)}</body></html>')
