@@ -20,7 +20,7 @@ component, so no component is lost.
 Defined results: a null or empty text, or one of white space only, has the empty set and
 is linked with nothing. A text of fewer than five words has its whole sequence as its one
 run. Rows with the same id act as one node that has the links of each of them. Rows with a
-null id are left out. Extra columns are ignored; ``representatives`` keeps them.
+null id take no part; ``representatives`` keeps them, and all extra columns.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ PERCENT = 85
 #: Entries of a list whose pairs are all compared at once; and classes of a block.
 SHORT = 8
 BLOCK = 256
+#: Slots of the bitmap of listed classes.
+SLOTS = 1 << 23
 #: Standard errors by which an estimate or an overlap may fall short.
 ERRORS = 6
 
@@ -250,11 +252,33 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both / F.size(union) >= j - slack).select("a", "b")
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+
+
+def _perhaps(ids: DataFrame):
+    """A function column over slots: whether one of the ids has it. The bitmap's size is
+    fixed; it only saves the shuffle of most texts that the join after it drops."""
+    bit = F.expr("shiftleft(1L, slot & 31)")
+    words = ids.select(_slot().alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = words.toPandas()
+    bitmap = np.zeros(SLOTS // 32, np.uint32)
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+
+    @F.arrow_udf("boolean")
+    def perhaps(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return perhaps
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between class ids that connect all classes of a component."""
     entries = _lists(classes, percent)
     ids = shared_table(entries.select("id").distinct(), "listed")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    texts = texts.where(_perhaps(ids)(_slot())).join(ids, "id", "left_semi")
     sets = shared_table(texts.mapInArrow(_sets, "id long, runs binary"), "sets")
     pairs = _proposed(entries, percent)
     likely = shared_table(_estimated(pairs, classes, percent), "likely-pairs")
@@ -297,5 +321,6 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with all columns."""
-    kept = shared_table(group(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    return docs.join(kept, docs["doc_id"].cast("bigint") == kept["kept_id"], "left_semi")
+    gone = group(docs, percent).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept"))
+    gone = shared_table(gone.where(~F.col("kept")).select("gone_id"), "gone")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["gone_id"], "left_anti")
