@@ -45,7 +45,7 @@ PERCENT = 85
 SHORT = 8
 BLOCK = 256
 #: Slots of the bitmap of listed classes.
-SLOTS = 1 << 23
+SLOTS = 1 << 22
 #: Standard errors by which an estimate or an overlap may fall short.
 ERRORS = 6
 
@@ -256,21 +256,16 @@ def _slot() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
 
 
-def _perhaps(ids: DataFrame):
-    """A function column over slots: whether one of the ids has it. The bitmap's size is
-    fixed; it only saves the shuffle of most texts that the join after it drops."""
-    bit = F.expr("shiftleft(1L, slot & 31)")
-    words = ids.select(_slot().alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+def _perhaps(ids: DataFrame) -> Column:
+    """Whether one of the ids has the row's slot. The bitmap, a constant array, has a fixed
+    size; it only saves the shuffle of most texts that the join after it drops."""
+    bit = F.expr("shiftleft(1L, slot & 63)")
+    words = ids.select(_slot().alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     found = words.toPandas()
-    bitmap = np.zeros(SLOTS // 32, np.uint32)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-
-    @F.arrow_udf("boolean")
-    def perhaps(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-
-    return perhaps
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    constant = F.from_json(F.lit(str(bitmap.tolist())), "array<bigint>")
+    return F.getbit(F.get(constant, F.shiftright(_slot(), 6)), _slot().bitwiseAND(F.lit(63))) == 1
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,7 +273,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     entries = _lists(classes, percent)
     ids = shared_table(entries.select("id").distinct(), "listed")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    texts = texts.where(_perhaps(ids)(_slot())).join(ids, "id", "left_semi")
+    texts = texts.where(_perhaps(ids)).join(ids, "id", "left_semi")
     sets = shared_table(texts.mapInArrow(_sets, "id long, runs binary"), "sets")
     pairs = _proposed(entries, percent)
     likely = shared_table(_estimated(pairs, classes, percent), "likely-pairs")
