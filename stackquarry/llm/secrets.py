@@ -80,11 +80,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> set[int]:
     """Rows that may hold a base span: all that do, and a few more."""
-    plain = np.ones(len(data) + 1, bool)
-    plain[:-1] = ~_HEX_BYTE[data]
-    stops = np.flatnonzero(plain)
-    runs = np.flatnonzero(np.diff(np.append(-1, stops)) > LEAST_HEX)
-    places = (stops[runs] - 1).tolist()
+    inside = _HEX_BYTE[data]
+    # Runs end with their text, also where the next one goes on in hex.
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1] | edge[1:-1]
+    closes[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(opens)
+    places = starts[np.flatnonzero(closes) - starts + 1 >= LEAST_HEX].tolist()
     lowered = data.tobytes().translate(_LOWER)
     for needle, heap in [(b"AKIA", data.tobytes()), *((name, lowered) for name in NAMES)]:
         at = heap.find(needle)

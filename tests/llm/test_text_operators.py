@@ -165,6 +165,16 @@ def test_base_secrets_stay(docs, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
 
 
+def test_base_secrets_at_the_borders_of_texts():
+    value = "0123456789abcdef"
+    texts = [f"aon {value}", "beef bun", value, None, "", value, "fade", f"{value[:8]}", value[8:], f"é {value}", f"{value} é", "a"]
+    (_, _, _, _, spans), = list(secrets._sliced(pa.array(texts)))
+    assert spans == {k: _base(text) for k, text in enumerate(texts) if text and _base(text)}
+    assert sorted(spans) == [0, 2, 5, 9, 10]
+    found = [[base for base, _ in secrets.spans_of(pa.array([text], pa.string()), None)][0] for text in texts]
+    assert found == [base for base, _ in secrets.spans_of(pa.array(texts), None)]
+
+
 def test_field_finds_shapes_beyond_the_patterns():
     draw = random.Random(5)
     fill = [f"{draw.choice('abcdefgh')}{draw.choice('ou')}n" for _ in range(50)]
