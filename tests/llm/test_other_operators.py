@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import random
@@ -71,6 +72,51 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def _gram_counts(texts):
+    counts = collections.Counter()
+    for text in texts:
+        padded = [None] * 5 + [*text.encode(), "end"]
+        for k in range(5, len(padded)):
+            for order in range(6):
+                counts[tuple(padded[k - order : k]), padded[k]] += 1
+                counts[tuple(padded[k - order : k])] += 1
+    return counts
+
+
+def _score(text, rejected, accepted):
+    padded, total = [None] * 5 + [*text.encode(), "end"], 0.0
+    for k in range(5, len(padded)):
+        for counts, sign in ((rejected, -1), (accepted, 1)):
+            chance = 1 / 257
+            for order in range(6):
+                context = tuple(padded[k - order : k])
+                chance = (counts[context, padded[k]] + 4 * chance) / (counts[context] + 4)
+            total += sign * math.log(chance)
+    return total / (len(padded) - 5)
+
+
+def test_url_models_count_every_gram_of_its_own(spark):
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789éß"
+
+    def slug():
+        return "".join(draw.choice(letters) for _ in range(60))
+
+    # Distinct grams of orders 4 and 5 beyond 524,288; then URLs of no rule.
+    ruled = [f"http://{slug()}.{('net', 'example.net')[k % 2]}/en/{slug()}" for k in range(4500)]
+    free = [f"http://x.com/{slug()}" for _ in range(20)] + ["http://y.com/en/" + url[-30:] for url in ruled[:20]]
+    pages = spark.createDataFrame(list(enumerate([*ruled, *free])), "page_id long, url string")
+    rows = {row["page_id"]: row for row in url_filter.judge(pages).collect()}
+    assert len(rows) == pages.count()
+    classes = {"allow": [], "block": []}
+    for k in range(len(ruled)):
+        classes[rows[k]["verdict"]].append(rows[k]["host"] + rows[k]["path"])
+    assert min(map(len, classes.values())) > 1000
+    rejected, accepted = _gram_counts(classes["block"]), _gram_counts(classes["allow"])
+    for k in [*range(0, 4500, 500), *range(4500, len(rows))]:
+        assert math.isclose(rows[k]["score"], _score(rows[k]["host"] + rows[k]["path"], rejected, accepted), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_vectors_against_brute_force(spark):
     draw = np.random.default_rng(6)
     centres = draw.standard_normal((40, 16))
