@@ -9,8 +9,10 @@ log-likelihoods over its length. The threshold that errs least on a calibration
 the counts without that fold and both classes weighing the same, parts accepted from
 rejected; then the scores come from the counts of all URLs with a rule, the fold's too.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no rule,
-and the score 0. Rows with equal URLs have equal verdicts. While one class has no URL in
+The models train on and judge the whole URL, its scheme, query and fragment too; rules see
+its host and path. Defined results: a URL without ``://`` has an empty host and path, and
+no rule. A null URL is an empty one, and the score of the empty URL is 0. Rows with equal
+URLs have equal verdicts. While one class has no URL in
 the fold the threshold is 0. Extra columns are ignored.
 """
 
@@ -179,7 +181,7 @@ def _scored(rows: pa.Table, table: pa.Table) -> pa.Table:
     table = table.sort_by("key")
     keys = table["key"].to_numpy()
     all_, fold = (np.stack([table[name].to_numpy() for name in names]).astype(float).reshape(2, -1) for names in (COUNTS[:2], COUNTS[2:]))
-    texts = rows["text"].combine_chunks()
+    texts = pc.fill_null(rows["url"], "").combine_chunks()
     score, before = scores(texts, keys, all_), np.full(len(rows), np.nan)
     held = np.flatnonzero(rows["held"].to_numpy())
     before[held] = scores(texts.take(pa.array(held)), keys, all_ - fold)
@@ -221,15 +223,15 @@ def judge(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")
     size = pages.agg(F.sum(F.octet_length("url"))).head()[0] or 0
     parts = max(PARTS * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
-    parsed = _parsed(pages).withColumn("text", F.concat("host", "path"))
+    parsed = _parsed(pages).withColumn("text", F.coalesce("url", F.lit("")))
     in_fold = F.crc32(F.col("text").cast("binary")) % 5 == 0
     rows = parsed.select(
-        F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int").alias("part"), "page_id", "url", "text",
+        F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int").alias("part"), "page_id", "url",
         (F.col("ruled").isNotNull() & in_fold).alias("held"),
     )
     known = parsed.where(F.col("ruled").isNotNull())
     counts = count(known.select("text", (F.col("ruled.verdict") == "allow").alias("accepted"), in_fold.alias("held")))
-    needed = rows.select("part", "text").mapInArrow(_needed, "part int, key long").distinct()
+    needed = rows.select("part", F.coalesce("url", F.lit("")).alias("text")).mapInArrow(_needed, "part int, key long").distinct()
     # Sorted and merged at any size, so that what small inputs cost tells what large ones do.
     own = needed.join(counts.hint("merge"), "key").select("part", "key", *COUNTS)
     scored = rows.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(

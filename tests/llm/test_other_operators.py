@@ -110,11 +110,28 @@ def test_url_models_count_every_gram_of_its_own(spark):
     assert len(rows) == pages.count()
     classes = {"allow": [], "block": []}
     for k in range(len(ruled)):
-        classes[rows[k]["verdict"]].append(rows[k]["host"] + rows[k]["path"])
+        classes[rows[k]["verdict"]].append(ruled[k])
     assert min(map(len, classes.values())) > 1000
     rejected, accepted = _gram_counts(classes["block"]), _gram_counts(classes["allow"])
     for k in [*range(0, 4500, 500), *range(4500, len(rows))]:
-        assert math.isclose(rows[k]["score"], _score(rows[k]["host"] + rows[k]["path"], rejected, accepted), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(rows[k]["score"], _score([*ruled, *free][k], rejected, accepted), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_url_models_read_the_whole_url(spark):
+    draw = random.Random(9)
+    free = ["http://x.com/a?q=casino-win", "http://x.com/a?q=garden-tea", "http://x.com/a#free-bets", "http://x.com/a#garden",
+            "x.com/casino-win", "x.com/garden-tea", "", None]
+    ruled = [
+        f"http://{draw.choice('abc')}.{host}/en/{k}{draw.choice('?#')}{draw.choice(words)}"
+        for k in range(300)
+        for host, words in (("net", ["q=casino-win", "free-bets"]), ("example.net", ["q=garden-tea", "garden"]))
+    ]
+    pages = spark.createDataFrame(list(enumerate([*ruled, *free])), "page_id long, url string")
+    rows = {row["page_id"]: row for row in url_filter.judge(pages).collect()}
+    found = {url: rows[len(ruled) + k] for k, url in enumerate(free)}
+    assert [found[url]["verdict"] for url in free[:6]] == ["block", "allow"] * 3
+    assert found[""]["score"] == found[None]["score"] == 0 and found[""]["verdict"] == found[None]["verdict"]
+    assert all(row["rule"] is None for row in found.values())
 
 
 def test_vectors_against_brute_force(spark):
