@@ -2,13 +2,14 @@
 
 The patterns' matches always stay. The field tags words as begin, inside or outside of a
 secret by their shape, the words beside them and features of the whole text, and its best
-path by Viterbi adds spans that no pattern match overlaps. It is trained on a bounded
-sample of documents, whose words are labelled by the patterns' matches; it sees shapes and
-neighbours, not the patterns, and so goes beyond them.
+path by Viterbi adds spans that no pattern match overlaps. It is trained on windows from all
+over a bounded sample of documents, whose words are labelled by the patterns' matches; it
+sees shapes and neighbours, not the patterns, and so goes beyond them.
 
-A word is live if it has a digit, or a character of names and values (see LIVE), or is
-long. Words that are neither live nor before a live word are outside by a fixed rule, so
-chains end there, and only short chains are decoded, whatever the length of the text.
+A chain holds all words of a text. A word whose own scores are so clear that no neighbour's
+label can take it from the outside is outside on the best path, so paths are only sought
+between such words; the result is that of the whole chain. A word is live if it has a digit,
+or a character of names and values (see LIVE), or is long; their share is a feature.
 
 Defined results: a null or empty text has no span. Positions count code points. Rows with
 equal texts have equal spans. If the sample has no match, the field adds nothing. Extra
@@ -18,6 +19,7 @@ columns are ignored; ``redacted`` keeps them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -46,6 +48,8 @@ LONG = 24
 #: Bounds of the training sample: documents by the hash of their id, and words of one.
 TRAIN_DOCUMENTS = 4000
 TRAIN_WORDS = 200
+#: Words of a window; a longer text gives windows, half of them with labels if there are.
+TRAIN_WINDOW = 25
 #: What a span becomes in redacted texts.
 MARK = "[SECRET]"
 
@@ -119,48 +123,130 @@ def _shape(word: str) -> list[float]:
 SHAPES, NAMED = len(_shape("")), 16
 
 
+class Features:
+    """Features of words, as rows of a table of shapes: its own, those of the words before
+    and after, and whether the one before these names a secret; then those of the whole
+    text. Row 0 of the table has no shape. As a matrix it is multiplied from both sides."""
+
+    def __init__(self, shapes: np.ndarray, places: list[np.ndarray], whole: np.ndarray):
+        self.tables = [shapes, shapes, shapes, shapes[:, NAMED : NAMED + 1]]
+        self.places, self.whole = places, whole
+        self.cuts = np.cumsum([table.shape[1] for table in self.tables])
+        self.shape = len(whole), int(self.cuts[-1]) + whole.shape[1]
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        *parts, last = np.split(weights, self.cuts)
+        out = self.whole @ last
+        for table, place, part in zip(self.tables, self.places, parts):
+            out += (table @ part)[place]
+        return out
+
+    @property
+    def T(self) -> "_Turned":
+        return _Turned(self)
+
+
+class _Turned:
+    def __init__(self, features: Features):
+        self.features = features
+
+    def __matmul__(self, values: np.ndarray) -> np.ndarray:
+        own = self.features
+        out = []
+        for table, place in zip(own.tables, own.places):
+            sums = [np.bincount(place, column, len(table)) for column in values.T]
+            out.append(table.T @ np.stack(sums, axis=1))
+        return np.vstack([*out, own.whole.T @ values])
+
+
 class Chains:
-    """The chains of one slice of texts: its live words and those before them."""
+    """The chains of one slice of texts: all words of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, texts: list[str]):
         starts, ends, rows = textbatch.words(data, offsets)
         sums = np.append(0, np.cumsum(_LIVE_BYTE[data], dtype=np.int64))
         live = (sums[ends] > sums[starts]) | (ends - starts >= LONG)
-        element = live.copy()
-        element[:-1] |= live[1:] & (rows[1:] == rows[:-1])
-        at = np.flatnonzero(element)
         chars = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
-        first = chars[offsets[rows[at]]]
-        self.rows, self.at = rows[at], at
-        self.starts, self.ends = chars[starts[at]] - first, chars[ends[at]] - first
-        follows = np.zeros(len(at), bool)
-        follows[1:] = (np.diff(at) == 1) & (np.diff(self.rows) == 0)
-        self.lengths = np.diff(np.append(np.flatnonzero(~follows), len(at)))
-        self.words = [texts[r][a:b] for r, a, b in zip(self.rows.tolist(), self.starts.tolist(), self.ends.tolist())]
-        n_words = np.bincount(rows, minlength=len(texts))
+        first = chars[offsets[rows]]
+        self.texts, self.rows = texts, rows
+        self.starts, self.ends = chars[starts] - first, chars[ends] - first
+        self.lengths = np.bincount(rows, minlength=len(texts))
         n_live = np.bincount(rows[live], minlength=len(texts))
-        self.features = self._features(follows, n_live / np.maximum(n_words, 1))
-
-    def _features(self, follows: np.ndarray, density: np.ndarray) -> np.ndarray:
-        own = np.array([_shape(word) for word in self.words], float).reshape(len(self.words), SHAPES)
-        before, after, earlier = np.zeros_like(own), np.zeros_like(own), np.zeros((len(own), 1))
-        before[1:][follows[1:]] = own[:-1][follows[1:]]
-        after[:-1][follows[1:]] = own[1:][follows[1:]]
-        both = follows[2:] & follows[1:-1]
-        earlier[2:][both] = own[:-2][both][:, NAMED : NAMED + 1]
-        named = np.zeros(len(density))
-        np.maximum.at(named, self.rows, own[:, NAMED])
-        whole = np.stack([np.ones(len(own)), density[self.rows], named[self.rows]], axis=1)
-        return np.hstack([own, before, after, earlier, whole])
+        self.density = n_live / np.maximum(self.lengths, 1)
+        self.lengths = self.lengths[self.lengths > 0]
+        # Each distinct word's shape is found once.
+        hashes = textbatch.hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
+        _, some, place = np.unique(hashes, return_index=True, return_inverse=True)
+        shapes = np.zeros((len(some) + 1, SHAPES))
+        for k, at in enumerate(some.tolist()):
+            shapes[k + 1] = _shape(self.word(at))
+        own = place + 1
+        before, after, earlier = (np.zeros(len(own), np.int64) for _ in range(3))
+        same, both = rows[1:] == rows[:-1], rows[2:] == rows[:-2]
+        before[1:][same], after[:-1][same], earlier[2:][both] = own[:-1][same], own[1:][same], own[:-2][both]
+        self.named = np.zeros(len(texts))
+        np.maximum.at(self.named, rows, shapes[own, NAMED])
+        whole = np.stack([np.ones(len(own)), self.density[rows], self.named[rows]], axis=1)
+        self.shapes = shapes
+        self.features = Features(shapes, [own, before, after, earlier], whole)
+
+    def word(self, at: int) -> str:
+        return self.texts[self.rows[at]][self.starts[at] : self.ends[at]]
 
 
 def _labels(chains: Chains, spans: dict[int, list[tuple[str, int, int]]]) -> np.ndarray:
     """Begin for the first word that a row's base span touches, inside for its others."""
-    labels = np.zeros(len(chains.at), np.int64)
-    for k, (row, start, end) in enumerate(zip(chains.rows.tolist(), chains.starts.tolist(), chains.ends.tolist())):
-        for _, low, high in spans.get(row, ()):
-            if start < high and low < end:
-                labels[k] = max(labels[k], INSIDE if low < start else BEGIN)
+    labels = np.zeros(len(chains.rows), np.int64)
+    for row, found in spans.items():
+        low, high = np.searchsorted(chains.rows, [row, row + 1])
+        starts, ends = chains.starts[low:high], chains.ends[low:high]
+        for _, start, end in found:
+            a, b = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
+            own = np.where(starts[a:b] > start, INSIDE, BEGIN)
+            labels[low + a : low + b] = np.maximum(labels[low + a : low + b], own)
+    return labels
+
+
+def _windows(labels: np.ndarray) -> list[tuple[int, int]]:
+    """The parts of a text that train: all of a short one, else windows from all over it,
+    up to half of them from those with labels."""
+    n = len(labels)
+    if n <= TRAIN_WORDS:
+        return [(0, n)]
+    starts = np.arange(0, n, TRAIN_WINDOW)
+    marked = np.add.reduceat(labels > 0, starts) > 0
+    most = TRAIN_WORDS // TRAIN_WINDOW
+
+    def spread(some: np.ndarray, k: int) -> np.ndarray:
+        return some[(np.arange(min(k, len(some))) * len(some)) // max(min(k, len(some)), 1)]
+
+    chosen = spread(starts[marked], most // 2)
+    chosen = np.sort(np.append(chosen, spread(starts[~marked], most - len(chosen))))
+    return [(int(low), int(min(low + TRAIN_WINDOW, n))) for low in chosen]
+
+
+def viterbi(field: crf.Chain, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """crf.viterbi, sought only where a word can be other than outside."""
+    labels = np.zeros(len(scores), np.int8)
+    moves = field.moves
+    # The most that labels beside a word can add to another label of it over outside.
+    into = np.maximum((moves - moves[:, :1]).max(0), field.first - field.first[0])
+    out = np.maximum((moves - moves[:1]).max(1), 0)
+    gain = scores + into + out - scores[:, :1]
+    open_ = gain[:, 1:].max(1) >= -1e-6
+    begins = np.zeros(len(scores), bool)
+    begins[np.cumsum(lengths) - lengths] = True
+    # Those beside an open word, in its chain, bound its path.
+    kept = open_.copy()
+    kept[1:] |= open_[:-1] & ~begins[1:]
+    kept[:-1] |= open_[1:] & ~begins[1:]
+    at = np.flatnonzero(kept)
+    if not len(at):
+        return labels
+    own = scores[at].copy()
+    own[~open_[at], 1:] = -1e30
+    cuts = np.flatnonzero(np.append(True, np.diff(at) > 1) | begins[at])
+    labels[at] = crf.viterbi(field, own, np.diff(np.append(cuts, len(at))))
     return labels
 
 
@@ -175,30 +261,40 @@ def train(docs: DataFrame) -> crf.Chain | None:
             ids = table.column("id").to_pylist()
             for low, high, texts, chains, spans in _sliced(table.column("text")):
                 labels = _labels(chains, spans)
-                chain = np.repeat(np.arange(len(chains.lengths)), chains.lengths)
-                nth = np.arange(len(labels)) - np.searchsorted(chains.rows, chains.rows)
-                kept = nth < TRAIN_WORDS
+                shapes, own = chains.shapes.astype(np.float32), chains.features.places[0]
+                found = []
+                for row, (first, last) in enumerate(itertools.pairwise(np.searchsorted(chains.rows, np.arange(high - low + 1)).tolist())):
+                    for begin, end in _windows(labels[first:last]) if first < last else ():
+                        before, after = min(begin, 2), min(last - first - end, 1)
+                        words = own[first + begin - before : first + end + after]
+                        found.append((
+                            ids[low + row], begin, before, chains.density[row], chains.named[row],
+                            labels[first + begin : first + end].astype(np.int8).tobytes(), shapes[words].tobytes(),
+                        ))
+                columns = list(zip(*found)) if found else [()] * 7
+                kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[low + row] for row in chains.rows[kept].tolist()], pa.int64()),
-                        pa.array(nth[kept]),
-                        pa.array(chain[kept]),
-                        pa.array(labels[kept]),
-                        pa.array(chains.features[kept].astype(np.float32).tolist(), pa.list_(pa.float32())),
-                    ],
-                    names=["id", "nth", "chain", "label", "features"],
+                    list(map(pa.array, columns, kinds)),
+                    names=["id", "nth", "before", "density", "named", "labels", "shapes"],
                 )
 
     got = chosen.select("id", "text").mapInArrow(
-        labelled, "id long, nth long, chain long, label long, features array<float>"
-    ).toPandas().sort_values(["id", "nth"], kind="stable")
-    labels = got["label"].to_numpy()
+        labelled, "id long, nth long, before long, density double, named double, labels binary, shapes binary"
+    ).toPandas().sort_values(["id", "nth", "shapes"], kind="stable")
+    labels = np.frombuffer(b"".join(got["labels"]), np.int8).astype(np.int64)
     if not labels.any():
         return None
-    keys = got[["id", "chain"]].to_numpy()
-    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-    features = np.stack(got["features"].to_numpy()).astype(float)
-    return crf.train(features, labels, np.diff(np.append(starts, len(got))), 3)
+    shapes = np.frombuffer(b"".join(got["shapes"]), np.float32).reshape(-1, SHAPES).astype(float)
+    shapes = np.vstack([np.zeros((1, SHAPES)), shapes])
+    lengths = got["labels"].map(len).to_numpy()
+    sizes = got["shapes"].map(len).to_numpy() // (4 * SHAPES)
+    window = np.repeat(np.arange(len(got)), lengths)
+    begin = (1 + np.cumsum(sizes) - sizes)[window]
+    end = begin + sizes[window]
+    own = begin + got["before"].to_numpy()[window] + np.arange(len(labels)) - (np.cumsum(lengths) - lengths)[window]
+    places = [own, np.where(own > begin, own - 1, 0), np.where(own + 1 < end, own + 1, 0), np.where(own - 1 > begin, own - 2, 0)]
+    whole = np.stack([np.ones(len(labels)), got["density"].to_numpy()[window], got["named"].to_numpy()[window]], axis=1)
+    return crf.train(Features(shapes, places, whole), labels, lengths, 3)
 
 
 def _sliced(texts: pa.Array):
@@ -212,9 +308,9 @@ def _sliced(texts: pa.Array):
 def _added(chains: Chains, spans: dict, field: crf.Chain | None) -> dict[int, list[tuple[str, int, int]]]:
     """The field's spans by row, without those that a base span overlaps."""
     added: dict[int, list[tuple[str, int, int]]] = {}
-    if field is None or not len(chains.at):
+    if field is None or not len(chains.rows):
         return added
-    labels = crf.viterbi(field, field.scores(chains.features), chains.lengths)
+    labels = viterbi(field, field.scores(chains.features), chains.lengths)
     opens = np.zeros(len(labels), bool)
     opens[np.append(0, np.cumsum(chains.lengths)[:-1])] = True
     inside = labels != OUTSIDE
@@ -225,7 +321,7 @@ def _added(chains: Chains, spans: dict, field: crf.Chain | None) -> dict[int, li
     firsts = np.flatnonzero(begins[at])
     for low, high in zip(at[firsts].tolist(), at[np.append(firsts[1:], len(at)) - 1].tolist()):
         row = int(chains.rows[low])
-        word, last = chains.words[low], chains.words[high]
+        word, last = chains.word(low), chains.word(high)
         start = int(chains.starts[low]) + len(word) - len(word.lstrip(_TRIM))
         end = int(chains.ends[high]) - len(last) + len(last.rstrip(_TRIM))
         if start < end and not any(start < b and a < end for _, a, b in spans.get(row, ())):

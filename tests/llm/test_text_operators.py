@@ -197,6 +197,35 @@ def test_field_finds_shapes_beyond_the_patterns():
     assert none == []
 
 
+def test_field_tags_alphabetic_values_behind_names(spark):
+    draw = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    fill = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(200)]
+    texts = []
+    for k in range(400):
+        words = [draw.choice(fill) for _ in range(30 if k % 9 else 300)]
+        if k % 2:
+            value = "".join(draw.choice(letters + letters.upper()) for _ in range(16))
+            words[draw.randint(2, 27)] = draw.choice(["secret: {}", "passwd = {}", "token={}"]).format(value)
+        texts.append(" ".join(words))
+    field = secrets.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    value = "AbcdEfghIjklMnop"
+    odd = [f"{fill[0]} {fill[1]} secret:\t{value} {fill[2]}", f"{fill[3]} passwd =\n{value} {fill[4]}", " ".join(fill)]
+    found = [every for _, every in secrets.spans_of(pa.array(odd), field)]
+    for text, every in zip(odd[:2], found):
+        assert _base(text) == [] and any(value in text[a:b] for _, a, b in every)
+    assert found[2] == []
+
+
+def test_paths_between_clear_words_are_those_of_the_chain():
+    draw = np.random.default_rng(3)
+    for turn in range(60):
+        lengths = draw.integers(1, 40, 12)
+        field = secrets.crf.Chain(np.zeros((1, 3)), draw.normal(0, 2, (3, 3)), draw.normal(0, 2, 3))
+        scores = draw.normal(0, 4, (lengths.sum(), 3)) + [turn / 4, 0, 0]
+        assert (secrets.viterbi(field, scores, lengths) == secrets.crf.viterbi(field, scores, lengths)).all()
+
+
 def _components(texts: list[str | None], percent: int) -> dict[int, int]:
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = [set(_runs((text or "").translate(lower))) for text in texts]
