@@ -29,7 +29,7 @@ def test_query(spark, name):
     if name in ORACLE:
         duckdb = pytest.importorskip("duckdb")
         con = duckdb.connect()
-        for table in ("documents", "pages", "embeddings", "labels"):
+        for table in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         wanted = con.execute(ORACLE[name]).df()
         assert rows_of(frame) == rows_of(wanted[frame.columns])
