@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
+from stackquarry.llm import bpe, decontaminate, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_fingerprints": op2_fingerprints,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mix": op10_mix,
+    "op11_decontaminate": op11_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
@@ -109,5 +114,39 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, target,
        (size * (copies + CASE WHEN wanted > 0 AND through - size / 2.0 <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered
+""",
+    "op11_decontaminate": """
+WITH texts AS (
+    SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS run
+    FROM (SELECT *, least(10, len(words)) AS n FROM items WHERE len(words) > 0)
+), runs AS (
+    SELECT nth, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS run,
+           unnest(range(1, len(words) - n + 2)) AS low
+    FROM texts, (SELECT DISTINCT n FROM windows)
+    WHERE len(words) >= n
+), met AS (
+    SELECT nth, low, n, item_id FROM runs JOIN windows USING (n, run)
+), hits AS (
+    SELECT nth, count(DISTINCT place) AS n_hit
+    FROM (SELECT nth, unnest(range(low, low + n)) AS place FROM (SELECT DISTINCT nth, low, n FROM met))
+    GROUP BY nth
+), named AS (
+    SELECT nth, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT nth, item_id::VARCHAR AS item FROM met WHERE item_id IS NOT NULL)
+    GROUP BY nth
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (nth) LEFT JOIN named USING (nth)
 """,
 }
