@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe, decontaminate, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
+from stackquarry.llm import bpe, decontaminate, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, repair, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_fingerprints": op2_fingerprints,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mix": op10_mix,
     "op11_decontaminate": op11_decontaminate,
+    "op12_repair": op12_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -148,5 +153,83 @@ WITH texts AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hits USING (nth) LEFT JOIN named USING (nth)
+""",
+    "op12_repair": """
+WITH RECURSIVE keyed AS (
+    SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda r, step: xor(r >> 1, 3988292384 * (r & 1))))) % 20 AS kind
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+           unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM kinds
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
+           left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+    FROM damaged
+), turns AS (
+    SELECT *, CASE WHEN ending = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'duplicate'
+                   WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY nth) AS before
+    FROM placed
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+           count(*) AS n
+    FROM turns GROUP BY conv_id
+), inserts(state, rise, edits, onto) AS (
+    VALUES (0, 0, '', 0), (1, 0, '', 1), (2, 0, '', 2), (3, 0, '', 3), (0, 2, 'I', 2), (1, 2, 'I', 2), (2, 2, 'I', 3),
+           (3, 2, 'I', 2), (0, 4, 'II', 3), (1, 4, 'II', 3)
+), edits(state, initial, rise, edit, onto) AS (
+    VALUES (0, 's', 0, 'K', 1), (0, 'u', 0, 'K', 2), (1, 'u', 0, 'K', 2), (2, 'a', 0, 'K', 3), (3, 'u', 0, 'K', 2),
+           (0, '', 3, 'D', 0), (1, '', 3, 'D', 1), (2, '', 3, 'D', 2), (3, '', 3, 'D', 3),
+           (0, '', 2, 'R', 2), (1, '', 2, 'R', 2), (2, '', 2, 'R', 3), (3, '', 2, 'R', 2)
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS nth, 0 AS state, '000000' AS best FROM counts
+    UNION ALL
+    SELECT w.conv_id, t.nth, e.onto,
+           min(printf('%06d', left(w.best, 6)::INT + i.rise + e.rise + (t.fault = 'truncated' AND e.edit <> 'D')::INT)
+               || substr(w.best, 7) || i.edits || e.edit)
+    FROM walk w
+    JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.nth = w.nth + 1
+    JOIN inserts i ON i.state = w.state
+    JOIN edits e ON e.state = i.onto AND (e.edit = 'D' OR t.fault IN ('', 'truncated') AND (e.edit = 'R' OR e.initial = t.initial))
+    GROUP BY w.conv_id, t.nth, e.onto
+), paths AS (
+    SELECT w.conv_id, min(printf('%06d', left(best, 6)::INT + x.rise) || substr(best, 7) || x.edits) AS best
+    FROM walk w
+    JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.nth
+    JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) x(state, rise, edits) ON x.state = w.state
+    GROUP BY w.conv_id
+), steps AS (
+    SELECT conv_id, unnest(string_split(substr(best, 7), '')) AS edit, unnest(range(1, len(best) - 5)) AS step FROM paths
+    WHERE len(best) > 6
+), met AS (
+    SELECT s.conv_id, s.step, s.edit, t.role, t.text, t.initial
+    FROM (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY step) AS nth FROM steps) s
+    LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.nth = s.nth AND s.edit <> 'I'
+    WHERE s.edit <> 'D'
+), lines AS (
+    SELECT conv_id, step, CASE WHEN edit = 'K' THEN role
+                               WHEN (row_number() OVER w - (first_value(edit = 'K' AND initial = 's') OVER w)::INT) % 2 = 1 THEN 'user'
+                               ELSE 'assistant' END || ':' || coalesce(text, '') AS line
+    FROM met WINDOW w AS (PARTITION BY conv_id ORDER BY step)
+), repaired AS (
+    SELECT conv_id, string_agg(line, chr(10) ORDER BY step) AS whole FROM lines GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal,
+       coalesce(left(p.best, 6)::BIGINT, 0) AS cost, coalesce(substr(p.best, 7), '') AS audit, sha256(coalesce(r.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN paths p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }
