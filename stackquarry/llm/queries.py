@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stackquarry.llm import bpe, decontaminate, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, quality, repair, secrets, suffix_dedup, url_filter
+from stackquarry.llm import bpe, decontaminate, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, prefix_trie, quality, repair, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_fingerprints": op2_fingerprints,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_decontaminate": op11_decontaminate,
     "op12_repair": op12_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -231,5 +236,47 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN paths p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+""",
+    "op13_prefix_trie": """
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                         ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), shares AS (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda r, step: xor(r >> 1, 3988292384 * (r & 1))))) % 4 AS share
+    FROM own
+), rebuilt AS (
+    SELECT s.conv_id, list_concat(coalesce(h.turns, [])[1:s.share], s.turns[s.share + 1:]) AS turns
+    FROM shares s LEFT JOIN own h ON h.conv_id = s.conv_id - s.conv_id % 20
+), named AS (
+    SELECT *, list_transform(turns, lambda t: md5(length(t.role) || ':' || t.role || t.text)) AS names FROM rebuilt
+), prefixes AS (
+    SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth,
+           unnest(list_transform(range(0, len(turns) + 1), lambda d: array_to_string(names[1:d], ','))) AS prefix,
+           unnest(list_transform(range(0, len(turns) + 1), lambda d: array_to_string(names[1:greatest(d - 1, 0)], ','))) AS parent,
+           unnest(list_transform(range(0, len(turns) + 1), lambda d: CASE WHEN d = 0 THEN 0 ELSE
+               len(regexp_extract_all(turns[d].text, '[^\\x20\\x09-\\x0D]+')) END)) AS words,
+           len(turns) AS length
+    FROM named
+), nodes AS (
+    SELECT depth, prefix, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n,
+           string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth) AS ends
+    FROM prefixes GROUP BY depth, prefix
+), children AS (
+    SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), valued AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+), subtrees AS (
+    SELECT p.depth, p.prefix, sum((v.n_children = 0)::BIGINT) AS n_leaves, sum((v.n - 1) * v.words) AS saved_tokens
+    FROM valued v JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth
+    GROUP BY p.depth, p.prefix
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v
+JOIN subtrees s ON s.depth = v.depth AND s.prefix = v.prefix
+LEFT JOIN nodes u ON u.depth = v.depth - 1 AND u.prefix = v.parent
 """,
 }
