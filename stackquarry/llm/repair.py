@@ -3,10 +3,9 @@
 A conversation is sound if its roles read an optional system turn and then user and
 assistant in turns, or if it has no turn. Edits keep, re-role, delete or insert a turn; the
 cheapest ones are sought depth first, in the ASCII order of their initials, under a cost
-bound that rises from a lower bound of the cost: what the faults of the turns left cost at
-least. A table of failed states (turn, role state, inserts just made, with the largest budget
-that failed) holds over all bounds. The first path that ends in order is the cheapest one
-whose initials come first.
+bound that rises from a lower bound of the cost (see ``at_least``). A table of failed states
+(turn, role state, inserts just made, with the largest budget that failed) holds over all
+bounds. The first path that ends in order is the cheapest one whose initials come first.
 
 Rows are range-sorted, so a conversation of any length is spread over tasks in order. One
 that lies within a task and has up to SEGMENT turns is repaired there. Others are cut into
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from stackquarry.llm.shared import shared_table
 
 #: Turns, and characters of text, of a segment at most; a longer text by itself.
-SEGMENT = 128
+SEGMENT = 64
 SEGMENT_CHARS = 4 << 20
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -88,6 +87,28 @@ def fault(role: str, text: str, seen: bool) -> str | None:
     return "duplicate" if seen else None if core[-1] in ".!?" else "truncated"
 
 
+def at_least(turns: list[tuple[str, str | None]]) -> list[int]:
+    """A lower bound of the cost of the turns from each on. Faults cost what they must; and
+    of turns that follow each other, once the bad ones are gone, each pair whose roles can't
+    takes an insert between them or an edit of one of them, 2 above its fault at least. Only
+    pairs without a turn in common are counted."""
+    faults, pairs = [0] * (len(turns) + 1), [0] * (len(turns) + 1)
+    after, beyond = None, 0  # the next turn that may stay, and the pairs behind that one
+    for k in range(len(turns) - 1, -1, -1):
+        initial, name = turns[k]
+        pairs[k] = pairs[k + 1]
+        if name not in (None, "truncated"):
+            faults[k] = faults[k + 1] + 3
+            continue
+        faults[k] = faults[k + 1] + (name is not None)
+        if initial not in ("s", "u", "a"):
+            pairs[k] += 1
+        elif after is not None and initial + after not in LEGAL:
+            pairs[k] = max(pairs[k], 1 + beyond)
+        after, beyond = initial, pairs[k + 1]
+    return [fault + 2 * pair for fault, pair in zip(faults, pairs)]
+
+
 def search(
     turns: list[tuple[str, str | None]], entry: int = START, ends: list[float] = ENDS,
     failed: dict[int, float] | None = None, most: float = math.inf,
@@ -95,10 +116,7 @@ def search(
     """Cost, initials and last role state of the first of the cheapest paths over turns
     (initial, fault), from a role state; ``ends`` is what ending in each state costs."""
     n, failed = len(turns), {} if failed is None else failed
-    least = [min(ends)] * (n + 1)
-    for k in range(n - 1, -1, -1):
-        name = turns[k][1]
-        least[k] = least[k + 1] + (0 if name is None else 1 if name == "truncated" else 3)
+    least = [cost + min(ends) for cost in at_least(turns)]
     path: list[str] = []
     last = entry
 
@@ -144,14 +162,17 @@ def search(
 def costs(turns: list[tuple[str, str | None]]) -> list[list[float]]:
     """The cheapest cost from each role state to each, inf where there is no path."""
     n = len(turns)
-    opens = any(initial == "s" and name in (None, "truncated") for initial, name in turns)
     out = [[math.inf] * 4 for _ in range(4)]
-    for to in range(4):
+    # To still have nothing, or only the system turn, every other turn is deleted.
+    out[START][START] = out[SYSTEM][SYSTEM] = 3 * n
+    opening = [name is not None for initial, name in turns if initial == "s" and name in (None, "truncated")]
+    if opening:
+        out[START][SYSTEM] = 3 * (n - 1) + min(opening)
+    for to in (USER, ASSISTANT):
         ends = [0.0 if state == to else math.inf for state in range(4)]
         failed: dict[int, float] = {}
         for entry in range(4):
-            if to >= USER or to == entry or (to == SYSTEM and entry == START and opens):
-                out[entry][to] = search(turns, entry, ends, failed, 3 * n + 4)[0]
+            out[entry][to] = search(turns, entry, ends, failed, 3 * n + 4)[0]
     return out
 
 
