@@ -2,16 +2,17 @@
 
 The patterns' matches always stay. The field tags words as begin, inside or outside of a
 secret by their shape, the words beside them and features of the whole text, and its best
-path by Viterbi adds spans that no pattern match overlaps. It is trained on windows from all
-over a bounded sample of documents, whose words are labelled by the patterns' matches; it
-sees shapes and neighbours, not the patterns, and so goes beyond them.
+path by Viterbi adds spans that no pattern match overlaps. It is trained on the whole texts of
+a bounded sample of documents (of very long ones, on windows from all over them), whose words
+are labelled by the patterns' matches; it sees shapes and neighbours, not the patterns, and so
+goes beyond them.
 
 A chain holds all words of a text. A word whose own scores are so clear that no neighbour's
 label can take it from the outside is outside on the best path, so paths are only sought
 between such words; the result is that of the whole chain. A word is live if it has a digit,
 or a character of names and values (see LIVE), or is long; their share is a feature.
 
-Defined results: a null or empty text has no span. Positions count code points. Rows with
+Defined results: a null or empty text has no span. The field adds none under LEAST_ADDED. Positions count code points. Rows with
 equal texts have equal spans. If the sample has no match, the field adds nothing. Extra
 columns are ignored; ``redacted`` keeps them.
 """
@@ -45,11 +46,20 @@ NAMES = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 #: Characters that make a word live, besides digits; and the length that does.
 LIVE = "=:_+/"
 LONG = 24
-#: Bounds of the training sample: documents by the hash of their id, and words of one.
-TRAIN_DOCUMENTS = 4000
-TRAIN_WORDS = 200
+#: Bounds of the training sample. So many documents, by the hash of their id, are looked at.
+#: All of them with a labelled word train, and so many of the others, which weigh for the rest.
+TRAIN_DOCUMENTS = 2000
+TRAIN_PLAIN = 100
+#: Words of one document that train. Up to so many, a text is one whole chain.
+TRAIN_WORDS = 400
 #: Words of a window; a longer text gives windows, half of them with labels if there are.
-TRAIN_WINDOW = 25
+TRAIN_WINDOW = 50
+#: Weight of the penalty on squared weights (labelled words are rare), and the share of its
+#: loss that ten rounds of training must take off.
+TRAIN_PENALTY = 1e-7
+TRAIN_GAIN = 0.01
+#: Code points of a span that the field may add, at least.
+LEAST_ADDED = 8
 #: What a span becomes in redacted texts.
 MARK = "[SECRET]"
 
@@ -136,7 +146,7 @@ class Features:
 
     def __matmul__(self, weights: np.ndarray) -> np.ndarray:
         *parts, last = np.split(weights, self.cuts)
-        out = self.whole @ last
+        out = np.einsum("nk,kl->nl", self.whole, last)
         for table, place, part in zip(self.tables, self.places, parts):
             out += (table @ part)[place]
         return out
@@ -156,7 +166,7 @@ class _Turned:
         for table, place in zip(own.tables, own.places):
             sums = [np.bincount(place, column, len(table)) for column in values.T]
             out.append(table.T @ np.stack(sums, axis=1))
-        return np.vstack([*out, own.whole.T @ values])
+        return np.vstack([*out, np.einsum("nk,nl->kl", own.whole, values)])
 
 
 class Chains:
@@ -253,48 +263,66 @@ def viterbi(field: crf.Chain, scores: np.ndarray, lengths: np.ndarray) -> np.nda
 def train(docs: DataFrame) -> crf.Chain | None:
     """The field, from a bounded sample of documents; None if no word of it is labelled."""
     ids = docs.select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(ids), "id")
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS).toPandas()["id"]
+    # At most TRAIN_DOCUMENTS ids; the first are those that also train without a label.
+    looked = docs.sparkSession.createDataFrame([(int(i), k < TRAIN_PLAIN) for k, i in enumerate(ids)], "id long, plain boolean")
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(looked), "id")
 
     def labelled(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            ids = table.column("id").to_pylist()
+            ids, plain = table.column("id").to_pylist(), table.column("plain").to_pylist()
             for low, high, texts, chains, spans in _sliced(table.column("text")):
                 labels = _labels(chains, spans)
                 shapes, own = chains.shapes.astype(np.float32), chains.features.places[0]
                 found = []
                 for row, (first, last) in enumerate(itertools.pairwise(np.searchsorted(chains.rows, np.arange(high - low + 1)).tolist())):
-                    for begin, end in _windows(labels[first:last]) if first < last else ():
+                    marked = bool(labels[first:last].any())
+                    for begin, end in _windows(labels[first:last]) if marked or plain[low + row] and first < last else ():
                         before, after = min(begin, 2), min(last - first - end, 1)
-                        words = own[first + begin - before : first + end + after]
+                        words, places = np.unique(own[first + begin - before : first + end + after], return_inverse=True)
                         found.append((
-                            ids[low + row], begin, before, chains.density[row], chains.named[row],
+                            ids[low + row], marked, begin, before, chains.density[row], chains.named[row],
                             labels[first + begin : first + end].astype(np.int8).tobytes(), shapes[words].tobytes(),
+                            places.astype(np.int32).tobytes(),
                         ))
-                columns = list(zip(*found)) if found else [()] * 7
-                kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()] * 2
+                columns = list(zip(*found)) if found else [()] * 9
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64()] + [pa.float64()] * 2 + [pa.binary()] * 3
                 yield pa.RecordBatch.from_arrays(
                     list(map(pa.array, columns, kinds)),
-                    names=["id", "nth", "before", "density", "named", "labels", "shapes"],
+                    names=["id", "marked", "nth", "before", "density", "named", "labels", "shapes", "places"],
                 )
 
-    got = chosen.select("id", "text").mapInArrow(
-        labelled, "id long, nth long, before long, density double, named double, labels binary, shapes binary"
-    ).toPandas().sort_values(["id", "nth", "shapes"], kind="stable")
+    got = chosen.select("id", "plain", "text").mapInArrow(
+        labelled, "id long, marked boolean, nth long, before long, density double, named double, labels binary, shapes binary, places binary"
+    ).toPandas().sort_values(["id", "nth", "shapes", "places"], kind="stable")
     labels = np.frombuffer(b"".join(got["labels"]), np.int8).astype(np.int64)
     if not labels.any():
         return None
-    shapes = np.frombuffer(b"".join(got["shapes"]), np.float32).reshape(-1, SHAPES).astype(float)
-    shapes = np.vstack([np.zeros((1, SHAPES)), shapes])
+    # One table of the distinct shapes of all windows, and one without any.
+    shapes = np.frombuffer(b"".join(got["shapes"]), np.float32).reshape(-1, SHAPES)
+    shapes, distinct = np.unique(np.vstack([np.zeros((1, SHAPES), np.float32), shapes]), axis=0, return_inverse=True)
+    none, distinct = distinct[0], distinct[1:]
+    parts = got["shapes"].map(len).to_numpy() // (4 * SHAPES)
+    sizes = got["places"].map(len).to_numpy() // 4
+    words = distinct[np.frombuffer(b"".join(got["places"]), np.int32) + np.repeat(np.cumsum(parts) - parts, sizes)]
     lengths = got["labels"].map(len).to_numpy()
-    sizes = got["shapes"].map(len).to_numpy() // (4 * SHAPES)
     window = np.repeat(np.arange(len(got)), lengths)
-    begin = (1 + np.cumsum(sizes) - sizes)[window]
+    begin = (np.cumsum(sizes) - sizes)[window]
     end = begin + sizes[window]
     own = begin + got["before"].to_numpy()[window] + np.arange(len(labels)) - (np.cumsum(lengths) - lengths)[window]
-    places = [own, np.where(own > begin, own - 1, 0), np.where(own + 1 < end, own + 1, 0), np.where(own - 1 > begin, own - 2, 0)]
+
+    def beside(at: np.ndarray) -> np.ndarray:
+        inside = (at >= begin) & (at < end)
+        return np.where(inside, words[np.where(inside, at, 0)], none)
+
+    places = [beside(own), beside(own - 1), beside(own + 1), beside(own - 2)]
     whole = np.stack([np.ones(len(labels)), got["density"].to_numpy()[window], got["named"].to_numpy()[window]], axis=1)
-    return crf.train(Features(shapes, places, whole), labels, lengths, 3)
+    marked = got["marked"].to_numpy(bool)
+    others, stand_ins = len(ids) - got["id"][marked].nunique(), got["id"][~marked].nunique()
+    weights = np.where(marked, 1.0, others / max(stand_ins, 1))
+    return crf.train(
+        Features(shapes.astype(float), places, whole), labels, lengths, 3, TRAIN_PENALTY, gain=TRAIN_GAIN, sequence_weights=weights
+    )
 
 
 def _sliced(texts: pa.Array):
@@ -324,7 +352,7 @@ def _added(chains: Chains, spans: dict, field: crf.Chain | None) -> dict[int, li
         word, last = chains.word(low), chains.word(high)
         start = int(chains.starts[low]) + len(word) - len(word.lstrip(_TRIM))
         end = int(chains.ends[high]) - len(last) + len(last.rstrip(_TRIM))
-        if start < end and not any(start < b and a < end for _, a, b in spans.get(row, ())):
+        if end - start >= LEAST_ADDED and not any(start < b and a < end for _, a, b in spans.get(row, ())):
             added.setdefault(row, []).append(("crf", start, end))
     return added
 
