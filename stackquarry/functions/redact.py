@@ -3,6 +3,10 @@
 One running index counts placeholders across the patterns in order, first over
 the question, then over its context. The index, the map and both texts travel in
 one row, so redaction never shuffles.
+
+No pattern reads the number inside a placeholder (digits after a word character start no
+match), so a text that many questions share is redacted once, into the pieces between its
+placeholders; each question then only adds its own count to their numbers.
 """
 
 from __future__ import annotations
@@ -14,6 +18,9 @@ from pyspark.sql import functions as F
 
 from stackquarry.wording import PLACEHOLDER, REDACTIONS
 
+#: Stands before placeholders that redaction has put in; where a text has the character
+#: itself, its double stands for it while redaction runs.
+MARK, KEPT = "\u0001", "\u0001\u0002"
 MAP_TYPE = "ARRAY<STRUCT<idx: INT, tag: STRING, placeholder: STRING, original: STRING>>"
 
 
@@ -73,8 +80,9 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _replacing(tag: str, pattern: str, hint: str | None) -> Callable[[Column], Column]:
-    """One pattern's step on the state. A text without ``hint`` skips the pattern."""
+def _replacing(tag: str, pattern: str, hint: str | None, mark: str = "") -> Callable[[Column], Column]:
+    """One pattern's step on the state. A text without ``hint`` skips the pattern; ``mark``
+    goes before each placeholder in the text."""
 
     def step(state: Column) -> Column:
         found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
@@ -85,7 +93,10 @@ def _replacing(tag: str, pattern: str, hint: str | None) -> Callable[[Column], C
             lambda entries: F.when(
                 F.size(entries) > 0,
                 _state(
-                    _interleave(F.split(state["text"], pattern, -1), entries["placeholder"]),
+                    _interleave(
+                        F.split(state["text"], pattern, -1),
+                        F.transform(entries["placeholder"], lambda p: F.concat(F.lit(mark), p)) if mark else entries["placeholder"],
+                    ),
                     state["seen"] + F.size(entries),
                     F.concat(state["entries"], entries),
                     state["done"],
@@ -96,15 +107,55 @@ def _replacing(tag: str, pattern: str, hint: str | None) -> Callable[[Column], C
     return step
 
 
-def _entry(number: Column, tag: str, original: Column) -> Column:
+def _entry(number: Column, tag: str | Column, original: Column) -> Column:
+    tag = F.lit(tag) if isinstance(tag, str) else tag
     return F.struct(
         number.cast("int").alias("idx"),
-        F.lit(tag).alias("tag"),
-        F.concat(F.lit(f"[[{tag}_"), number.cast("string"), F.lit("]]")).alias("placeholder"),
+        tag.alias("tag"),
+        F.concat(F.lit("[["), tag, F.lit("_"), number.cast("string"), F.lit("]]")).alias("placeholder"),
         original.alias("original"),
     )
 
 
+def text_pieces(text: Column) -> Column:
+    """A text redacted on its own, as a struct: ``pieces`` between its placeholders,
+    ``places`` (the number of the placeholder between each two) and ``found`` (tag and
+    original by number). NULL for NULL."""
+    none = F.from_json(F.lit("[]"), MAP_TYPE)
+    state = _state(F.replace(text, F.lit(MARK), F.lit(KEPT)), F.lit(0), none, F.lit(None).cast("array<string>"))
+    for tag, pattern, hint in REDACTIONS:
+        state = _bind(state, _replacing(tag, pattern, hint, MARK))
+    marked = MARK + PLACEHOLDER
+
+    def parts(s: Column) -> Column:
+        return F.struct(
+            F.transform(F.split(s["text"], marked, -1), lambda p: F.replace(p, F.lit(KEPT), F.lit(MARK))).alias("pieces"),
+            F.transform(
+                F.regexp_extract_all(s["text"], F.lit(marked), F.lit(0)),
+                lambda p: F.regexp_extract(p, r"_(\d+)\]", 1).cast("int"),
+            ).alias("places"),
+            F.transform(s["entries"], lambda e: F.struct(e["tag"], e["original"])).alias("found"),
+        )
+
+    return F.when(text.isNotNull(), _bind(state, parts))
+
+
+def numbered_text(parts: Column, seen: Column) -> Column:
+    """The redacted text of ``text_pieces`` where ``seen`` placeholders come before its own."""
+
+    def placeholder(place: Column) -> Column:
+        return F.concat(F.lit("[["), F.get(parts["found"], place - 1)["tag"], F.lit("_"), (place + seen).cast("string"), F.lit("]]"))
+
+    return F.when(F.size(parts["places"]) == 0, F.get(parts["pieces"], F.lit(0))).otherwise(
+        _interleave(parts["pieces"], F.transform(parts["places"], placeholder))
+    )
+
+
+def numbered_entries(parts: Column, seen: Column) -> Column:
+    """The map entries of ``text_pieces`` where ``seen`` placeholders come before its own."""
+    return F.transform(parts["found"], lambda e, i: _entry(seen + i + 1, e["tag"], e["original"]))
+
+
 def unscrub(text: Column, redactions: Column) -> Column:
     """Put originals back. Entry n of the map has index n, so look-up is by position.
 

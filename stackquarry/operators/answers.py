@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from stackquarry.functions.answers import answer_prompt, clean_response
 from stackquarry.functions.money import NANO_PER_MICRO, cost_nano, estimate_micro, token_estimate, with_prices
 from stackquarry.functions.questions import decoded_query, route_backend, unknown_question
-from stackquarry.functions.redact import scrub, unscrub
+from stackquarry.functions.redact import MAP_TYPE, numbered_entries, numbered_text, scrub, text_pieces, unscrub
 from stackquarry.functions.text import squeeze_ends
 from stackquarry.operators.budget import (
     GROUP,
@@ -42,8 +42,20 @@ def question_context(questions: DataFrame, documents: DataFrame) -> DataFrame:
     ``documents`` has one row per project. Join last and after filtering: every
     question carries its context from here on. NULL context means no state.
     """
-    contexts = documents.select("project", F.to_json(F.parse_json("doc")).alias("context"))
-    return questions.join(contexts, "project", "left")
+    return questions.join(_contexts(documents), "project", "left")
+
+
+def _contexts(documents: DataFrame) -> DataFrame:
+    return documents.select("project", F.to_json(F.parse_json("doc")).alias("context"))
+
+
+def redacted_context(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """J06 for questions that are to be sent: add ``context_parts``, the project's state
+    redacted into pieces. The patterns run once per project, below the join, however many
+    questions ask about it; ``prepare_prompts`` numbers the placeholders for each question.
+    NULL means no state."""
+    parts = _contexts(documents).select("project", text_pieces(F.col("context")).alias("context_parts"))
+    return questions.join(parts, "project", "left")
 
 
 def prepare_prompts(
@@ -53,8 +65,8 @@ def prepare_prompts(
 ) -> DataFrame:
     """Scrub, route and build the prompt.
 
-    Needs columns question and context; adds redactions, backend and prompt. The
-    route is decided on the question as asked; ``classifier`` (U02) replaces the
+    Needs columns question and either context or context_parts; adds redactions, backend and
+    prompt. The route is decided on the question as asked; ``classifier`` (U02) replaces the
     keyword rule by any expression or pandas UDF over the question.
     """
     backend = (
@@ -62,12 +74,27 @@ def prepare_prompts(
         if classifier
         else route_backend(F.col("question"), has_architecture_backend)
     )
-    hidden = scrub(questions.withColumn("backend", backend), ["question", "context"])
+    routed = questions.withColumn("backend", backend)
+    if "context_parts" in questions.columns:
+        parts, seen = F.col("context_parts"), F.size("redactions")
+        hidden = scrub(routed, ["question"])
+        hidden = hidden.select(
+            *[name for name in hidden.columns if name != "redactions"],
+            numbered_text(parts, seen).alias("scrubbed_context"),
+            F.concat("redactions", F.coalesce(numbered_entries(parts, seen), F.from_json(F.lit("[]"), MAP_TYPE))).alias("redactions"),
+        )
+    else:
+        hidden = scrub(routed, ["question", "context"])
     return hidden.withColumn(
         "prompt", answer_prompt(F.col("scrubbed_context"), F.col("scrubbed_question"))
     ).drop("scrubbed_question", "scrubbed_context")
 
 
+def _known(questions: DataFrame) -> Column:
+    """Whether a question's project has a state."""
+    return F.col("context_parts" if "context_parts" in questions.columns else "context").isNotNull()
+
+
 def call_backend(df: DataFrame, backend: Backend) -> DataFrame:
     """Add ``reply``. Only two text columns cross to Python; a NULL prompt is not sent."""
 
@@ -102,10 +129,10 @@ def answer_batch(
     """U01 without a budget: adds backend, answer and error. One pass: a question without a
     context has no prompt and is not sent."""
     ready = prepare_prompts(questions, has_architecture_backend, classifier)
-    ready = ready.withColumn("prompt", F.when(F.col("context").isNotNull(), F.col("prompt")))
-    missing = F.when(F.col("context").isNull(), F.lit(NO_SNAPSHOT))
+    ready = ready.withColumn("prompt", F.when(_known(questions), F.col("prompt")))
+    missing = F.when(~_known(questions), F.lit(NO_SNAPSHOT))
     answered = finish_answers(call_backend(ready, backend)).withColumn("error", missing)
-    return answered.drop("redactions", "prompt", "reply")
+    return answered.drop("redactions", "prompt", "reply", "context_parts")
 
 
 def answer_within_budget(
@@ -118,7 +145,8 @@ def answer_within_budget(
 ) -> DataFrame:
     """U01 with the budget gate in front of each call.
 
-    questions: user_id, day, ts, req_id, question, context, model_id, limit_micro.
+    questions: user_id, day, ts, req_id, question, context or context_parts, model_id,
+    limit_micro.
     A refused question is never sent. The cost of an admitted one is known only
     after its reply, so a (user, day) advances in order; different groups advance
     together and their next prompts share one batch. Groups that cross chunk
@@ -126,7 +154,7 @@ def answer_within_budget(
     Questions without a context are not sent and do not count.
     """
     ready = prepare_prompts(questions, has_architecture_backend, classifier)
-    known = F.col("context").isNotNull()
+    known = _known(questions)
     priced = with_prices(ready.filter(known), prices).withColumns(
         {
             "prompt_tokens": token_estimate(F.col("prompt")),
@@ -141,9 +169,9 @@ def answer_within_budget(
     decided = _rounds(pieces, backend)
     finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
     finished = finished.withColumn("error", refusal_message()).drop(
-        "redactions", "prompt", "reply", "chunk", "opening", "nano_in", "nano_out", "prompt_tokens"
+        "redactions", "prompt", "reply", "chunk", "opening", "nano_in", "nano_out", "prompt_tokens", "context_parts"
     )
-    missing = ready.filter(~known).drop("redactions", "prompt")
+    missing = ready.filter(~known).drop("redactions", "prompt", "context_parts")
     return finished.unionByName(
         missing.withColumns({"admitted": F.lit(False), "error": F.lit(NO_SNAPSHOT)}),
         allowMissingColumns=True,

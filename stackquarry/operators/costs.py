@@ -1,8 +1,11 @@
 """Top services by cost over a period: A09.
 
-Costs are first summed per day and service, which bounds everything after it by
-days x services. Each distinct (as_of, days) period is worked out once and joined
-to its questions at the end, so many questions about the same week cost one week.
+Costs are summed per day and service, and then along the days of each service, range-sorted
+over the cluster. A period costs two look-ups into these running sums, one at its end and one
+before its begin, however many days lie between: each running sum holds from its day up to
+the service's next one, so it is handed to the borders of periods that fall between, found by
+number in the sorted borders. Each distinct (as_of, days) period is worked out once and joined
+to its questions at the end.
 """
 
 from __future__ import annotations
@@ -10,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackquarry.operators.ordered import join_same, running_total, running_totals
+from stackquarry.operators.selection import top_rows
+from stackquarry.sources.checkpoints import written
+
 #: Days beyond which dates could no longer be computed.
 LONGEST = 1_000_000
-SALTS = 32
+SUMMED = ("cents", "rows", "known")
 # ---- fixed values: days per unit of a period --------------------------------
 PERIOD_UNITS = [("day", 1), ("week", 7), ("month", 30), ("year", 365)]
 # -----------------------------------------------------------------------------
@@ -32,39 +39,53 @@ def top_cost(questions: DataFrame, costs: DataFrame) -> DataFrame:
     Rows (question_id, rank, service, amount_cents): sums over (as_of - days, as_of],
     the ``top`` largest, ties by service name.
     """
-    daily = costs.groupBy("usage_date", "service").agg(F.sum("amount_cents").alias("cents"))
-    periods = questions.groupBy("as_of", "days").agg(F.max("top").alias("most"))
-    # A period is cut to the days that have costs, so its length does not matter.
-    span = daily.agg(F.min("usage_date").alias("first"), F.max("usage_date").alias("last"))
-    begin = F.date_sub("as_of", F.least(F.col("days"), F.lit(LONGEST)) - 1)
-    begin = F.greatest(begin, span.select("first").scalar())
-    end = F.least(F.col("as_of"), span.select("last").scalar())
-    by_day = periods.select("*", begin.alias("begin"), end.alias("end")).filter(
-        (F.col("days") > 0) & (F.col("begin") <= F.col("end"))
-    )
-    by_day = by_day.withColumn("usage_date", F.explode(F.sequence("begin", "end")))
+    periods = questions.filter(F.col("days") > 0).groupBy("as_of", "days").agg(F.max("top").alias("most"))
+    # The begin excludes its own day: what had been spent by then does not count.
+    begin = F.date_sub("as_of", F.least(F.col("days"), F.lit(LONGEST)))
+    periods = periods.withColumns({"begin": begin, "end": F.col("as_of")}).filter(F.col("end").isNotNull())
+    paid = spent_by(costs, periods.select("begin").union(periods.select("end")).toDF("border"))
+    ends = periods.join(paid.withColumnRenamed("border", "end"), "end")
+    begins = paid.withColumnsRenamed({"border": "begin", **{c: f"{c}_before" for c in SUMMED}})
+
+    def within(column: str) -> Column:
+        return F.col(column) - F.coalesce(f"{column}_before", F.lit(0))
+
     sums = (
-        by_day.join(daily, "usage_date")
-        .groupBy("as_of", "days", "most", "service")
-        .agg(F.sum("cents").alias("amount_cents"))
+        join_same(ends, begins, ["begin", "service"], "left")
+        # a service without a row within the period has no place in it
+        .filter(within("rows") > 0)
+        .select("as_of", "days", "most", "service", F.when(within("known") > 0, within("cents")).alias("amount_cents"))
     )
-    ranked = _ranked(sums)
+    ranked = top_rows(sums, ["as_of", "days"], "amount_cents", ["service"], "most")
     return questions.join(
         ranked.select("as_of", "days", "rank", "service", "amount_cents"), ["as_of", "days"]
     ).filter(F.col("rank") <= F.col("top")).select("question_id", "rank", "service", "amount_cents")
 
 
-def _ranked(sums: DataFrame) -> DataFrame:
-    """Rank within each period, in two steps: each salted slice keeps its own best
-    ``most`` rows, then the survivors are ranked. No period is sorted in one task
-    while it still holds every service."""
-    order = [F.desc("amount_cents"), F.asc("service")]
-    slices = sums.withColumn("_slice", F.pmod(F.xxhash64("service"), F.lit(SALTS)))
-    local = Window.partitionBy("as_of", "days", "_slice").orderBy(*order)
-    whole = Window.partitionBy("as_of", "days").orderBy(*order)
-    return (
-        slices.withColumn("_local", F.row_number().over(local))
-        .filter(F.col("_local") <= F.col("most"))
-        .withColumn("rank", F.row_number().over(whole).cast("bigint"))
-        .filter(F.col("rank") <= F.col("most"))
+def spent_by(costs: DataFrame, borders: DataFrame) -> DataFrame:
+    """border, service, cents, rows and known (rows with an amount): sums of a service's costs
+    up to and including each distinct border; none for services that had no row by then.
+
+    Rows: borders x services that have costs by then, which the answer needs; the days
+    between borders cost nothing.
+    """
+    daily = costs.filter(F.col("usage_date").isNotNull()).groupBy("usage_date", "service").agg(
+        F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("cents"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count("amount_cents").alias("known"),
+    )
+    sums = running_totals(daily, ["service"], ["usage_date"], {f"{c}_through": c for c in SUMMED})
+    # Borders and days in one order: how many borders lie before each day.
+    marks = borders.distinct().select(F.col("border").alias("date"), F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("one"))
+    days = daily.select(F.col("usage_date").alias("date"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("one")).distinct()
+    placed = written(running_total(marks.union(days), [], ["date", "kind"], "one", "through"), "border_places")
+    numbers = placed.filter("kind = 1").select(F.col("date").alias("border"), F.col("through").alias("number"))
+    before = placed.filter("kind = 0").select("date", "through")
+    count = numbers.agg(F.max("number").alias("n")).scalar()
+    later = Window.partitionBy("service").orderBy("usage_date")
+    spans = sums.join(before, sums["usage_date"] == before["date"]).select(
+        "service", *[F.col(f"{c}_through").alias(c) for c in SUMMED], (F.col("through") + 1).alias("low"),
+        F.coalesce(F.lead("through").over(later), count).alias("high"),
     )
+    held = spans.filter(F.col("low") <= F.col("high")).withColumn("number", F.explode(F.sequence("low", "high")))
+    return held.join(numbers, "number").select("border", "service", *SUMMED)

@@ -55,7 +55,18 @@ def running_total(
     out: str,
     chunks: int | None = None,
 ) -> DataFrame:
-    """Running sum of ``value`` per group, this row included.
+    """Running sum of ``value`` per group, this row included."""
+    return running_totals(df, group, order, {out: value}, chunks)
+
+
+def running_totals(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    values: dict[str, str],
+    chunks: int | None = None,
+) -> DataFrame:
+    """Running sums per group, this row included, as new columns named by the keys.
 
     Running sums inside each (group, chunk), plus what earlier chunks of the group
     add up to. The second part works on one row per (group, chunk).
@@ -69,15 +80,15 @@ def running_total(
     earlier = (
         Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
+    sums = pieces.groupBy(*group, "chunk").agg(*[F.sum(v).alias(f"_sum_{out}") for out, v in values.items()])
     carried = (
-        pieces.groupBy(*group, "chunk")
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_carried", F.sum("_sum").over(earlier))
-        .filter(F.col("_carried").isNotNull())
-        .drop("_sum")
+        sums.withColumns({f"_carried_{out}": F.sum(f"_sum_{out}").over(earlier) for out in values})
+        .filter(F.coalesce(*[f"_carried_{out}" for out in values]).isNotNull())
+        .drop(*[f"_sum_{out}" for out in values])
     )
+    running = pieces.withColumns({out: F.sum(v).over(local) for out, v in values.items()})
     return (
-        join_same(pieces.withColumn(out, F.sum(value).over(local)), carried, [*group, "chunk"], "left")
-        .withColumn(out, F.col(out) + F.coalesce("_carried", F.lit(0)))
-        .drop("_carried", "chunk")
+        join_same(running, carried, [*group, "chunk"], "left")
+        .withColumns({out: F.col(out) + F.coalesce(f"_carried_{out}", F.lit(0)) for out in values})
+        .drop("chunk", *[f"_carried_{out}" for out in values])
     )

@@ -25,6 +25,7 @@ from stackquarry.operators import (
     pairs,
     resources,
     routes,
+    selection,
     triggers,
     usage,
 )
@@ -374,6 +375,15 @@ def best_model_per_brand(spark: SparkSession, sf: str) -> DataFrame:
     return models.best_per_group(shapes.offers(spark, sf), ["brand"], ranking, "model_id")
 
 
+@query
+def top_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """The dearest offers of each brand: one in a hundred of them, ties by position."""
+    offers = shapes.offers(spark, sf).select("brand", "pos", "model_id", F.col("output_cost").cast("bigint").alias("price"))
+    most = offers.groupBy("brand").agg((F.floor(F.count(F.lit(1)) / 100) + 1).cast("int").alias("most"))
+    ranked = selection.top_rows(offers.join(most, "brand"), ["brand"], "price", ["pos"], "most")
+    return ranked.select("brand", "rank", "model_id", "price")
+
+
 @query
 def first_working_model(spark: SparkSession, sf: str) -> DataFrame:
     return models.first_working_model(shapes.probes(spark, sf))
@@ -434,21 +444,21 @@ def echo_backend(names: pd.Series, prompts: pd.Series) -> pd.Series:
 
 @query
 def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
-    asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
+    asked = answers.redacted_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
     return answers.answer_batch(asked, echo_backend).select("req_id", "backend", "answer", "error")
 
 
 @query
 def classified_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A classifier of one's own in place of the keywords."""
-    asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
+    asked = answers.redacted_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
     even = F.when(F.length("question") % 2 == 0, "even").otherwise("odd")
     return answers.answer_batch(asked, echo_backend, classifier=lambda _: even).select("req_id", "backend", "answer", "error")
 
 
 @query
 def answer_within_budget(spark: SparkSession, sf: str) -> DataFrame:
-    asked = answers.question_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
+    asked = answers.redacted_context(shapes.project_questions(spark, sf), shapes.nation_documents(spark, sf))
     ready = asked.withColumns(
         {"model_id": F.lit(catalog.DEFAULT_MODEL), "limit_micro": F.lit(1_500_000).cast("bigint")}
     )

@@ -376,6 +376,11 @@ BEST = """SELECT brand, model_id FROM (
   SELECT p_brand AS brand, 'm' || p_partkey AS model_id,
     row_number() OVER (PARTITION BY p_brand ORDER BY floor(p_retailprice / 100) DESC, p_size, p_partkey) AS rn FROM part)
 WHERE rn = 1"""
+TOP_OFFERS = """SELECT brand, rank, model_id, price FROM (
+  SELECT p_brand AS brand, 'm' || p_partkey AS model_id, floor(p_retailprice / 100)::BIGINT AS price,
+    row_number() OVER (PARTITION BY p_brand ORDER BY floor(p_retailprice / 100) DESC, p_partkey) AS rank,
+    count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+WHERE rank <= floor(n / 100) + 1"""
 WORKING = f"""SELECT 'a' || s_suppkey AS account, CASE WHEN s_suppkey % 9 > 5 THEN '{HAIKU}'
   WHEN (s_suppkey + 2) % 9 > 5 THEN '{SONNET}' WHEN (s_suppkey + 4) % 9 > 5 THEN '{TITAN}'
   WHEN (s_suppkey + 6) % 9 > 5 THEN '{LLAMA}' ELSE '' END AS model_id FROM supplier"""
@@ -534,6 +539,7 @@ ORACLE: dict[str, str] = {
     "function_triggers": FUNCTION_TRIGGERS,
     "trigger_counts": TRIGGER_COUNTS,
     "top_cost": TOP_COST,
+    "top_offers": TOP_OFFERS,
     "route_to_backend": ROUTE_TO_BACKEND,
     "parse_query_replies": PARSE_QUERY,
     "first_valid_chunk": FIRST_CHUNK,

@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -12,7 +14,8 @@ from stackquarry.functions.answers import (
     intent_prompt,
     request_body,
 )
-from stackquarry.operators import accounts, answers, costs, triggers
+from stackquarry.functions.redact import numbered_entries, numbered_text, scrub, text_pieces
+from stackquarry.operators import accounts, answers, costs, selection, triggers
 
 LONG = "Based on x. " + "S2 " * 180 + ". S3. S4."
 
@@ -111,6 +114,48 @@ def test_answer_batch_order_of_steps(spark):
     assert {r.req_id: r.backend for r in routed} == {1: "general", 2: "arch", 3: "arch"}
 
 
+def test_a_shared_context_is_redacted_once(spark):
+    odd = "x\u0001[[IP_70]]\u0001\u0002 [[ARN_90]] 10.1.2.3 arn:aws:x:y:1:z s3://b/c 123456789012 10.1.2.3"
+    documents = spark.createDataFrame([("p", json.dumps({"k": odd})), ("q", "{}"), ("r", None)], "project STRING, doc STRING")
+    asked = [(k, p, q) for k, (p, q) in enumerate((p, q) for p in ("p", "q", "r", "none") for q in ("Hi", "s3://z 10.0.0.9 and 10.0.0.8", None))]
+    questions = spark.createDataFrame(asked, "req_id BIGINT, project STRING, question STRING")
+    whole = answers.prepare_prompts(answers.question_context(questions, documents))
+    pieces = answers.prepare_prompts(answers.redacted_context(questions, documents))
+    columns = ["req_id", "prompt", "backend", F.to_json(F.struct("redactions"))]
+    wanted = {r[0]: tuple(r) for r in whole.select(*columns).collect()}
+    got = {r[0]: tuple(r) for r in pieces.select(*columns).collect()}
+    assert got == wanted
+
+    def backend(names, prompts):
+        return prompts.str.extract(r"CONTEXT ---\n(.*)\n--- END", expand=False)
+
+    rows = {r.req_id: r for r in answers.answer_batch(answers.redacted_context(questions, documents), backend).collect()}
+    assert json.loads(rows[1].answer) == {"k": odd}
+    assert rows[3].answer == "{}" and rows[9].error == wording.NO_SNAPSHOT
+
+
+def test_pieces_of_raw_texts(spark):
+    texts = ["", "\u0001", "\u0001[[IP_1]]10.0.0.1\u0001\u0002[[IP_1]]", "10.0.0.110.0.0.1", "arn:a s3://b 123456789012,1.2.3.4", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k INT, t STRING")
+    direct = scrub(frame.withColumn("q", F.lit("1.1.1.1 and arn:x")), ["q", "t"])
+    parts = frame.select("k", text_pieces(F.col("t")).alias("p"))
+    got = {r.k: (r.t, r.e) for r in parts.select("k", numbered_text(F.col("p"), F.lit(2)).alias("t"), numbered_entries(F.col("p"), F.lit(2)).alias("e")).collect()}
+    for row in direct.collect():
+        assert got[row.k] == (row.scrubbed_t, None if row.t is None else row.redactions[2:])
+
+
+def test_patterns_run_below_the_join(spark):
+    documents = spark.createDataFrame([("p", "{}")], "project STRING, doc STRING")
+    questions = spark.createDataFrame([(1, "p", "x")], "req_id BIGINT, project STRING, question STRING")
+    ready = answers.prepare_prompts(answers.redacted_context(questions, documents))
+    above, below = ready._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)
+    # above the join the patterns read questions only, below it one context per project
+    assert below.count("regexp_extract_all") >= 4
+    whole = answers.prepare_prompts(answers.question_context(questions, documents))
+    whole_above, _ = whole._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)
+    assert above.count("regexp_extract_all") < whole_above.count("regexp_extract_all")
+
+
 def test_top_cost(spark):
     paid = [("2024-01-10", "a", 5), ("2024-01-10", "b", 5), ("2024-01-03", "c", 100), ("2024-01-04", "c", 3), ("2024-01-09", "a", 1), ("2024-01-11", "z", 999)]
     spend = spark.createDataFrame(paid, "d STRING, service STRING, amount_cents BIGINT").selectExpr(
@@ -128,6 +173,47 @@ def test_top_cost(spark):
     ]
 
 
+def test_top_cost_of_any_periods(spark):
+    draw = random.Random(5)
+    first = datetime.date(2024, 1, 1)
+    paid = [(first + datetime.timedelta(draw.randint(0, 60)), draw.choice(["a", "b", "c", "d", None]), draw.choice([None, -3, 0, 5, 5, 9])) for _ in range(300)]
+    paid += [(None, "a", 7)] + [(first, f"s{k}", 1) for k in range(40)]
+    asked = [(k, first + datetime.timedelta(draw.randint(-5, 80)), draw.choice([0, 1, 3, 30, 10**9, None]), draw.randint(0, 50)) for k in range(60)]
+    asked.append((99, None, 7, 3))
+    got = costs.top_cost(
+        spark.createDataFrame(asked, "question_id BIGINT, as_of DATE, days INT, top INT"),
+        spark.createDataFrame(paid, "usage_date DATE, service STRING, amount_cents BIGINT"),
+    ).collect()
+    wanted = []
+    for k, as_of, days, top in asked:
+        sums = {}
+        for day, service, cents in paid if as_of and days else ():
+            if day and day <= as_of and (as_of - day).days < days:
+                sums.setdefault(service, []).append(cents)
+        sums = {s: sum(c for c in cents if c is not None) if any(c is not None for c in cents) else None for s, cents in sums.items()}
+        order = sorted(sums.items(), key=lambda p: (p[1] is None, -(p[1] or 0), p[0] is not None, p[0] or ""))
+        wanted += [(k, n, service, cents) for n, (service, cents) in enumerate(order[:top], 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+
+
+@pytest.mark.parametrize("chunks", [None, 7])
+def test_top_rows(spark, chunks):
+    draw = random.Random(6)
+    edge = [0, 1, -1, 63, 64, -(2**63), 2**63 - 1, 2**53, 2**53 + 1, None]
+    rows = [("hot", draw.choice(edge), k) for k in range(2000)] + [("ties", 5, k) for k in range(500)]
+    rows += [(g, draw.randint(-(10**6), 10**6), k) for g in ("x", "y", None) for k in range(100)] + [("few", 1, 0)]
+    most = {"hot": 777, "ties": 100, "x": 10, "y": 1, None: 100, "few": 50}
+    df = spark.createDataFrame([(g, v, n, most[g]) for g, v, n in rows], "g STRING, v BIGINT, n INT, k INT")
+    got = selection.top_rows(df, ["g"], "v", ["n"], "k", chunks=chunks).select("g", "v", "n", "rank").collect()
+    wanted = []
+    for g, k in most.items():
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        wanted += [(*r, place) for place, r in enumerate(own[:k], 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    bins = [r.b for r in spark.createDataFrame([(v,) for v in sorted(v for v in edge if v is not None)], "v BIGINT").select(selection.value_bin(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(bins) and len(set(bins)) >= 7
+
+
 def test_triggers(spark):
     rows = spark.createDataFrame(
         [("f", "sqs", "1"), ("f", "s3", "2"), ("g", "s3", "3")], "function_name STRING, source_type STRING, source_arn STRING"
