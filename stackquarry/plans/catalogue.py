@@ -6,6 +6,8 @@ selects its result columns; the work is in the operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from stackquarry.operators import (
     triggers,
     usage,
 )
+from stackquarry.operators.ordered import ordered_chunks
 from stackquarry.plans import shapes
 from stackquarry.sources import files, scans, snapshots
 from stackquarry.sources.checkpoints import new_table_path
@@ -36,8 +39,8 @@ from stackquarry.streaming import runs, texts
 from stackquarry.streaming import usage as usage_stream
 
 QUERIES = {}
-#: Files that the event streams are read from, one a micro-batch.
-EVENT_FILES = 4
+#: Deliveries of the event streams.
+EVENT_BATCHES = 4
 
 
 def query(fn):
@@ -561,33 +564,32 @@ def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
 # ---- streams ----------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream of several files, one a micro-batch. Every day lies in one
-    file, and files come in the order of a hash of their days, not of time."""
+def _arriving_events(spark: SparkSession, sf: str, consume: Callable[[DataFrame], None]) -> None:
+    """The events as they arrive: in the order of time, in EVENT_BATCHES deliveries cut by
+    size, so that days and user-days span several. Each delivery is a set of files written in
+    parallel; the stream is then run until it has caught up, as a schedule would."""
     events = shapes.table(spark, sf, "events")
+    pieces = ordered_chunks(events, [], ["ts", "event_id"])
+    chunks = pieces.agg(F.max("chunk").alias("n")).first()["n"]
     folder = new_table_path(spark, "event_files")
-    dealt = events.withColumn("_file", F.pmod(F.xxhash64(F.to_date("ts")), F.lit(EVENT_FILES)))
-    for n in range(EVENT_FILES):
-        dealt.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _priced_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = _event_stream(spark, sf)
-    return usage.priced_usage(shapes.usage_of_events(events), catalog.prices(spark))
+    for n in range(EVENT_BATCHES):
+        own = F.floor(F.col("chunk") * EVENT_BATCHES / ((chunks or 0) + 1)) == n
+        pieces.where(own).drop("chunk").write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        consume(usage.priced_usage(shapes.usage_of_events(stream), catalog.prices(spark)))
 
 
 @query
 def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_table_path(spark, "stream_usage")
-    usage_stream.add_daily_usage(_priced_stream(spark, sf), folder)
+    _arriving_events(spark, sf, lambda priced: usage_stream.add_daily_usage(priced, folder))
     return usage_stream.summed_daily_usage(spark, folder)
 
 
 @query
 def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_table_path(spark, "stream_budget")
-    usage_stream.run_budget_gate(_gated(_priced_stream(spark, sf)), folder)
+    _arriving_events(spark, sf, lambda priced: usage_stream.run_budget_gate(_gated(priced), folder))
     return usage_stream.budget_decisions(spark, folder).select(*GATE_COLUMNS)
 
 

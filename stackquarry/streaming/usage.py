@@ -10,37 +10,45 @@ from pyspark.sql import functions as F
 from stackquarry.operators.budget import budget_gate
 from stackquarry.operators.usage import daily_usage
 from stackquarry.sources.checkpoints import dropped, written
+from stackquarry.streaming.state_log import StateLog
 
 SPENT = "user_id BIGINT, day DATE, spent_micro BIGINT"
+SUMS = "user_id BIGINT, day DATE, cost_micro BIGINT, requests BIGINT, tokens BIGINT"
+
+
+def usage_log(spark: SparkSession, folder: str) -> StateLog:
+    added = {name: F.sum(name).cast("bigint") for name in ("cost_micro", "requests", "tokens")}
+    return StateLog(spark, f"{folder}/sums", ["user_id", "day"], added, SUMS)
+
+
+def spend_log(spark: SparkSession, folder: str) -> StateLog:
+    """Spend only grows, so the greatest figure is the last."""
+    return StateLog(spark, f"{folder}/spent", ["user_id", "day"], {"spent_micro": F.max("spent_micro")}, SPENT)
 
 
 def add_daily_usage(priced: DataFrame, folder: str) -> None:
     """ST01: add up usage as it arrives; run it on a schedule, it stops when caught up.
 
-    A sum needs no state: each micro-batch writes its own sums per user and day under its
-    batch_id, so nothing is ever too late, and a repeated batch overwrites itself.
-    ``summed_daily_usage`` reads the table.
+    A sum needs no order: each micro-batch adds its own sums per user and day to a log that
+    merges them in levels, so nothing is ever too late, and a repeated batch replaces itself.
+    ``summed_daily_usage`` reads the log.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        daily_usage(batch).write.mode("overwrite").parquet(f"{folder}/sums/batch_id={batch_id}")
+        usage_log(batch.sparkSession, folder).append(batch_id, daily_usage(batch))
 
     _catch_up(priced, step, folder)
 
 
 def summed_daily_usage(spark: SparkSession, folder: str) -> DataFrame:
-    sums = spark.read.option("basePath", f"{folder}/sums").parquet(f"{folder}/sums")
-    return sums.groupBy("user_id", "day").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("cost_micro", "requests", "tokens")]
-    )
+    return usage_log(spark, folder).merged_rows()
 
 
 def run_budget_gate(requests: DataFrame, folder: str) -> None:
     """ST02: gate a stream of requests; run it on a schedule, it stops when caught up.
 
     Writes a decision for every request to ``folder/decisions``, and the spend of each
-    (user, day) of a micro-batch after it to ``folder/spent``, by batch and day. A
-    micro-batch goes through the batch gate with the spend so far of its own days as
+    (user, day) of a micro-batch after it to the log ``folder/spent``. A micro-batch goes through the batch gate with the spend so far of its own days as
     the opening, so a user who sends a third of all requests is cut into chunks here
     too instead of being one task's state. Days are never let go: a late request is
     gated against its own day, and a future one touches no other day. Running a batch
@@ -55,7 +63,8 @@ def run_budget_gate(requests: DataFrame, folder: str) -> None:
         stored = written(batch, "gate_batch")
         # one value for each calendar day that the micro-batch holds
         days = [row["day"] for row in stored.select("day").distinct().collect()]
-        before = _spent_before(spark, folder, batch_id, days)
+        log = spend_log(spark, folder)
+        before = _spent_before(log, batch_id, days)
         budget_gate(stored, opening=before).drop("error").write.mode("overwrite").parquet(
             f"{folder}/decisions/batch_id={batch_id}"
         )
@@ -66,7 +75,7 @@ def run_budget_gate(requests: DataFrame, folder: str) -> None:
                 F.col("spent_before_micro") + F.when(F.col("admitted"), F.col("cost_micro")).otherwise(0)
             ).alias("spent_micro")
         )
-        after.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/spent/batch_id={batch_id}")
+        log.append(batch_id, after)
 
     _catch_up(requests, step, folder)
 
@@ -81,17 +90,12 @@ def _catch_up(stream: DataFrame, step: Callable[[DataFrame, int], None], folder:
     query.awaitTermination()
 
 
-def _spent_before(spark: SparkSession, folder: str, batch_id: int, days: list) -> DataFrame:
-    """The spend of these days so far; folders of other days are not read. Spend only
-    grows, so the greatest figure is the last."""
-    if batch_id == 0:
-        return spark.createDataFrame([], SPENT)
-    stored = spark.read.schema(f"{SPENT}, batch_id BIGINT").parquet(f"{folder}/spent")
+def _spent_before(log: StateLog, batch_id: int, days: list) -> DataFrame:
+    """The spend of these days so far; files without them are passed over."""
     own = F.col("day").isin([day for day in days if day is not None])
     if None in days:
         own = own | F.col("day").isNull()
-    own = own & (F.col("batch_id") < batch_id)
-    return stored.where(own).groupBy("user_id", "day").agg(F.max("spent_micro").alias("spent_micro"))
+    return log.rows(before=batch_id).where(own).groupBy("user_id", "day").agg(F.max("spent_micro").alias("spent_micro"))
 
 
 def budget_decisions(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from stackquarry import catalog
 from stackquarry.functions.redact import scrub
 from stackquarry.operators import usage
+from stackquarry.operators.budget import budget_gate
 from stackquarry.operators.pairs import make_pairs
 from stackquarry.streaming import runs, texts
-from stackquarry.streaming.usage import add_daily_usage, summed_daily_usage
+from stackquarry.streaming.state_log import StateLog
+from stackquarry.streaming.usage import add_daily_usage, budget_decisions, run_budget_gate, spend_log, summed_daily_usage, usage_log
 
 USAGE = "user_id BIGINT, req_id BIGINT, ts TIMESTAMP, model_id STRING, input_tokens BIGINT, output_tokens BIGINT"
 
@@ -31,7 +33,7 @@ def test_daily_usage_over_batches(spark, tmp_path):
     add_daily_usage(usage.priced_usage(stream, catalog.prices(spark)), folder)
     got = summed_daily_usage(spark, folder)
     wanted = usage.daily_usage(usage.priced_usage(spark.read.schema(USAGE).parquet(path), catalog.prices(spark)))
-    assert spark.read.parquet(f"{folder}/sums").select("batch_id").distinct().count() >= 4
+    assert usage_log(spark, folder)._manifests()[-1] >= 3
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.select(*got.columns).collect()))
 
 
@@ -56,3 +58,45 @@ def test_pairs_stream_reads_each_file_once(spark, tmp_path):
     got = spark.read.schema("prompt STRING, completion STRING").json(out)
     assert sorted(r.prompt for r in got.collect()) == ["What triggers the f0 Lambda?", "What triggers the f1 Lambda?"]
     assert got.columns == make_pairs(spark.createDataFrame([], schema)).columns
+
+
+def test_a_log_stays_small_and_survives_retries(spark, tmp_path):
+    def log():
+        return StateLog(spark, str(tmp_path / "log"), ["k"], {"n": F.sum("n").cast("bigint")}, "k BIGINT, n BIGINT", limit=3)
+
+    def add(batch, rows):
+        log().append(batch, spark.createDataFrame(rows, "k BIGINT, n BIGINT").coalesce(1))
+
+    assert log().rows().count() == 0
+    total = {}
+    for batch in range(30):
+        rows = [(batch % 4 or None, batch), (7, 1)]
+        for k, n in rows:
+            total[k] = total.get(k, 0) + n
+        if batch % 6 == 5:  # a run that failed after its work, and one that failed before it published
+            add(batch, [(1, 10_000)])
+            log()._written(spark.createDataFrame([(1, 1)], "k BIGINT, n BIGINT"))
+        add(batch, rows)
+        assert len(list((tmp_path / "log" / "tables").iterdir())) <= 2 * 3 * 4
+    assert {r.k: r.n for r in log().merged_rows().collect()} == total
+    before = {r.k: r.n for r in log().merged_rows(before=29).collect()}
+    assert before[7] == 29 and len(log()._manifests()) == 2
+    assert len(log()._state(None)[1]) <= 2 * 4
+
+
+def test_the_streamed_gate_over_batches_that_share_days(spark, tmp_path):
+    schema = "user_id BIGINT, req_id BIGINT, ts TIMESTAMP, day DATE, est_micro BIGINT, cost_micro BIGINT, limit_micro BIGINT"
+    start = datetime(2024, 1, 1)
+    rows = [
+        ((i // 3) % 3 or None, i, start + timedelta(minutes=7 * i), (start + timedelta(minutes=7 * i)).date(), 5, i % 11, 150)
+        for i in range(600)
+    ]
+    folder, path = str(tmp_path / "gate"), str(tmp_path / "requests")
+    for low in range(0, 600, 150):
+        spark.createDataFrame(rows[low : low + 150], schema).coalesce(2).write.mode("append").parquet(path)
+        run_budget_gate(spark.readStream.schema(schema).parquet(path), folder)
+    got = budget_decisions(spark, folder).select("req_id", "admitted", "spent_before_micro")
+    wanted = budget_gate(spark.createDataFrame(rows, schema)).select("req_id", "admitted", "spent_before_micro")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert not all(r.admitted for r in got.collect())
+    assert {batch for batch in spend_log(spark, folder)._manifests()} == {2, 3}
