@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackquarry.functions.text import bind
 from stackquarry.wording import PLACEHOLDER, REDACTIONS
 
 #: Stands before placeholders that redaction has put in; where a text has the character
@@ -41,10 +42,10 @@ def scrub(
     none = F.from_json(F.lit("[]"), MAP_TYPE)
     state = _state(F.lit(None).cast("string"), F.lit(0), none, F.lit(None).cast("array<string>"))
     for name in texts:
-        state = _bind(state, _next_text(F.col(name)))
+        state = bind(state, _next_text(F.col(name)))
         for tag, pattern, hint in REDACTIONS:
-            state = _bind(state, _replacing(tag, pattern, hint))
-    finished = _bind(state, _next_text(F.lit(None).cast("string")))
+            state = bind(state, _replacing(tag, pattern, hint))
+    finished = bind(state, _next_text(F.lit(None).cast("string")))
     return df.withColumn("_scrubbed", finished).select(
         *df.columns,
         *[
@@ -71,15 +72,6 @@ def _next_text(text: Column) -> Callable[[Column], Column]:
     )
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it by name in ``body``.
-
-    Written as a one-element transform: the expression stays linear in the number
-    of steps, also when a filter on its result is pushed below the projection.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _replacing(tag: str, pattern: str, hint: str | None, mark: str = "") -> Callable[[Column], Column]:
     """One pattern's step on the state. A text without ``hint`` skips the pattern; ``mark``
     goes before each placeholder in the text."""
@@ -88,7 +80,7 @@ def _replacing(tag: str, pattern: str, hint: str | None, mark: str = "") -> Call
         found = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
         if hint:
             found = F.when(F.contains(state["text"], F.lit(hint)), found)
-        return _bind(
+        return bind(
             F.transform(found, lambda original, i: _entry(state["seen"] + i + 1, tag, original)),
             lambda entries: F.when(
                 F.size(entries) > 0,
@@ -124,7 +116,7 @@ def text_pieces(text: Column) -> Column:
     none = F.from_json(F.lit("[]"), MAP_TYPE)
     state = _state(F.replace(text, F.lit(MARK), F.lit(KEPT)), F.lit(0), none, F.lit(None).cast("array<string>"))
     for tag, pattern, hint in REDACTIONS:
-        state = _bind(state, _replacing(tag, pattern, hint, MARK))
+        state = bind(state, _replacing(tag, pattern, hint, MARK))
     marked = MARK + PLACEHOLDER
 
     def parts(s: Column) -> Column:
@@ -137,7 +129,7 @@ def text_pieces(text: Column) -> Column:
             F.transform(s["entries"], lambda e: F.struct(e["tag"], e["original"])).alias("found"),
         )
 
-    return F.when(text.isNotNull(), _bind(state, parts))
+    return F.when(text.isNotNull(), bind(state, parts))
 
 
 def numbered_text(parts: Column, seen: Column) -> Column:

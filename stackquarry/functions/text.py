@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,3 +42,12 @@ def label_of_kind(kind: Column, pairs: list[tuple[str, str]]) -> Column:
         reversed(pairs),
         F.lit(None).cast("string"),
     )
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``.
+
+    Written as a one-element transform: the expression stays linear in the number
+    of steps, also when a filter on its result is pushed below the projection.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackquarry.functions import variants
-from stackquarry.functions.text import label_of_kind
+from stackquarry.functions.text import bind, label_of_kind
 from stackquarry.schemas import TEMPLATE
 from stackquarry.wording import KEY_RESOURCES
 
@@ -29,9 +29,13 @@ def resource_type(body: Column) -> Column:
 
 
 def resource_entries(templates: DataFrame) -> DataFrame:
-    """One row per entry under Resources: type NULL unless it is an object with a text Type."""
-    entries = templates.select(*KEYS, F.explode("template.Resources").alias("logical_id", "body"))
-    return entries.select(
+    """One row per entry under Resources: type NULL unless it is an object with a text Type.
+
+    The outer form, with a filter behind it, keeps Spark from testing the map below the
+    projection, which would parse every document once more for each test.
+    """
+    entries = templates.select(*KEYS, F.explode_outer("template.Resources").alias("logical_id", "body"))
+    return entries.filter(F.col("logical_id").isNotNull()).select(
         *KEYS,
         "logical_id",
         resource_type(F.col("body")).alias("type"),
@@ -83,7 +87,8 @@ def key_resources(resources: DataFrame) -> DataFrame:
 
 def stack_outputs(templates: DataFrame) -> DataFrame:
     """One row per output name; stacks without outputs give none."""
-    return templates.select(*KEYS, F.explode(F.map_keys("template.Outputs")).alias("output_name"))
+    names = templates.select(*KEYS, F.explode_outer(F.map_keys("template.Outputs")).alias("output_name"))
+    return names.filter(F.col("output_name").isNotNull())
 
 
 def stack_totals(templates: DataFrame) -> DataFrame:
@@ -104,8 +109,9 @@ def scan_summary(documents: DataFrame) -> DataFrame:
     """The summary of a scan as rows (project, stack, section, item, n): the total, the
     count per type, the key resources and the outputs of each stack.
 
-    A template is parsed once and its types are counted within the row; all its lines
-    come out of one explode, without an exchange.
+    A template is parsed once; its types are sorted and their runs counted within the row, in
+    time linear in its entries but for the sort. All its lines come out of one explode, without
+    an exchange.
     """
 
     def line(section: str, item: Column, n: Column | None = None) -> Column:
@@ -126,23 +132,29 @@ def scan_summary(documents: DataFrame) -> DataFrame:
         name = own_name(entry["type"], properties)
         return line("key", key_label(key_kind(entry["type"]), name, entry["logical_id"]))
 
-    def type_line(name: Column) -> Column:
-        return line("type", name, F.size(F.filter(types, lambda other: other == name)))
+    def type_lines(types: Column) -> Column:
+        """A line per run of equal types in sorted order."""
+        n = F.size(types)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(types, i) != F.get(types, i - 1)))
+        return F.when(n > 0, bind(starts, lambda starts: F.transform(
+            starts, lambda i, k: line("type", F.get(types, i), F.coalesce(F.get(starts, k + 1), n) - i)
+        )))
+
+    def lines_of(entries: Column) -> Column:
+        types = F.array_sort(F.filter(F.transform(entries, lambda entry: entry["type"]), lambda name: name.isNotNull()))
+        return F.concat(
+            F.array(line("total", F.lit("resources"), F.coalesce(F.size(entries), F.lit(0)))),
+            F.coalesce(bind(types, type_lines), none),
+            F.coalesce(F.transform(entries, key_line), none),
+            F.coalesce(outputs, none),
+        )
 
     entries = F.transform(F.map_entries("template.Resources"), typed)
-    types = F.transform(entries, lambda entry: entry["type"])
-    total = line("total", F.lit("resources"), F.coalesce(F.size(entries), F.lit(0)))
     outputs = F.transform(F.map_keys("template.Outputs"), lambda name: line("output", name))
     none = F.array().cast("array<struct<section:string,item:string,n:bigint>>")
-    lines = F.concat(
-        F.array(total),
-        F.coalesce(F.transform(F.array_distinct(types), type_line), none),
-        F.coalesce(F.transform(entries, key_line), none),
-        F.coalesce(outputs, none),
-    )
     return (
         decode_templates(documents)
-        .select(*KEYS, F.explode(lines).alias("line"))
+        .select(*KEYS, F.explode_outer(bind(entries, lines_of)).alias("line"))
         .select(*KEYS, "line.section", "line.item", "line.n")
         .filter(F.col("item").isNotNull())
     )

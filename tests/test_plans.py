@@ -61,3 +61,9 @@ def test_redaction_stays_linear_under_a_filter(spark):
     scrubbed = catalogue._scrubbed(spark, SF).filter("size(redactions) > 2 AND scrubbed_context LIKE '%[[S3%'")
     assert plan(scrubbed).count("regexp_extract_all") <= 8 * 3
     assert shapes.documents(spark, SF).count() == 200
+
+
+@pytest.mark.parametrize("name", ["key_resources", "typed_resources", "resources_by_type", "stack_outputs", "resource_totals", "scan_summary"])
+def test_a_template_is_parsed_once(spark, name):
+    text = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(") == 1
