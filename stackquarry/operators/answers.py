@@ -142,6 +142,7 @@ def answer_within_budget(
     has_architecture_backend: bool = True,
     classifier: Callable[[Column], Column] | None = None,
     chunks: int | None = None,
+    most_reply_tokens: int | None = None,
 ) -> DataFrame:
     """U01 with the budget gate in front of each call.
 
@@ -152,6 +153,11 @@ def answer_within_budget(
     together and their next prompts share one batch. Groups that cross chunk
     borders go on chunk by chunk, in as many rounds as a group still has budget for.
     Questions without a context are not sent and do not count.
+
+    ``most_reply_tokens`` states a bound on a reply. With it the prompts of a (user, day)
+    that fit whatever the replies before them cost are reserved together, go out in one
+    batch and are settled in order afterwards. The decisions are the same; a reply beyond
+    the bound is an error.
     """
     ready = prepare_prompts(questions, has_architecture_backend, classifier)
     known = _known(questions)
@@ -166,7 +172,7 @@ def answer_within_budget(
         }
     ).drop("input_cost", "output_cost", "speed", "quality")
     pieces = ordered_chunks(priced, GROUP, ORDER, chunks)
-    decided = _rounds(pieces, backend)
+    decided = _rounds(pieces, backend, most_reply_tokens)
     finished = finish_answers(pieces.drop("cost_micro").join(decided, "req_id"))
     finished = finished.withColumn("error", refusal_message()).drop(
         "redactions", "prompt", "reply", "chunk", "opening", "nano_in", "nano_out", "prompt_tokens", "context_parts"
@@ -178,13 +184,13 @@ def answer_within_budget(
     )
 
 
-def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:
+def _rounds(pieces: DataFrame, backend: Backend, most: int | None = None) -> DataFrame:
     groups = border_groups(pieces)
     summaries = slice_summaries(pieces, groups, {}) if groups else {}
     later = {group: chunks[1:] for group, chunks in groups.items()}
     # first round: everything but the later slices of groups that cross a border
     postponed = [(*g, chunk) for g, chunks in later.items() for chunk in chunks]
-    tables = [written(_called(_without(pieces, postponed), [], backend), "answers")]
+    tables = [written(_called(_without(pieces, postponed), [], backend, most), "answers")]
     spent = _ends(tables[0], list(groups), pieces)
     while any(later.values()):
         now = []
@@ -195,7 +201,7 @@ def _rounds(pieces: DataFrame, backend: Backend) -> DataFrame:
                 piece = summaries[*group, chunk]
                 if spent[group] + piece["least"] <= piece["limit"]:
                     break
-        table = written(_called(_only(pieces, now), now, backend), "answers")
+        table = written(_called(_only(pieces, now), now, backend, most), "answers")
         spent.update(_ends(table, list({tuple(n[:2]) for n in now}), pieces))
         tables.append(table)
     done = tables[0]
@@ -232,7 +238,7 @@ def _ends(table: DataFrame, groups: list[tuple], pieces: DataFrame) -> dict[tupl
     return {(r["user_id"], r["day"]): r["end"] for r in ends.collect()}
 
 
-def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFrame:
+def _called(pieces: DataFrame, starts: list[tuple], backend: Backend, most: int | None = None) -> DataFrame:
     start_field = [T.StructField("start", T.LongType())]
     if starts:
         rows = join_same(pieces, _keys(pieces, starts, start_field), [*GROUP, "chunk"], "left")
@@ -259,6 +265,30 @@ def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFra
         ]
     )
 
+    def micro(nano: int) -> int:
+        return (int(nano) + NANO_PER_MICRO // 2) // NANO_PER_MICRO
+
+    def reserved(queue, cursor, spent, before, est, limit, tokens, nano_in, nano_out) -> tuple[int, list[int]]:
+        """The prompts of a queue, from the cursor on, that are admitted whatever the
+        replies to those before them cost, one at least unless all are refused; and where
+        the queue goes on."""
+        own: list[int] = []
+        most_spent = spent
+        while cursor < len(queue):
+            at = queue[cursor]
+            if most_spent + est[at] <= limit[at]:
+                own.append(at)
+                if most is None:
+                    return cursor + 1, own
+                most_spent += micro(tokens[at] * nano_in[at] + most * nano_out[at])
+            elif own:
+                # open until the replies before it are in
+                break
+            else:
+                before[at] = spent
+            cursor += 1
+        return cursor, own
+
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried: dict[tuple, int] = {}
         for batch in batches:
@@ -273,33 +303,25 @@ def _called(pieces: DataFrame, starts: list[tuple], backend: Backend) -> DataFra
             cost = [0] * len(key)
             reply: list[str | None] = [None] * len(key)
             est, limit = batch["est_micro"].tolist(), batch["limit_micro"].tolist()
+            tokens, nano_in, nano_out = (batch[c].tolist() for c in ("prompt_tokens", "nano_in", "nano_out"))
             cursor = dict.fromkeys(queues, 0)
             active = list(queues)
             while active:
-                sent = []
+                sent: list[int] = []
                 for k in active:
-                    queue = queues[k]
-                    while cursor[k] < len(queue):
-                        at = queue[cursor[k]]
-                        before[at] = spent[k]
-                        if spent[k] + est[at] <= limit[at]:
-                            sent.append(at)
-                            break
-                        cursor[k] += 1
+                    cursor[k], own = reserved(queues[k], cursor[k], spent[k], before, est, limit, tokens, nano_in, nano_out)
+                    sent += own
                 if not sent:
                     break
                 rows = batch.iloc[sent]
                 for at, text in zip(sent, backend(rows["backend"], rows["prompt"])):
                     tokens_out = len(text.encode()) // 4
-                    nano = int(
-                        batch["prompt_tokens"].iloc[at] * batch["nano_in"].iloc[at]
-                        + tokens_out * batch["nano_out"].iloc[at]
-                    )
-                    cost[at] = (nano + NANO_PER_MICRO // 2) // NANO_PER_MICRO
-                    admitted[at], reply[at] = True, text
+                    if most is not None and tokens_out > most:
+                        raise ValueError(f"a reply of {tokens_out} tokens is beyond the stated bound of {most}")
+                    cost[at] = micro(tokens[at] * nano_in[at] + tokens_out * nano_out[at])
+                    admitted[at], reply[at], before[at] = True, text, spent[key[at]]
                     spent[key[at]] += cost[at]
-                    cursor[key[at]] += 1
-                active = [key[at] for at in sent]
+                active = list(dict.fromkeys(key[at] for at in sent))
             carried = {last: spent[last]}
             out = batch[kept].copy()
             out["admitted"], out["spent_before_micro"] = admitted, before

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackquarry import catalog
 from stackquarry.functions.money import ESTIMATED_OUTPUT_TOKENS
+from stackquarry.operators.ordered import running_best
 
 # ---- fixed values: the request assumed when a model is chosen by budget -----
 ASSUMED_INPUT_TOKENS = 1000
@@ -95,6 +96,12 @@ def _catalog_array(rows: list[tuple]) -> Column:
     )
 
 
+def _needed(input_cost: Column, output_cost: Column) -> Column:
+    """The least daily budget for which a model is affordable."""
+    tokens_in, tokens_out = (F.lit(n / 1000).cast("decimal(4,1)") for n in (ASSUMED_INPUT_TOKENS, ESTIMATED_OUTPUT_TOKENS))
+    return (input_cost * tokens_in + output_cost * tokens_out) * REQUESTS_PER_BUDGET
+
+
 def select_model(
     budgets: DataFrame,
     models: list[tuple] = catalog.PRICES,
@@ -109,14 +116,7 @@ def select_model(
     """
     rows = _catalog_array(models)
 
-    def assumed(m: Column) -> Column:
-        return m["input_cost"] * F.lit(ASSUMED_INPUT_TOKENS / 1000).cast("decimal(4,1)") + m[
-            "output_cost"
-        ] * F.lit(ESTIMATED_OUTPUT_TOKENS / 1000).cast("decimal(4,1)")
-
-    affordable = F.filter(
-        rows, lambda m: assumed(m) * REQUESTS_PER_BUDGET <= F.col("daily_budget")
-    )
+    affordable = F.filter(rows, lambda m: _needed(m["input_cost"], m["output_cost"]) <= F.col("daily_budget"))
 
     def best(first: str, second: str) -> Column:
         ranked = F.transform(
@@ -141,6 +141,47 @@ def select_model(
     return budgets.withColumn("model_id", chosen)
 
 
+def select_model_from(
+    budgets: DataFrame, prices: DataFrame, default: str = catalog.DEFAULT_MODEL, chunks: int | None = None
+) -> DataFrame:
+    """J08 over a table of prices (pos, model_id, input_cost, output_cost, speed, quality) of
+    any size: ``budgets`` gain ``model_id`` by the rules of ``select_model``.
+
+    The best model within a budget only changes where a price is crossed, so it is the best
+    so far along the prices in the order of their cost. Prices and budgets are range-sorted
+    together by that cost; each budget takes what is best up to its own place. No budget
+    meets a list of models, and equal budgets spread over chunks.
+    """
+    rank = {name: (name, other) for name, other in (("speed", "quality"), ("quality", "speed"))}
+    steps = prices.select(
+        _needed(F.col("input_cost"), F.col("output_cost")).cast("decimal(38,8)").alias("_at"),
+        *[
+            F.struct(F.col(a), F.col(b), (-F.col("pos")).alias("earlier"), "model_id").alias(f"_{name}")
+            for name, (a, b) in rank.items()
+        ],
+    ).filter(F.col("_at").isNotNull())
+    own = F.struct(*budgets.columns)
+    asked = budgets.select(F.col("daily_budget").cast("decimal(38,8)").alias("_at"), own.alias("_own"))
+    # A price comes before the budgets that just reach it.
+    both = steps.withColumn("_kind", F.lit(0)).unionByName(asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("_nth", F.monotonically_increasing_id())
+    found = running_best(both, [], ["_at", "_kind", "_nth"], {f"_best_{name}": f"_{name}" for name in rank}, chunks).filter("_kind = 1")
+    own_price = F.col("model_id") == default
+    known = prices.agg(
+        F.min_by("model_id", F.struct((F.col("input_cost") + F.col("output_cost")).alias("price"), "pos")).alias("cheapest"),
+        F.max(own_price).alias("has_default"),
+        F.min(F.when(own_price, _needed(F.col("input_cost"), F.col("output_cost")))).alias("default_at"),
+    )
+    cheapest, has_default, default_at = (known.select(name).scalar() for name in ("cheapest", "has_default", "default_at"))
+    chosen = (
+        F.when(F.col("_best_speed").isNull(), F.when(has_default, F.lit(default)).otherwise(cheapest))
+        .when(default_at <= F.col("_at"), F.lit(default))
+        .when(F.col("_own.prioritize_speed"), F.col("_best_speed.model_id"))
+        .otherwise(F.col("_best_quality.model_id"))
+    )
+    return found.select("_own.*", chosen.alias("model_id"))
+
+
 def cheapest_model(prices: DataFrame, *by: str) -> DataFrame:
     """Smallest input + output price, first in list order on ties."""
     return prices.groupBy(*by).agg(

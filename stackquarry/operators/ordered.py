@@ -92,3 +92,23 @@ def running_totals(
         .withColumns({out: F.col(out) + F.coalesce(f"_carried_{out}", F.lit(0)) for out in values})
         .drop("chunk", *[f"_carried_{out}" for out in values])
     )
+
+
+def running_best(df: DataFrame, group: list[str], order: list[str], values: dict[str, str], chunks: int | None = None) -> DataFrame:
+    """The greatest value so far per group, this row included, as new columns named by the
+    keys; NULL where there is none yet. Chunks as in ``running_totals``."""
+    pieces = ordered_chunks(df, group, order, chunks)
+    local = Window.partitionBy(*group, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        pieces.groupBy(*group, "chunk")
+        .agg(*[F.max(value).alias(f"_most_{out}") for out, value in values.items()])
+        .withColumns({f"_carried_{out}": F.max(f"_most_{out}").over(earlier) for out in values})
+        .drop(*[f"_most_{out}" for out in values])
+    )
+    running = pieces.withColumns({out: F.max(value).over(local) for out, value in values.items()})
+    return (
+        join_same(running, carried, [*group, "chunk"], "left")
+        .withColumns({out: F.greatest(out, f"_carried_{out}") for out in values})
+        .drop("chunk", *[f"_carried_{out}" for out in values])
+    )

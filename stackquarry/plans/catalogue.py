@@ -367,6 +367,17 @@ def select_model(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def select_offer(spark: SparkSession, sf: str) -> DataFrame:
+    """Budgets against a price table that is data, with a default that costs something and
+    without one."""
+    offers = shapes.priced_offers(spark, sf)
+    chosen = models.select_model_from(shapes.budgets(spark, sf), offers, "m7").withColumnRenamed("model_id", "with_default")
+    return models.select_model_from(chosen, offers, "none").select(
+        "budget_id", "with_default", F.col("model_id").alias("without_default")
+    )
+
+
 @query
 def cheapest_model(spark: SparkSession, sf: str) -> DataFrame:
     return models.cheapest_model(shapes.offers(spark, sf), "brand")

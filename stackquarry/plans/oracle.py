@@ -376,6 +376,26 @@ BEST = """SELECT brand, model_id FROM (
   SELECT p_brand AS brand, 'm' || p_partkey AS model_id,
     row_number() OVER (PARTITION BY p_brand ORDER BY floor(p_retailprice / 100) DESC, p_size, p_partkey) AS rn FROM part)
 WHERE rn = 1"""
+SELECT_OFFER = """WITH prices AS (
+  SELECT p_partkey AS pos, 'm' || p_partkey AS model_id, CAST(floor(p_retailprice) AS BIGINT) * 1000 AS micro_in, p_size * 10000 AS micro_out,
+    p_partkey % 97 AS speed, p_size AS quality FROM part),
+steps AS (
+  SELECT lim, max(best_speed) AS best_speed, max(best_quality) AS best_quality FROM (
+    SELECT lim, max({'a': speed, 'b': quality, 'c': -pos, 'm': model_id}) OVER w AS best_speed,
+      max({'a': quality, 'b': speed, 'c': -pos, 'm': model_id}) OVER w AS best_quality
+    FROM (SELECT *, (micro_in * 2 + micro_out) * 5 AS lim FROM prices)
+    WINDOW w AS (ORDER BY lim))
+  GROUP BY lim),
+asked AS (
+  SELECT c_custkey AS budget_id, CAST(floor(c_acctbal * 100) AS BIGINT) * 200 AS lim, c_custkey % 2 = 0 AS speedy FROM customer),
+met AS (SELECT a.*, s.best_speed, s.best_quality FROM asked a ASOF LEFT JOIN steps s ON a.lim >= s.lim),
+known AS (
+  SELECT arg_min(model_id, {'p': micro_in + micro_out, 'q': pos}) AS cheapest,
+    max(CASE WHEN model_id = 'm7' THEN (micro_in * 2 + micro_out) * 5 END) AS default_at FROM prices)
+SELECT budget_id,
+  CASE WHEN best_speed IS NULL OR default_at <= lim THEN 'm7' WHEN speedy THEN best_speed.m ELSE best_quality.m END AS with_default,
+  CASE WHEN best_speed IS NULL THEN cheapest WHEN speedy THEN best_speed.m ELSE best_quality.m END AS without_default
+FROM met, known"""
 TOP_OFFERS = """SELECT brand, rank, model_id, price FROM (
   SELECT p_brand AS brand, 'm' || p_partkey AS model_id, floor(p_retailprice / 100)::BIGINT AS price,
     row_number() OVER (PARTITION BY p_brand ORDER BY floor(p_retailprice / 100) DESC, p_partkey) AS rank,
@@ -540,6 +560,7 @@ ORACLE: dict[str, str] = {
     "trigger_counts": TRIGGER_COUNTS,
     "top_cost": TOP_COST,
     "top_offers": TOP_OFFERS,
+    "select_offer": SELECT_OFFER,
     "route_to_backend": ROUTE_TO_BACKEND,
     "parse_query_replies": PARSE_QUERY,
     "first_valid_chunk": FIRST_CHUNK,

@@ -357,6 +357,18 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def priced_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price table: a model per part, dearer with its retail price."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS pos",
+        "'m' || p_partkey AS model_id",
+        "cast(floor(p_retailprice) / 1000 AS DECIMAL(18,6)) AS input_cost",
+        "cast(p_size / 100 AS DECIMAL(18,6)) AS output_cost",
+        "cast(p_partkey % 97 AS INT) AS speed",
+        "cast(p_size AS INT) AS quality",
+    )
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey",

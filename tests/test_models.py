@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -109,3 +110,24 @@ def test_prices_are_held_or_refused(spark):
     assert str(catalog.prices(spark, [("m", "0.000250", "1.25", 1, 1)]).first().input_cost) == "0.000250"
     with pytest.raises(ValueError, match="six decimals"):
         catalog.prices(spark, [("m", "0.0000005", "1", 1, 1)])
+
+
+@pytest.mark.parametrize("chunks", [None, 9])
+def test_select_model_from_a_table(spark, chunks):
+    draw = random.Random(4)
+    rows = [(f"m{k}", Decimal(draw.randint(0, 300)) / 100, Decimal(draw.randint(0, 300)) / 100, draw.randint(1, 5), draw.randint(1, 5)) for k in range(60)]
+    budgets = spark.createDataFrame(
+        [(k, None if k % 40 == 7 else Decimal(draw.choice([0, 500, 777, 1234, draw.randint(0, 5000)])) / 100, k % 2 == 0) for k in range(200)],
+        "budget_id BIGINT, daily_budget DECIMAL(18,6), prioritize_speed BOOLEAN",
+    )
+    prices = spark.createDataFrame(
+        [(k, *row) for k, row in enumerate(rows)],
+        "pos INT, model_id STRING, input_cost DECIMAL(18,6), output_cost DECIMAL(18,6), speed INT, quality INT",
+    )
+    for default in ("m7", "none"):
+        wanted = models.select_model(budgets, rows, default)
+        got = models.select_model_from(budgets, prices, default, chunks)
+        assert got.columns == wanted.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    none = models.select_model_from(budgets, prices.where("false"), "m7").collect()
+    assert len(none) == 200 and {r.model_id for r in none} == {None}

@@ -201,7 +201,8 @@ def test_gate_across_arrow_batches(spark, tiny_batches):
 
 
 @pytest.mark.parametrize("chunks", [1, 6])
-def test_answers_within_budget(spark, tiny_batches, chunks):
+@pytest.mark.parametrize("most", [None, 24])
+def test_answers_within_budget(spark, tiny_batches, chunks, most):
     rng = random.Random(chunks)
     rows = [
         (7 if rng.random() < 0.6 else rng.randrange(4), DAY, START + timedelta(seconds=rng.randrange(20)), i,
@@ -217,7 +218,7 @@ def test_answers_within_budget(spark, tiny_batches, chunks):
 
     got = {
         r.req_id: r
-        for r in answers.answer_within_budget(df, echo, catalog.prices(spark), chunks=chunks).collect()
+        for r in answers.answer_within_budget(df, echo, catalog.prices(spark), chunks=chunks, most_reply_tokens=most).collect()
     }
     prompts = {r.req_id: r.prompt for r in answers.prepare_prompts(df).collect()}
     spent = {}
@@ -230,3 +231,27 @@ def test_answers_within_budget(spark, tiny_batches, chunks):
         assert (got[req].answer is None) == (not ok)
     assert any(not r.admitted for r in got.values()) and len(got) == 121
     assert not got[999].admitted and "run a scan first" in got[999].error
+
+
+def test_reserved_prompts_go_out_together(spark):
+    schema = "user_id BIGINT, day DATE, ts TIMESTAMP, req_id BIGINT, question STRING, context STRING, model_id STRING, limit_micro BIGINT"
+    rows = [(1, DAY, START + timedelta(seconds=i), i, "why", "{}", catalog.DEFAULT_MODEL, 40_000_000) for i in range(60)]
+    df = spark.createDataFrame(rows, schema)
+
+    def decided(most):
+        calls = spark.sparkContext.accumulator(0)
+
+        def echo(names, prompts):
+            calls.add(1)
+            return pd.Series(["r" * 90] * len(prompts))
+
+        kept = answers.answer_within_budget(df, echo, catalog.prices(spark), chunks=1, most_reply_tokens=most)
+        found = sorted((r.req_id, r.admitted, r.spent_before_micro, r.cost_micro) for r in kept.collect())
+        return found, calls.value
+
+    one_by_one, many = decided(None)
+    together, few = decided(30)
+    assert one_by_one == together and any(row[1] for row in together)
+    assert many == sum(row[1] for row in together) and few <= 1 + many // 10
+    with pytest.raises(Exception, match="beyond the stated bound"):
+        decided(3)
