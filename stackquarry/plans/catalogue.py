@@ -542,6 +542,23 @@ def metadata_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_metadata(spark, target, multi_line=False)
 
 
+@query
+def metadata_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold one array over several lines."""
+    folder = new_table_path(spark, "metadata")
+    return files.read_metadata(spark, files.write_metadata_arrays(shapes.metadata(spark, sf), folder, "c"))
+
+
+@query
+def stream_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of the stream, counted per micro-batch on their way, and added up."""
+    folder = new_table_path(spark, "stream_pairs")
+    files.write_metadata(shapes.metadata(spark, sf), folder, "20240101T000000Z")
+    counts: dict[int, int] = {}
+    texts.stream_pairs(spark, f"{folder}/raw", f"{folder}/train", f"{folder}/progress", 2, counts)
+    return spark.createDataFrame(sorted(counts.items()), "batch BIGINT, n BIGINT").agg(F.sum("n").alias("pairs"))
+
+
 @query
 def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
     """Reply chunks from newline-delimited files, down to each request's first valid one."""

@@ -614,6 +614,7 @@ ORACLE: dict[str, str] = {
     "pair_text": PAIR_TEXT,
     "pair_files": PAIR_FILES,
     "metadata_files": METADATA_FILES,
+    "metadata_arrays": METADATA_FILES,
     "chunk_files": f"SELECT req_id, intent, raw_query FROM ({FIRST_CHUNK})",
     "written_counts": WRITTEN,
     "truncate_text": TRUNCATE,
@@ -621,4 +622,5 @@ ORACLE: dict[str, str] = {
     "stream_budget": GATE,
     "stream_scrub": STREAM_SCRUB,
     "stream_pairs": PAIRS,
+    "stream_pair_counts": "SELECT count(*) AS pairs FROM part WHERE p_partkey % 4 <> 0",
 }

@@ -6,6 +6,9 @@ available after the write without a second pass (A08).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,27 @@ def write_metadata(
     return target
 
 
+def write_metadata_arrays(df: DataFrame, path: str, batch: str, observation: Observation | None = None) -> str:
+    """S06 in its other form: each gzipped file under raw/<batch> holds one top-level array,
+    an object a line. A task streams its rows and holds back one."""
+    target = f"{path}/raw/{batch}"
+
+    def lines(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = "["
+        comma = ""
+        for table in tables:
+            out = []
+            for text in table.column(0).to_pylist():
+                out.append(held)
+                held, comma = comma + text, ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held, "]"])], names=["value"])
+
+    objects = counted(df, observation).select(F.to_json(F.struct(*df.columns)).alias("value"))
+    objects.mapInArrow(lines, "value string").write.option("compression", "gzip").text(target)
+    return target
+
+
 def read_metadata(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Gzipped JSON. ``multi_line`` reads files that hold one top-level array;
     set it False for the line-per-object files of ``write_metadata``, which split."""

@@ -54,7 +54,9 @@ def test_pairs_stream_reads_each_file_once(spark, tmp_path):
     for day in range(2):
         rows = [("Lambda", f"f{day}", "a"), ("Table", "t", "b")]
         spark.createDataFrame(rows, schema).write.option("compression", "gzip").json(f"{raw}/2024010{day + 1}")
-        texts.stream_pairs(spark, raw, out, progress)
+        counts: dict[int, int] = {}
+        texts.stream_pairs(spark, raw, out, progress, counts=counts)
+        assert sum(counts.values()) == 1
     got = spark.read.schema("prompt STRING, completion STRING").json(out)
     assert sorted(r.prompt for r in got.collect()) == ["What triggers the f0 Lambda?", "What triggers the f1 Lambda?"]
     assert got.columns == make_pairs(spark.createDataFrame([], schema)).columns
@@ -100,3 +102,14 @@ def test_the_streamed_gate_over_batches_that_share_days(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
     assert not all(r.admitted for r in got.collect())
     assert {batch for batch in spend_log(spark, folder)._manifests()} == {2, 3}
+
+
+def test_pairs_are_counted_per_batch(spark, tmp_path):
+    raw, out, progress = (str(tmp_path / n) for n in ("raw", "train", "progress"))
+    for n in range(5):
+        rows = [("Lambda", f"f{n}-{k}", "a") for k in range(n)] + [("Table", "t", "b")]
+        spark.createDataFrame(rows, "Type STRING, FunctionName STRING, Arn STRING").coalesce(1).write.json(f"{raw}/{n}")
+    counts: dict[int, int] = {}
+    texts.stream_pairs(spark, raw, out, progress, max_files=1, counts=counts)
+    assert len(counts) == 5 and sorted(counts.values()) == [0, 1, 2, 3, 4]
+    assert sum(counts.values()) == spark.read.schema("prompt STRING, completion STRING").json(out).count()
