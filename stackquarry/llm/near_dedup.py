@@ -51,10 +51,13 @@ ERRORS = 6
 
 SKETCHED = "doc_id long, n_shingles long, sum_key long, xor_key long, sketch array<long>"
 
+#: Bytes of text worked on at a time.
+SLICE_BYTES = 1 << 19
+
 
 def _runs_by_row(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct run hashes of each text that has a word."""
-    for low, _, data, offsets in textbatch.slices(*textbatch.bytes_of(texts)):
+    for low, _, data, offsets in textbatch.slices(*textbatch.bytes_of(texts), SLICE_BYTES):
         starts, ends, rows = textbatch.words(data, offsets)
         if not len(starts):
             continue
@@ -65,6 +68,7 @@ def _runs_by_row(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield low + int(row), np.unique(own)
 
 
+@textbatch.lean
 def _sketches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in tables:
         n = table.num_rows
@@ -90,6 +94,7 @@ def _sketches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@textbatch.lean
 def _sets(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full set of each row: its sorted run hashes as bytes."""
     for table in tables:
@@ -100,6 +105,7 @@ def _sets(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(percent: int):
+    @textbatch.lean
     def verify(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             good = []
@@ -212,6 +218,7 @@ def _linked(percent: int):
         sizes = np.array([len(own) for own in sets])
         return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
+    @textbatch.lean
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         task = None

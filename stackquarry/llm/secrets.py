@@ -60,6 +60,8 @@ TRAIN_PENALTY = 1e-7
 TRAIN_GAIN = 0.01
 #: Code points of a span that the field may add, at least.
 LEAST_ADDED = 8
+#: Bytes of text worked on at a time.
+SLICE_BYTES = 1 << 19
 #: What a span becomes in redacted texts.
 MARK = "[SECRET]"
 
@@ -132,6 +134,72 @@ def _shape(word: str) -> list[float]:
 #: Width of a shape, and its place that tells names of secrets.
 SHAPES, NAMED = len(_shape("")), 16
 
+#: What each code point below WIDE is, as bits.
+WIDE = 1 << 16
+_DIGIT, _ALPHA, _UPPER, _LOWER_CASE, _TITLE, _TRIMMED = (1 << k for k in range(6))
+_KIND = np.array(
+    [
+        c.isdigit() * _DIGIT | c.isalpha() * _ALPHA | c.isupper() * _UPPER | c.islower() * _LOWER_CASE
+        | (c.istitle() and not c.isupper()) * _TITLE | (c in _TRIM) * _TRIMMED
+        for c in map(chr, range(WIDE))
+    ],
+    np.uint8,
+)
+
+
+def shapes_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``_shape`` of many words, each a range of the code points."""
+    sizes = ends - starts
+    flat = points[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - firsts[word]
+    kind = _KIND[np.minimum(flat, WIDE - 1)]
+    inner = kind & _TRIMMED == 0
+    low = np.minimum.reduceat(np.where(inner, place, len(flat)), firsts)
+    high = np.maximum.reduceat(np.where(inner, place, -1), firsts)
+    core = (place >= low[word]) & (place <= high[word])
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(word[mask], minlength=len(sizes))
+
+    n = count(core)
+    digits, upper, lower = (count(core & (kind & bit > 0)) for bit in (_DIGIT, _UPPER, _LOWER_CASE))
+    marks = n - digits - upper - lower
+    group = np.where(kind & _DIGIT > 0, 2, np.where(kind & _ALPHA > 0, 1, 0))
+    beside = core[1:] & core[:-1] & (word[1:] == word[:-1])
+    turns = np.bincount(word[1:][beside & (group[1:] != group[:-1])], minlength=len(sizes))
+    keys = np.unique((word[core].astype(np.int64) << 21) | flat[core])
+    distinct = np.bincount(keys >> 21, minlength=len(sizes))
+    head = core & (place < low[word] + 4)
+    cased = count(head & (kind & (_UPPER | _LOWER_CASE | _TITLE) > 0))
+    signs = count((flat == ord("=")) | (flat == ord(":")))
+    lone = (signs == sizes) & ((sizes == 1) | (sizes == 2) & (flat[firsts] == ord(":")) & (flat[np.minimum(firsts + 1, len(flat) - 1)] == ord("=")))
+    arrow = (sizes == 2) & (flat[firsts] == ord("=")) & (flat[np.minimum(firsts + 1, len(flat) - 1)] == ord(">"))
+    some = np.maximum(n, 1)
+    out = np.stack(
+        [
+            n >= 8, n >= 12, n >= 16, n >= 20, n >= 32,
+            (digits > 0) & (digits + marks == n), (digits > 0) & (upper + lower > 0), (upper > 0) & (lower > 0),
+            digits / some, turns / some, distinct / some, marks / some,
+            lone | arrow, signs > 0, (count(core & (flat == ord("@"))) > 0) | (count(core & (flat == ord("."))) > 2),
+            np.isin(flat[firsts], [ord(c) for c in "\"'`"]), np.zeros(len(sizes)),
+            (cased > 0) & (count(head & (kind & _UPPER > 0)) == cased) & (digits > 0),
+        ],
+        axis=1,
+    ).astype(float)
+    # One scan over all words, apart by a line feed, finds the names of secrets.
+    apart = np.full(len(flat) + len(sizes), 10, np.uint32)
+    at = np.arange(len(flat)) + word
+    apart[at] = flat
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    for match in _NAME.finditer(apart.tobytes().decode("utf-32-le", "surrogatepass")):
+        out[owner[match.start()], NAMED] = 1
+    # Characters beyond the table are rare: their words are looked at one by one.
+    for k in np.unique(word[flat >= WIDE]).tolist():
+        out[k] = _shape(flat[firsts[k] : firsts[k] + sizes[k]].tobytes().decode("utf-32-le", "surrogatepass"))
+    return out
+
 
 class Features:
     """Features of words, as rows of a table of shapes: its own, those of the words before
@@ -188,8 +256,9 @@ class Chains:
         hashes = textbatch.hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
         _, some, place = np.unique(hashes, return_index=True, return_inverse=True)
         shapes = np.zeros((len(some) + 1, SHAPES))
-        for k, at in enumerate(some.tolist()):
-            shapes[k + 1] = _shape(self.word(at))
+        if len(some):
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            shapes[1:] = shapes_of(points, chars[starts[some]], chars[ends[some]])
         own = place + 1
         before, after, earlier = (np.zeros(len(own), np.int64) for _ in range(3))
         same, both = rows[1:] == rows[:-1], rows[2:] == rows[:-2]
@@ -268,6 +337,7 @@ def train(docs: DataFrame) -> crf.Chain | None:
     looked = docs.sparkSession.createDataFrame([(int(i), k < TRAIN_PLAIN) for k, i in enumerate(ids)], "id long, plain boolean")
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(looked), "id")
 
+    @textbatch.lean
     def labelled(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             ids, plain = table.column("id").to_pylist(), table.column("plain").to_pylist()
@@ -327,7 +397,7 @@ def train(docs: DataFrame) -> crf.Chain | None:
 
 def _sliced(texts: pa.Array):
     """(first row, end row, texts, chains, base spans by row) of slices of a column."""
-    for low, high, data, offsets in textbatch.slices(*textbatch.bytes_of(texts)):
+    for low, high, data, offsets in textbatch.slices(*textbatch.bytes_of(texts), SLICE_BYTES):
         own = [text or "" for text in texts.slice(low, high - low).to_pylist()]
         spans = {row: found for row in _suspects(data, offsets) if (found := base_spans(own[row]))}
         yield low, high, own, Chains(data, offsets, own), spans
@@ -370,6 +440,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Counts of base spans, their digest and all spans of each row."""
     field = train(docs)
 
+    @textbatch.lean
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             rows = []
@@ -402,6 +473,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     field = train(docs)
     columns = docs.columns
 
+    @textbatch.lean
     def replaced(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             texts = table.column("text")

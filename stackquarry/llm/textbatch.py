@@ -6,7 +6,9 @@ carriage return. None of these occurs inside a longer UTF-8 character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,26 @@ _STEP = 0x9E3779B97F4A7C15
 POWERS = np.cumprod(np.array([1] + [_STEP] * 4095, np.uint64), dtype=np.uint64)
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, in a worker that hands memory back to the system
+    before and after it: workers are reused, and what one stage freed is still held in the next."""
+
+    @functools.wraps(work)
+    def within(tables: Iterator) -> Iterator:
+        hand_back()
+        yield from work(tables)
+        hand_back()
+
+    return within
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a bijection)."""
     values = values ^ (values >> np.uint64(30))
@@ -52,11 +74,13 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of texts of up to SLICE_BYTES."""
+def slices(
+    data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of texts of up to ``most`` bytes."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1
+        high = int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1
         high = min(max(high, low + 1), n)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high

@@ -353,3 +353,17 @@ def test_mix_comes_near_its_targets(spark, docs, nothing):
     taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
     assert full.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
     assert mixing.mix(nothing).count() == 0
+
+
+def test_shapes_of_many_words():
+    draw = random.Random(8)
+    letters = list("abzABZ019.,;:=@-_/+'\"`()éÉñßŐǅⅨ²٣漢😀𝐀") + ["password", "API_KEY", "tokEN", "=>", ":="]
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    words += ["=", ":", "=>", ":=", ":>", "==", "...", '"', "😀", "secretsecret", "a" * 40, "AB12", "(AB1)", "x@y.z", "a.b.c.d"]
+    lengths = np.array([len(word) for word in words])
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(lengths)
+    got = secrets.shapes_of(points, ends - lengths, ends)
+    for word, row in zip(words, got):
+        assert row.tolist() == [float(value) for value in secrets._shape(word)], word
+
