@@ -38,7 +38,7 @@ GRAM = 16
 REPEATED, OPEN, WITNESS = range(3)
 COMPARED = "key long, doc_id long, at int, state int"
 
-_STEP = int(textbatch.POWERS[1])
+_STEP = textbatch._STEP
 _BACK = pow(_STEP, -1, 1 << 64)
 
 

@@ -27,9 +27,11 @@ _draw = np.random.default_rng(20240229)
 BYTE_HASH = _draw.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER_HASH = BYTE_HASH.copy()
 LOWER_HASH[65:91] = BYTE_HASH[97:123]
-#: Powers of an odd number, by place in the word; they repeat after many bytes.
 _STEP = 0x9E3779B97F4A7C15
-POWERS = np.cumprod(np.array([1] + [_STEP] * 4095, np.uint64), dtype=np.uint64)
+#: Bytes of a word that are hashed together; and a random odd number for each place in them.
+#: (Powers of one number would let words collide that only need to be long and regular.)
+PART = 4096
+PLACES = _draw.integers(1, 1 << 63, PART, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -99,7 +101,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_HASH) -> np.ndarray:
-    """A 64-bit hash of each of the ordered, disjoint byte ranges, none of them empty."""
+    """A 64-bit hash of each of the ordered, disjoint byte ranges, none of them empty. Longer
+    ones than PART bytes are hashed in parts, each mixed with its number."""
+    if len(starts) and (ends - starts).max() > PART:
+        parts = -(-(ends - starts) // PART)
+        firsts = np.cumsum(parts) - parts
+        nth = np.arange(parts.sum()) - np.repeat(firsts, parts)
+        lows = np.repeat(starts, parts) + nth * PART
+        own = hashes(data, lows, np.minimum(lows + PART, np.repeat(ends, parts)), table)
+        sums = np.add.reduceat(mixed(own + nth.astype(np.uint64) * np.uint64(_STEP)), firsts)
+        return np.where(parts == 1, own[firsts], mixed(sums + (ends - starts).astype(np.uint64)))
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
@@ -107,7 +118,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nda
         first, own, stop = starts[low], starts[low:high] - starts[low], ends[low:high] - starts[low]
         part = data[first : first + stop[-1]]
         place = np.arange(len(part)) - np.repeat(own, np.diff(np.append(own, len(part))))
-        values = table[part] * POWERS[place & 4095]
+        values = table[part] * PLACES[place & (PART - 1)]
         # What lies between one range and the next counts as nothing.
         values[place >= np.repeat(stop - own, np.diff(np.append(own, len(part))))] = 0
         out[low:high] = np.add.reduceat(values, own)

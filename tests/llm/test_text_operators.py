@@ -367,3 +367,19 @@ def test_shapes_of_many_words():
     for word, row in zip(words, got):
         assert row.tolist() == [float(value) for value in secrets._shape(word)], word
 
+
+def test_long_regular_words_do_not_hash_alike(spark):
+    plain = ["x"] * 9000
+    swapped = [list(plain), list(plain)]
+    swapped[0][10], swapped[1][4106] = "y", "y"
+    thue = [bin(k).count("1") % 2 for k in range(2048)]
+    words = ["".join(word) for word in swapped]
+    words += ["".join("ab"[bit] for bit in thue), "".join("ba"[bit] for bit in thue), "x" * 4096, "x" * 4097, "x" * 8192, "x" * 8193]
+    data, offsets = textbatch.bytes_of(pa.array([" ".join(words)]))
+    starts, ends, _ = textbatch.words(data, offsets)
+    got = textbatch.hashes(data, starts, ends)
+    assert len(set(got.tolist())) == len(words)
+    alone = [textbatch.hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends)]
+    assert alone == got.tolist()
+    docs = spark.createDataFrame(list(enumerate(words[:4])), "doc_id long, text string")
+    assert [row["component_id"] for row in near_dedup.group(docs).orderBy("doc_id").collect()] == [0, 1, 2, 3]
