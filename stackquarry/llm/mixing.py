@@ -10,9 +10,10 @@ ranks are counted in two levels of bins, and only the documents of one second-le
 of a source are sorted.
 
 Defined results: a null or empty text, or one of white space only, has size 0 and takes
-nothing. A null source is a source of its own, the last. Rows with the same id and text
-draw the same number; they tie and are taken together. A null id sorts last. An empty table gives an empty result. Extra columns stay with
-their rows in the mix and are not part of the report.
+nothing. A null source is a source of its own, the last. Rows of one id in one source, and
+rows without an id, are numbered by size and content, and each draws a number of its own, so
+they don't tie; equal ones are taken in any choice of them. An empty table gives an empty
+result. Extra columns stay with their rows in the mix and are not part of the report.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackquarry.llm.shared import shared_table
+from stackquarry.operators.ordered import join_same, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -37,9 +39,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) drawn from the id: the first 52 bits of a digest."""
-    digits = F.substring(F.md5(F.concat(F.lit(SEED + ":"), doc_id.cast("string"))), 1, 13)
+def uniform(doc_id: Column, nth: Column) -> Column:
+    """A number in (0, 1) drawn from the id and the row's number under it: the first 52 bits
+    of a digest."""
+    name = F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    digits = F.substring(F.md5(F.when(nth > 0, F.concat(name, F.lit(":"), nth.cast("string"))).otherwise(name)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -48,6 +52,22 @@ def measure(size: Column) -> Column:
     return F.length(F.bin(size)).cast("double")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, content) with ``nth``, from 0 on, in place of
+    ``content``. Only rows that share their id are sorted, over the cluster: however many
+    they are, they spread over chunks."""
+    key = ["source", "doc_id"]
+    repeated = shared_table(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "mix-repeated")
+    if repeated.isEmpty():
+        return rows.drop("content").withColumn("nth", F.lit(0).cast("bigint"))
+    once = join_same(rows, repeated, key, "left_anti").withColumn("nth", F.lit(0).cast("bigint"))
+    several = join_same(rows, repeated, key, "left_semi").withColumns(
+        {"_one": F.lit(1).cast("bigint"), "_id": F.monotonically_increasing_id()}
+    )
+    several = running_total(several, key, ["size", "content", "_id"], "_one", "nth").drop("_one", "_id")
+    return once.unionByName(several.withColumn("nth", F.col("nth") - 1)).drop("content")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """One row per source: words, mean measure of a word's document, weight and target.
     Sources are few against documents; the windows here run over their sums."""
@@ -86,7 +106,7 @@ def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     part = F.when(copies >= MOST_COPIES, 0.0).otherwise(ratio - copies)
     mean = F.greatest(F.col("measured"), F.lit(1.0)) / F.greatest(F.col("source_size"), F.lit(1))
     chance = F.least(part * measure(F.col("size")) / mean, F.lit(MOST_CHANCE))
-    drawn = uniform(F.col("doc_id"))
+    drawn = uniform(F.col("doc_id"), F.col("nth"))
     # Odds over odds, score, as score / (1 + score): a number from 0 to 1.
     above, below = drawn * (1 - chance), (1 - drawn) * chance
     place = F.coalesce(above / (above + below), F.lit(1.0))
@@ -126,7 +146,7 @@ def cutoffs(sizes: DataFrame) -> DataFrame:
     # Only the documents of the one border bin of each source meet in this window. The
     # last of them is taken where that comes nearer to the target than leaving it.
     border = _matched(inside, inner).where(F.col("index") == F.col("bin"))
-    upto = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source").orderBy("place", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, 0)
     border = border.select("*", F.sum("size").over(upto).alias("through"))
     nearest = F.col("through") + F.col("before") - F.col("size") / 2 <= F.col("wanted")
     last = border.where(nearest).groupBy("source").agg(F.max("place").alias("cut_place"))
@@ -143,14 +163,14 @@ def with_copies(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     sampled = (F.col("index") < F.col("cut_index")) | (F.col("place") <= F.col("cut_place"))
     more = F.when((F.col("wanted") > 0) & F.coalesce(sampled, F.lit(False)), 1).otherwise(0)
     return placed.withColumn("n_copies", F.col("copies") + more).drop(
-        "copies", "wanted", "place", "index", "cut_index", "cut_place", "measured"
+        "copies", "wanted", "place", "index", "cut_index", "cut_place", "measured", "nth"
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of each row."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = shared_table(sizes, "mix-sizes")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+    sizes = shared_table(numbered(shared_table(sizes, "mix-rows")), "mix-sizes")
     mixed = with_copies(sizes, cutoffs(sizes))
     taken = (F.col("size") * F.col("n_copies")).cast("bigint")
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -159,15 +179,14 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs``, with all its columns, as often as taken."""
     columns = docs.columns
-    sizes = shared_table(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"
-    )
     rows = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in columns]).alias("row"),
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("content"),
     )
-    mixed = with_copies(rows, cutoffs(sizes))
+    sizes = shared_table(numbered(shared_table(rows.drop("row"), "mix-rows")), "mix-sizes")
+    mixed = with_copies(numbered(rows), cutoffs(sizes))
     repeats = F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))
     return mixed.select("row", F.explode(repeats).alias("copy")).select("row.*")

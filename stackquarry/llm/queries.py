@@ -84,9 +84,8 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op10_mix": """
 WITH sizes AS (
-    SELECT doc_id, source,
-           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
-    FROM documents
+    SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY size) - 1 AS nth
+    FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents)
 ), sums AS (
     SELECT source, sum(size)::BIGINT AS source_size, sum(size * length(bin(size)))::DOUBLE AS measured
     FROM sizes GROUP BY source
@@ -106,18 +105,18 @@ WITH sizes AS (
     SELECT *, least(most, weight * max(CASE WHEN level <= most / weight THEN level END) OVER ()) AS target
     FROM levels
 ), drawn AS (
-    SELECT s.doc_id, s.size, t.source, t.source_size, t.target,
+    SELECT s.doc_id, s.size, s.nth, t.source, t.source_size, t.target,
            least(floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END), 3)::BIGINT AS copies,
            CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
            length(bin(s.size)) / (greatest(t.measured, 1) / greatest(t.source_size, 1)) AS measure,
-           (('0x' || substr(md5('mix:' || s.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+           (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null') || CASE WHEN s.nth > 0 THEN ':' || s.nth ELSE '' END), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
     FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), placed AS (
     SELECT *, CASE WHEN copies >= 3 THEN 0 ELSE target - copies * source_size END AS wanted,
            least(CASE WHEN copies >= 3 THEN 0 ELSE ratio - copies END * measure, 0.999) AS chance
     FROM drawn
 ), ordered AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u * (1 - chance) / (u * (1 - chance) + (1 - u) * chance), doc_id
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u * (1 - chance) / (u * (1 - chance) + (1 - u) * chance), doc_id, size, nth
                               ROWS UNBOUNDED PRECEDING) AS through
     FROM placed
 )

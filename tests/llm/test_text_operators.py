@@ -383,3 +383,17 @@ def test_long_regular_words_do_not_hash_alike(spark):
     assert alone == got.tolist()
     docs = spark.createDataFrame(list(enumerate(words[:4])), "doc_id long, text string")
     assert [row["component_id"] for row in near_dedup.group(docs).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_do_not_tie(spark, doc_id):
+    rows = [(k, "big", "w " * 10) for k in range(2000)] + [(doc_id, "mid", "w " * 10)] * 1000 + [(doc_id, "tail", f"x{k % 3} " * 10) for k in range(1000)]
+    docs = spark.createDataFrame([(*row, 1, "r") for row in rows], "doc_id long, source string, text string, size int, row string")
+    report = mixing.mix(docs).toPandas()
+    assert len(report) == len(rows)
+    for (target, _), own in report.groupby(["target", "source_size"]):
+        assert abs(own["taken"].sum() - target) <= 10
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    assert sorted(map(str, report.itertuples(index=False))) == sorted(map(str, again.itertuples(index=False)))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == report["taken"].sum() // 10
