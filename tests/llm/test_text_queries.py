@@ -15,7 +15,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 
 def rows_of(frame: pd.DataFrame) -> list[str]:
-    return sorted(map(str, frame[sorted(frame.columns)].itertuples(index=False, name=None)))
+    def plain(value):
+        if pd.isna(value):
+            return None
+        # pandas reads whole numbers beside nulls as floats
+        return int(value) if isinstance(value, float) and value.is_integer() else value
+
+    rows = frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None)
+    return sorted(str(tuple(map(plain, row))) for row in rows)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
