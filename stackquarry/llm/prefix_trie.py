@@ -302,8 +302,11 @@ def rebuilt(rows: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("id"),
     )
     order = ["conv_id", "turn", "r", "t", "a", "b", "id"]
-    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written first: a range exchange reads its input twice, and texts are digested once.
+    digested = shared_table(turns, "digests")
+    ranged = digested.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = shared_table(ranged.mapInArrow(_numbered, TURN), "turns")
+    dropped(digested)
     parts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     own = Window.partitionBy("conv_id").orderBy("part")
     carried = parts.withColumn("carried", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1))).where("carried > 0")
@@ -382,7 +385,8 @@ def _subtrees(nodes: DataFrame) -> DataFrame:
 
 def trie(rows: DataFrame, segment: int = SEGMENT, most: int = HELD) -> DataFrame:
     """One row for each distinct prefix of the rebuilt conversations."""
-    ranged = rebuilt(rows).repartitionByRange("conv_id", "depth").sortWithinPartitions("conv_id", "depth")
+    ready = shared_table(rebuilt(rows), "rebuilt")
+    ranged = ready.repartitionByRange("conv_id", "depth").sortWithinPartitions("conv_id", "depth")
     made = shared_table(ranged.mapInArrow(lambda tables: _nodes(tables, segment, most), f"{NODE}, {PIECE}"), "tries")
     pieces = made.where("part is not null").select("conv_id", *_PIECE_NAMES)
     along = Window.partitionBy("conv_id").orderBy("part", "seg")
