@@ -23,6 +23,7 @@ import collections
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackquarry.llm import textbatch
+
 #: Characters of text whose pieces are reduced together; a longer text is its own batch.
 BATCH = 4 << 20
 #: Slots of the rank map; a vocabulary of 50,000 tokens has about 110,000 pairs.
@@ -200,12 +203,14 @@ def _flat(values: np.ndarray, cuts: np.ndarray, chosen: np.ndarray) -> np.ndarra
 def encode_texts(texts: list[str], ranks: RankMap, pattern: str) -> Iterator[tuple[np.ndarray, bytes]]:
     """Token ids, and the bytes they decode to, of each text."""
     find = regex.compile(pattern).findall
-    places: dict[str, int] = collections.defaultdict(lambda: len(places))
+    # Numbers by first use. (A default that names its own dictionary would keep it alive
+    # after the batch, until the cycle is collected.)
+    places: dict[str, int] = collections.defaultdict(itertools.count().__next__)
     refs = []
     for text in texts:
         chunks = _chunks(text)
         refs.append(np.fromiter(map(places.__getitem__, chunks), np.int32, len(chunks)))
-    pieces: dict[str, int] = collections.defaultdict(lambda: len(pieces))
+    pieces: dict[str, int] = collections.defaultdict(itertools.count().__next__)
     of_chunk, cuts = array.array("i"), array.array("i", [0])
     for chunk in places:
         of_chunk.extend(map(pieces.__getitem__, find(chunk)))
@@ -225,6 +230,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token count, digest of the token ids (little-endian, 32 bits each) and digest of
     the decoded bytes of each row."""
 
+    @textbatch.lean
     def digests(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank_map(path)
         for doc_ids, texts in _batches(tables):

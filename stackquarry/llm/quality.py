@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> crf.Chai
     known = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(known), "id")
 
+    @textbatch.lean
     def lines(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             marks = table.column("label").to_numpy(zero_copy_only=False)
@@ -162,11 +162,14 @@ def batch_scores(texts: pa.Array, model: crf.Chain | float) -> np.ndarray:
 
 
 def scorer(model: crf.Chain | float):
-    """A pandas function column: text to score."""
+    """A function column over Arrow arrays: text to score. (As a pandas function it would
+    hold every text of a batch three times: as Arrow, as strings and as Arrow again.)"""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(batch_scores(pa.array(texts, pa.string(), from_pandas=True), model))
+    @F.arrow_udf("double")
+    @textbatch.lean
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(batch_scores(texts, model))
 
     return score
 
@@ -175,6 +178,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
     model = train(docs, labels)
 
+    @textbatch.lean
     def scored(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             yield pa.RecordBatch.from_arrays(

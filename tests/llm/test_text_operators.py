@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import random
 import re
@@ -101,6 +102,23 @@ def _runs(text: str | None, n: int = 5) -> collections.Counter:
     return collections.Counter(tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1)))
 
 
+def test_encoding_holds_nothing_of_earlier_batches():
+    ranks = bpe.rank_map(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def tables() -> int:
+        return sum(isinstance(held, collections.defaultdict) for held in gc.get_objects())
+
+    gc.collect()
+    before = tables()
+    gc.disable()
+    try:
+        for _ in range(3):
+            collections.deque(bpe.encode_texts(["one two", "two  three"], ranks, public_tokenizers.PATTERN), maxlen=0)
+        assert tables() == before
+    finally:
+        gc.enable()
+
+
 def test_fingerprints_estimate_generalised_jaccard(docs, nothing):
     found = by_id(fingerprints.fingerprint(docs.dropDuplicates(["doc_id"])))
     order = sorted(range(len(TEXTS)), reverse=True)
@@ -312,6 +330,17 @@ def test_quality_scores(spark, docs, nothing, labels):
     assert unlabelled[6][0]["score"] == 0.5
 
 
+def test_quality_keeps_what_it_predicts(docs, labels):
+    scored = quality.score_documents(docs, labels).where("predicted = 1").collect()
+    kept = quality.kept(docs, labels).collect()
+    assert sorted(row["doc_id"] for row in kept) == sorted(row["doc_id"] for row in scored)
+
+
+def test_quality_scores_arrow_arrays_one_by_one():
+    batches = (pa.array(texts, pa.string()) for texts in (["a b", None, " "], [], ["c"]))
+    assert [part.to_pylist() for part in quality.scorer(0.5).func(batches)] == [[0.5, 0.0, 0.0], [], [0.5]]
+
+
 def test_quality_learns_lines(spark):
     draw = random.Random(2)
     rows, marks = [], []
